@@ -28,19 +28,35 @@ def local_name(half) -> Column:
 
 
 def normal_path(path: Column) -> Column:
-    """Absolute path without scheme, host, doubled or trailing slashes."""
+    """Absolute path without scheme, host, doubled or trailing slashes. Clean paths skip the pattern work."""
+    clean = F.startswith(path, F.lit("/")) & ~F.contains(path, F.lit("//")) & ~F.endswith(path, F.lit("/"))
     bare = F.regexp_replace(path, r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/]*", "")
     squeezed = F.regexp_replace(F.concat(F.lit("/"), bare), "/+", "/")
-    return F.when(squeezed == "/", squeezed).otherwise(F.regexp_replace(squeezed, "/$", ""))
+    tidy = F.when(squeezed == "/", squeezed).otherwise(F.regexp_replace(squeezed, "/$", ""))
+    return F.when(clean, path).otherwise(tidy)
+
+
+def _depth(path: Column) -> Column:
+    """Number of names in a normal path; the root has none."""
+    slashes = F.length(path) - F.length(F.replace(path, F.lit("/"), F.lit("")))
+    return F.when(path == "/", F.lit(0)).otherwise(slashes)
+
+
+def _above(path: Column, names) -> Column:
+    """The first `names` names of a normal path; none is the root."""
+    return F.when(names == 0, F.lit("/")).otherwise(F.call_function("substring_index", path, F.lit("/"), names + 1))
 
 
 def path_ancestors(path: Column) -> Column:
     """The path itself, then its parent, and so on down to the root."""
-    parts = F.filter(F.split(normal_path(path), "/"), lambda part: part != "")
-    return F.transform(
-        F.sequence(F.size(parts), F.lit(0), F.lit(-1)),
-        lambda depth: F.concat(F.lit("/"), F.concat_ws("/", F.slice(parts, F.lit(1), depth))),
-    )
+    path = normal_path(path)
+    return F.transform(F.sequence(_depth(path), F.lit(0), F.lit(-1)), lambda names: _above(path, names))
+
+
+def below_any(path: Column, listed: list[str]) -> Column:
+    """Whether the path or a directory above it is one of `listed`, without building the ancestors."""
+    path = normal_path(path)
+    return F.exists(F.sequence(F.lit(0), _depth(path)), lambda names: _above(path, names).isin(listed))
 
 
 def parent_path(path: Column) -> Column:

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockledger.functions.columns import normal_path, parent_path, path_ancestors
+from blockledger.functions.columns import below_any, normal_path, parent_path, path_ancestors
 from blockledger.operators.joins import small_side
 from blockledger.schema import KEY
 
@@ -21,7 +21,7 @@ def drop_ignored(files: DataFrame, ignore: DataFrame, inline=INLINE_PATHS) -> Da
     if not head:
         return files
     if len(head) <= inline:
-        return files.filter(~F.exists(path_ancestors(F.col("path")), lambda p: p.isin(head)))
+        return files.filter(~below_any(F.col("path"), head))
     listed = ignore.select(F.col("path").alias("_hit")).distinct()
     placed = files.withColumn("_path", normal_path(F.col("path"))).withColumn("_dir", parent_path(F.col("path")))
     folders = placed.select("_dir").distinct()

@@ -39,7 +39,7 @@ def block_check(
     """
     live = with_snapshots(live_blocks(drop_ignored(files, ignore)), drop_ignored(snapshots, ignore))
     compared = reconcile(live, store)
-    known = live.select("block_id").distinct()
+    known = compared.filter(F.col("action").isin("in_sync", "backup")).select("block_id").distinct()
     restore = compared.filter(F.col("action") == "restore").join(known, "block_id", "left_anti")
     others = compared.filter(~F.col("action").isin("in_sync", "restore"))
     actions = materialize(others.unionByName(restore.select(*others.columns)))

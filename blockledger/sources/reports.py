@@ -101,7 +101,7 @@ def action_events(batches: DataFrame, run_id: str, ts, debug: bool) -> DataFrame
 
 
 def framing_events(pools: DataFrame, run_id: str, ts) -> DataFrame:
-    """The rows that open and close a run and each pool in it."""
+    """The rows that open and close a run, each pool in it, and the handling of a pool that one side lacks."""
     spark = pools.sparkSession
     stamp = F.lit(ts).cast("timestamp")
     row = lambda event, pool: [
@@ -113,7 +113,14 @@ def framing_events(pools: DataFrame, run_id: str, ts) -> DataFrame:
         F.lit(None).cast("bigint").alias("n_blocks"),
         pool.cast("string").alias("detail"),
     ]
-    per_pool = F.explode(F.array(F.lit("startBlockPoolCheck"), F.lit("completeBlockPoolCheck")))
+    per_pool = F.explode(
+        F.concat(
+            F.array(F.lit("startBlockPoolCheck"), F.lit("completeBlockPoolCheck")),
+            F.when(~F.col("in_live"), F.array(F.lit("startRestoreAll"), F.lit("completeRestoreAll")))
+            .when(~F.col("in_store"), F.array(F.lit("startBackupAll"), F.lit("completeBackupAll")))
+            .otherwise(F.array().cast("array<string>")),
+        )
+    )
     inner = pools.select("pool_id", per_pool.alias("e")).select(*row(F.col("e"), F.col("pool_id")))
     marks = [
         "start",
@@ -157,7 +164,7 @@ def report_summary(events: DataFrame) -> DataFrame:
     return (
         events.groupBy("run_id", "pool_id")
         .pivot("event", EVENTS)
-        .agg(F.count("*"))
+        .agg(F.count(F.lit(1)))
         .na.fill(0, EVENTS)
     )
 
