@@ -1,74 +1,71 @@
 """Run a user's function over each batch of a plan, on the executors. A failure is recorded, never fatal."""
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from blockledger.schema import KEY
 
+RESULT = "pool_id string, block_id bigint, length bigint, gen_stamp bigint, ok boolean, error string"
+
 
-def _batched(plan: DataFrame, by: list[str]) -> DataFrame:
-    return plan.repartition(*by).sortWithinPartitions(*by, *KEY)
+def _bounds(frame: pd.DataFrame, by: list[str]) -> np.ndarray:
+    """Where each run of equal values begins, and the end."""
+    changed = np.zeros(max(len(frame) - 1, 0), dtype=bool)
+    for column in by:
+        values = frame[column].to_numpy()
+        changed |= values[1:] != values[:-1]
+    return np.concatenate([[0], np.flatnonzero(changed) + 1, [len(frame)]])
 
 
-def _whole_batches(frames, by):
-    """Join up batches that the transfer cut in two. Only one unfinished batch is held at a time."""
+def _whole_units(frames, by):
+    """Frames that hold only whole units: a unit the transfer cut in two waits for its rest."""
     held = None
     for frame in frames:
-        frame = frame if held is None else pd.concat([held, frame], ignore_index=True)
         if frame.empty:
             continue
-        tail = (frame[by] == frame[by].iloc[-1]).all(axis=1)
-        held, ready = frame[tail], frame[~tail]
-        for _, batch in ready.groupby(by, sort=False):
-            yield batch
-    if held is not None and len(held):
+        frame = frame if held is None else pd.concat([held, frame], ignore_index=True)
+        last = _bounds(frame, by)[-2]
+        held = frame.iloc[last:]
+        if last:
+            yield frame.iloc[:last]
+    if held is not None:
         yield held
 
 
-def _report(batch, error):
-    out = batch[KEY].copy()
-    out["ok"], out["error"] = error is None, error
-    return out
+def _call_each(rows: DataFrame, by: list[str], call) -> DataFrame:
+    """One `call(address, blocks)` per unit. It fails by raising or by answering with a text."""
+    spread = [c for c in by if c != "address"]
 
+    def run(frames):
+        for frame in _whole_units(frames, by):
+            errors = np.full(len(frame), None, dtype=object)
+            keys, cuts = frame[KEY], _bounds(frame, by)
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                address = frame["address"].iat[a] if "address" in by else None
+                try:
+                    answer = call(address, keys.iloc[a:b])
+                    errors[a:b] = answer if isinstance(answer, str) else None
+                except Exception as problem:
+                    errors[a:b] = f"{type(problem).__name__}: {problem}"
+            yield keys.assign(ok=[e is None for e in errors], error=errors)
 
-RESULT = "pool_id string, block_id bigint, length bigint, gen_stamp bigint, ok boolean, error string"
+    return rows.repartition(*spread).sortWithinPartitions(*by, *KEY).mapInPandas(run, RESULT)
 
 
 def apply_deletes_with(fn, plan: DataFrame, by=("pool_id", "action", "batch_no")) -> DataFrame:
-    """Call `fn(batch)` for each batch of deletes. A task that is run again repeats its batches: deletes allow that."""
+    """Call `fn(blocks)` for each batch of deletes. A task that is run again repeats its batches: deletes allow that."""
     by = list(by)
-
-    def run(frames):
-        for batch in _whole_batches(frames, by):
-            try:
-                fn(batch[KEY].reset_index(drop=True))
-                error = None
-            except Exception as problem:
-                error = f"{type(problem).__name__}: {problem}"
-            yield _report(batch, error)
-
-    return _batched(plan.select(*dict.fromkeys([*by, *KEY])), by).mapInPandas(run, RESULT)
+    return _call_each(plan.select(*dict.fromkeys([*by, *KEY])), by, lambda _, blocks: fn(blocks))
 
 
 def send_requests_with(fn, plan: DataFrame, by=("pool_id", "action", "batch_no")) -> DataFrame:
     """Call `fn(address, blocks)` once per batch and chosen replica; blocks without a replica are not sent."""
-    by = list(by)
-
-    def run(frames):
-        for batch in _whole_batches(frames, by):
-            for address, blocks in batch.groupby("address", sort=False, dropna=False):
-                if pd.isna(address):
-                    yield _report(blocks, "no replica")
-                    continue
-                try:
-                    fn(address, blocks[KEY].reset_index(drop=True))
-                    error = None
-                except Exception as problem:
-                    error = f"{type(problem).__name__}: {problem}"
-                yield _report(blocks, error)
 
-    from pyspark.sql import functions as F
+    def call(address, blocks):
+        return fn(address, blocks) if address else "no replica"
 
-    address = F.when(F.col("replica").isNotNull(), F.concat_ws(":", "replica.ip", "replica.port"))
+    address = F.when(F.col("replica").isNotNull(), F.concat_ws(":", "replica.ip", "replica.port")).otherwise("")
     rows = plan.select(*dict.fromkeys([*by, *KEY]), address.alias("address"))
-    return _batched(rows, by).mapInPandas(run, RESULT)
+    return _call_each(rows, [*by, "address"], call)

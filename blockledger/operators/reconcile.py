@@ -30,7 +30,7 @@ def has(bit):
     return F.col("sides").bitwiseAND(F.lit(bit)) != 0
 
 
-def reconcile(live: DataFrame, store: DataFrame) -> DataFrame:
+def reconcile(live: DataFrame, store: DataFrame, unknown_only=False) -> DataFrame:
     """The plan: what is in sync, what to back up, what to delete, what to restore.
 
     in_sync        the same block on both sides
@@ -38,6 +38,8 @@ def reconcile(live: DataFrame, store: DataFrame) -> DataFrame:
     delete_stale   only stored, and another version of the block is live
     delete_orphan  only stored, the block is not live, its pool is
     restore        only stored, and the whole pool is absent from live: nothing of it is ever deleted
+
+    With `unknown_only`, a restore is left out when the bare block id is live in any pool.
     """
     blocks = presence(live=live, store=store)
     current = blocks.filter(has(LIVE)).select(
@@ -47,16 +49,18 @@ def reconcile(live: DataFrame, store: DataFrame) -> DataFrame:
     ids = blocks.filter(has(LIVE)).select(*ID).distinct().withColumn("_id_live", F.lit(True))
     pools = blocks.filter(has(LIVE)).select("pool_id").distinct().withColumn("_pool_live", F.lit(True))
     # No broadcast hints: the adaptive planner measures the pools and ids and falls back to a split sort-merge join.
-    extra = (
-        stored_only.join(ids, ID, "left")
-        .join(pools, "pool_id", "left")
-        .select(
-            *KEY,
-            F.when(F.col("_pool_live").isNull(), F.lit("restore"))
-            .when(F.col("_id_live"), F.lit("delete_stale"))
-            .otherwise(F.lit("delete_orphan"))
-            .alias("action"),
+    flagged = stored_only.join(ids, ID, "left").join(pools, "pool_id", "left")
+    if unknown_only:
+        anywhere = blocks.filter(has(LIVE)).select("block_id").distinct().withColumn("_known", F.lit(True))
+        flagged = flagged.join(anywhere, "block_id", "left").filter(
+            F.col("_pool_live").isNotNull() | F.col("_known").isNull()
         )
+    extra = flagged.select(
+        *KEY,
+        F.when(F.col("_pool_live").isNull(), F.lit("restore"))
+        .when(F.col("_id_live"), F.lit("delete_stale"))
+        .otherwise(F.lit("delete_orphan"))
+        .alias("action"),
     )
     return current.unionByName(extra)
 

@@ -38,11 +38,8 @@ def block_check(
     must not be decided a second time when a task is run again.
     """
     live = with_snapshots(live_blocks(drop_ignored(files, ignore)), drop_ignored(snapshots, ignore))
-    compared = reconcile(live, store)
-    known = compared.filter(F.col("action").isin("in_sync", "backup")).select("block_id").distinct()
-    restore = compared.filter(F.col("action") == "restore").join(known, "block_id", "left_anti")
-    others = compared.filter(~F.col("action").isin("in_sync", "restore"))
-    actions = materialize(others.unionByName(restore.select(*others.columns)))
+    compared = reconcile(live, store, unknown_only=True)
+    actions = materialize(compared.filter(F.col("action") != "in_sync"))
     batches = assign_batches(actions, batch_size)
     backups = batches.filter(F.col("action") == "backup")
     wanted = small_side(actions.filter(F.col("action") == "backup").select(*KEY))

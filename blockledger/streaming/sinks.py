@@ -35,7 +35,9 @@ def retry_step(results: DataFrame, now, delay=RETRY_DELAY, max_attempts=None) ->
 def with_retries(attempt, path: str, clock, delay=RETRY_DELAY, max_attempts=VALIDATE_RETRIES):
     """A foreachBatch handler: new requests and the retries that are due go through `attempt(df) -> df with ok`.
 
-    `clock(batch_id)` gives the time of a batch, the same one when the batch is repeated.
+    `clock(batch_id)` gives the time of a batch: the same one when the batch is repeated, and never an earlier one for
+    a later batch. A retry is due in exactly one batch, the first whose time has reached it, so each batch reads only
+    the retries that fell due since the one before.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
@@ -43,12 +45,11 @@ def with_retries(attempt, path: str, clock, delay=RETRY_DELAY, max_attempts=VALI
         fresh = batch.select(
             *KEY, F.lit(0).alias("attempt"), F.col("force") if "force" in batch.columns else F.lit(False).alias("force")
         )
-        earlier = read_states(spark, path, before=batch_id)
+        earlier = read_states(spark, path, before=batch_id) if batch_id else None
         if earlier is not None:
-            waiting = latest_states(earlier).filter(
-                (F.col("state") == "retry") & (F.col("due_ts") <= F.lit(now).cast("timestamp"))
-            )
-            fresh = fresh.unionByName(waiting.select(*fresh.columns))
+            reached, before = F.lit(now).cast("timestamp"), F.lit(clock(batch_id - 1)).cast("timestamp")
+            due = (F.col("state") == "retry") & (F.col("due_ts") > before) & (F.col("due_ts") <= reached)
+            fresh = fresh.unionByName(earlier.filter(due).select(*fresh.columns))
         states = retry_step(attempt(fresh), now, delay, max_attempts)
         states.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
@@ -63,12 +64,6 @@ def read_states(spark: SparkSession, path: str, before=None):
     return rows if before is None else rows.filter(F.col("batch_id") < before)
 
 
-def latest_states(states: DataFrame) -> DataFrame:
-    """The last state of each request."""
-    last = F.max(F.struct("batch_id", "state", "attempt", "due_ts", "force")).alias("s")
-    return states.groupBy(*KEY).agg(last).select(*KEY, "s.state", "s.attempt", "s.due_ts", "s.force")
-
-
 def stream_throughput(transfers: DataFrame, delay="1 minute") -> DataFrame:
     """Bytes per minute, node and direction."""
     return (

@@ -10,12 +10,23 @@ IGNORED = ["/wh/P", "/wh/F/1997", "/wh/O/19", "/wh/O/2000/12"]
 NODES = "supplier"
 
 
+def once(make):
+    """Build a plan once per Tables object."""
+
+    def get(self):
+        if make.__name__ not in self._made:
+            self._made[make.__name__] = make(self)
+        return self._made[make.__name__]
+
+    return get
+
+
 class Tables:
     """The given tables, and what is derived from them. Plans only, no data."""
 
     def __init__(self, spark: SparkSession, folder: str):
         spark.conf.set("spark.sql.session.timeZone", "UTC")
-        self.spark, self.folder, self._read = spark, folder, {}
+        self.spark, self.folder, self._read, self._made = spark, folder, {}, {}
 
     def read(self, name: str) -> DataFrame:
         if name not in self._read:
@@ -24,6 +35,7 @@ class Tables:
 
     # -- inventories ---------------------------------------------------------------------------------------------
 
+    @once
     def lines(self) -> DataFrame:
         """One row per order line as a block version, with the columns other fixtures need."""
         orders = self.read("orders").select(
@@ -48,6 +60,7 @@ class Tables:
     def live_raw(self) -> DataFrame:
         return self.lines().select(*KEY)
 
+    @once
     def live_flags(self) -> DataFrame:
         """Latest version per block with the flags of its line."""
         best = F.max(F.struct("gen_stamp", "length", "l_returnflag", "l_linestatus")).alias("b")
@@ -58,10 +71,12 @@ class Tables:
             .select(*ID, "b.length", "b.gen_stamp", "b.l_returnflag", "b.l_linestatus")
         )
 
+    @once
     def live(self) -> DataFrame:
         best = F.max(F.struct("gen_stamp", "length")).alias("b")
         return self.live_raw().groupBy(*ID).agg(best).select(*ID, "b.length", "b.gen_stamp")
 
+    @once
     def store(self) -> DataFrame:
         """The stored inventory as it differs from live: one generate step over one pass, plus a lost pool."""
         b, n, g = F.col("block_id"), F.col("length"), F.col("gen_stamp")
@@ -93,6 +108,7 @@ class Tables:
 
     # -- files ---------------------------------------------------------------------------------------------------
 
+    @once
     def _placed(self) -> DataFrame:
         host = lambda c: F.concat(
             F.lit("10.0."), F.floor(F.col(c) / 256).cast("string"), F.lit("."), (F.col(c) % 256).cast("string")
@@ -111,10 +127,12 @@ class Tables:
     def _files(self, rows: DataFrame) -> DataFrame:
         return rows.groupBy("path").agg(F.collect_list(F.struct(*KEY, "replicas")).alias("blocks"))
 
+    @once
     def files(self) -> DataFrame:
         """Files of the namespace: the lines of an order that were not returned."""
         return self._files(self._placed().filter(F.col("l_returnflag") != "R"))
 
+    @once
     def snapshots(self) -> DataFrame:
         """Files below snapshot folders: lines that were accepted or returned, before and after removal."""
         rows = self._placed().filter(F.col("l_returnflag") != "N")

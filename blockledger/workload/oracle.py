@@ -524,7 +524,7 @@ QUERIES = {
         select * from by_minute
         where minute_us + 60000000 <= (select max(ts_us) from transfers) // 1000 * 1000 - 60000000""",
     "with_retries": f"""
-        with a as (select {KEY}, length % 1000 = 0 as bad from finalized), r as (select distinct {KEY} from a where bad)
+        with a as (select {KEY}, length % 1000 = 0 as bad from finalized), r as (select {KEY} from a where bad)
         select {KEY}, case when bad then 'retry' else 'done' end as state, cast(bad as integer) as attempt, bad as force,
                cast(0 as bigint) as batch_id, case when bad then 1704067260000000 end as due_us from a
         union all select {KEY}, 'retry', 2, true, 1, 1704067380000000 from r
