@@ -44,20 +44,27 @@ def halves(meta: DataFrame, data: DataFrame) -> DataFrame:
     )
 
 
-def has_block(meta: DataFrame, data: DataFrame) -> DataFrame:
+def listed_halves(listing: DataFrame) -> DataFrame:
+    """The same from one parsed listing of both halves (`half`, `size`), in one pass."""
+    return listing.groupBy(*KEY).agg(
+        (F.max((F.col("half") == "meta").cast("int")) == 1).alias("has_meta"),
+        F.max(F.when(F.col("half") == "data", F.col("size").cast("bigint"))).alias("data_size"),
+    )
+
+
+def has_block(halves: DataFrame) -> DataFrame:
     """Blocks the store really has: both halves, and the data half is as long as declared."""
-    ok = F.col("has_meta") & (F.col("data_size") == F.col("length"))
-    return halves(meta, data).filter(ok).select(*KEY)
+    return halves.filter(F.col("has_meta") & (F.col("data_size") == F.col("length"))).select(*KEY)
 
 
-def half_uploads(meta: DataFrame, data: DataFrame) -> DataFrame:
+def half_uploads(halves: DataFrame) -> DataFrame:
     """Blocks whose upload broke off: one half alone, or data of another length."""
     fault = (
         F.when(F.col("data_size").isNull(), "data_missing")
         .when(~F.col("has_meta"), "meta_missing")
         .when(F.col("data_size") != F.col("length"), "length_differs")
     )
-    rows = halves(meta, data).withColumn("fault", fault).filter(F.col("fault").isNotNull())
+    rows = halves.withColumn("fault", fault).filter(F.col("fault").isNotNull())
     return rows.select(*KEY, "data_size", "fault")
 
 

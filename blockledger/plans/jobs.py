@@ -84,7 +84,8 @@ def restore_run(
     asked = accepted.select(*KEY, F.col("ts").alias("requested_ts"))
     if force is not None:
         asked = asked.unionByName(force.select(*KEY, F.col("ts").alias("requested_ts")))
-    queued = admit(pick_node(asked, nodes, seed), capacity)
+    # Written once: the requests feed the quota twice, and the copy, and must be the same ones each time.
+    queued = admit(pick_node(materialize(asked), nodes, seed), capacity)
     copied = None
     if payload is not None:
         copied = restore_payload(queued.filter("accepted"), payload, present)

@@ -1,22 +1,38 @@
 """Inventories, events and payloads derived from the given tables. Everything covers the whole tables."""
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from blockledger.functions.columns import BLOCK_TEXT, object_key
 from blockledger.schema import ID, KEY
-from blockledger.sources.inventory import replicas_from_arrays
+from blockledger.session import checkpoint_dir
+from blockledger.sources.inventory import inventory_of, parse_keys, replicas_from_arrays
 
 IGNORED = ["/wh/P", "/wh/F/1997", "/wh/O/19", "/wh/O/2000/12"]
 NODES = "supplier"
 
 
-def once(make):
-    """Build a plan once per Tables object."""
+_WRITTEN = {}
+
+
+def stored(make):
+    """Write the derived table to the shared checkpoint folder on first use and read it from there afterwards.
+
+    Inventories are tables in their own right: jobs read them as such, with column pruning, statistics and pushdown.
+    """
 
     def get(self):
-        if make.__name__ not in self._made:
-            self._made[make.__name__] = make(self)
-        return self._made[make.__name__]
+        name = make.__name__
+        key = (self.spark.sparkContext.applicationId, self.folder, name)
+        if key not in _WRITTEN:
+            path = f"{checkpoint_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
+            make(self).write.parquet(path)
+            _WRITTEN[key] = path
+        if name not in self._read:
+            self._read[name] = self.spark.read.parquet(_WRITTEN[key])
+        return self._read[name]
 
     return get
 
@@ -26,7 +42,7 @@ class Tables:
 
     def __init__(self, spark: SparkSession, folder: str):
         spark.conf.set("spark.sql.session.timeZone", "UTC")
-        self.spark, self.folder, self._read, self._made = spark, folder, {}, {}
+        self.spark, self.folder, self._read = spark, folder, {}
 
     def read(self, name: str) -> DataFrame:
         if name not in self._read:
@@ -35,7 +51,7 @@ class Tables:
 
     # -- inventories ---------------------------------------------------------------------------------------------
 
-    @once
+    @stored
     def lines(self) -> DataFrame:
         """One row per order line as a block version, with the columns other fixtures need."""
         orders = self.read("orders").select(
@@ -60,7 +76,7 @@ class Tables:
     def live_raw(self) -> DataFrame:
         return self.lines().select(*KEY)
 
-    @once
+    @stored
     def live_flags(self) -> DataFrame:
         """Latest version per block with the flags of its line."""
         best = F.max(F.struct("gen_stamp", "length", "l_returnflag", "l_linestatus")).alias("b")
@@ -71,19 +87,17 @@ class Tables:
             .select(*ID, "b.length", "b.gen_stamp", "b.l_returnflag", "b.l_linestatus")
         )
 
-    @once
     def live(self) -> DataFrame:
-        best = F.max(F.struct("gen_stamp", "length")).alias("b")
-        return self.live_raw().groupBy(*ID).agg(best).select(*ID, "b.length", "b.gen_stamp")
+        return self.live_flags().select(*KEY)
 
-    @once
+    @stored
     def store(self) -> DataFrame:
         """The stored inventory as it differs from live: one generate step over one pass, plus a lost pool."""
         b, n, g = F.col("block_id"), F.col("length"), F.col("gen_stamp")
         entry = lambda block, length, gen: F.struct(
             block.alias("block_id"), length.alias("length"), gen.alias("gen_stamp")
         )
-        known = F.col("pool_id") != "BP-5"  # inside the step, so that live and store share one exchange
+        known = F.col("pool_id") != "BP-5"
         copies = F.array(
             F.when(
                 known & (b % 7 != 0),
@@ -108,7 +122,6 @@ class Tables:
 
     # -- files ---------------------------------------------------------------------------------------------------
 
-    @once
     def _placed(self) -> DataFrame:
         host = lambda c: F.concat(
             F.lit("10.0."), F.floor(F.col(c) / 256).cast("string"), F.lit("."), (F.col(c) % 256).cast("string")
@@ -127,12 +140,12 @@ class Tables:
     def _files(self, rows: DataFrame) -> DataFrame:
         return rows.groupBy("path").agg(F.collect_list(F.struct(*KEY, "replicas")).alias("blocks"))
 
-    @once
+    @stored
     def files(self) -> DataFrame:
         """Files of the namespace: the lines of an order that were not returned."""
         return self._files(self._placed().filter(F.col("l_returnflag") != "R"))
 
-    @once
+    @stored
     def snapshots(self) -> DataFrame:
         """Files below snapshot folders: lines that were accepted or returned, before and after removal."""
         rows = self._placed().filter(F.col("l_returnflag") != "N")
@@ -188,8 +201,6 @@ class Tables:
 
     def keys(self, prefix=None) -> DataFrame:
         """A full listing with sizes: both halves of each entry, some halves lost, some of a wrong size."""
-        from blockledger.functions.columns import object_key
-
         n = F.col("length")
         half = F.explode(
             F.filter(
@@ -206,11 +217,8 @@ class Tables:
         rows = self.store().select(*KEY, half.alias("h"))
         return rows.select(object_key(F.col("h.half"), prefix).alias("key"), F.col("h.size").alias("size"))
 
-    def half(self, name: str) -> DataFrame:
-        from blockledger.sources.inventory import inventory_of, parse_keys
-
-        parsed = inventory_of(parse_keys(self.keys(), half=name))
-        return parsed.select(*KEY, "size")
+    def listing(self) -> DataFrame:
+        return inventory_of(parse_keys(self.keys()))
 
     # -- events --------------------------------------------------------------------------------------------------
 
@@ -260,8 +268,6 @@ class Tables:
             .otherwise("startBlockPoolCheck")
         )
         pool = F.concat(F.lit("BP-"), (F.col("user_id") % 3).cast("string"))
-        from blockledger.functions.columns import BLOCK_TEXT
-
         block = F.format_string(
             BLOCK_TEXT, pool, F.col("user_id"), F.floor(F.col("value") * 1000).cast("bigint"), F.col("event_id")
         )

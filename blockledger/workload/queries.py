@@ -217,11 +217,13 @@ def drop_ignored_long_list(t):
 
 
 def has_block(t):
-    return filters.has_block(t.half("meta"), t.half("data"))
+    return filters.has_block(filters.listed_halves(t.listing()))
 
 
 def half_uploads(t):
-    return filters.half_uploads(t.half("meta"), t.half("data"))
+    listing = t.listing()
+    meta, data = listing.filter(F.col("half") == "meta"), listing.filter(F.col("half") == "data")
+    return filters.half_uploads(filters.halves(meta, data))
 
 
 def backup_eligible(t):
