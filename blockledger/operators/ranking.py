@@ -16,7 +16,7 @@ def number_rows(df: DataFrame, group: list[str], order: list[str], buckets=BUCKE
     inside their part and shifted by the size of the parts before it; those sizes are at most `buckets` rows per
     group, however large the group is. The order is (part, *order).
     """
-    part = F.pmod(hash32(*order), F.lit(buckets)).cast("int")
+    part = F.coalesce(F.pmod(hash32(*order), F.lit(buckets)).cast("int"), F.lit(0))  # never null: see hash32
     rows = df.withColumn("_part", part)
     sizes = rows.groupBy(*group, "_part").agg(F.count("*").alias("_size"))
     before = Window.partitionBy(*(group or [F.lit(0)])).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

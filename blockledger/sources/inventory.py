@@ -80,15 +80,34 @@ def store_from_keys(keys: DataFrame, prefix=None) -> DataFrame:
     return inventory_of(parse_keys(listing.select("key"), prefix)).select(*KEY)
 
 
-def list_files(spark: SparkSession, root: str, glob="*.data") -> DataFrame:
-    """Names and sizes of the files below `root`; the content column is never read."""
-    return (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", glob)
-        .option("recursiveFileLookup", "true")
-        .load(root)
-        .select("path", "length")
-    )
+def list_files(spark: SparkSession, root: str) -> DataFrame:
+    """Names and sizes of the data files below `root`; contents are never read.
+
+    Spark's file listing leaves out empty files. An empty block still has a side file, so the side files without a
+    listed data file, which are few, are looked up by name on the executors.
+    """
+
+    def listing(glob):
+        files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true")
+        return files.load(root).select("path", "length")
+
+    data = listing("*.data")
+    side = listing("*.meta").select(F.regexp_replace("path", r"\.meta$", ".data").alias("path"))
+    alone = side.join(data, "path", "left_anti")
+    return data.unionByName(alone.mapInPandas(_empty_files, "path string, length bigint"))
+
+
+def _empty_files(frames):
+    from pyarrow import fs
+
+    for frame in frames:
+        if frame.empty:
+            continue
+        uris = frame["path"].str.replace(r"^file:/+", "file:///", regex=True)
+        store, _ = fs.FileSystem.from_uri(uris.iat[0])
+        paths = [fs.FileSystem.from_uri(u)[1] for u in uris]
+        empty = [i.type == fs.FileType.File and i.size == 0 for i in store.get_file_info(paths)]
+        yield frame[empty].assign(length=0)
 
 
 def parse_files(listing: DataFrame) -> DataFrame:
