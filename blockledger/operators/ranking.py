@@ -3,20 +3,21 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from blockledger.functions.columns import hash32
 from blockledger.schema import KEY
 
-BUCKETS = 256
+PART_DIGITS = 2  # hexadecimal digits of a part's name: 256 parts
 
 
-def number_rows(df: DataFrame, group: list[str], order: list[str], buckets=BUCKETS, name="row_no") -> DataFrame:
+def number_rows(df: DataFrame, group: list[str], order: list[str], digits=PART_DIGITS, name="row_no") -> DataFrame:
     """Number the rows of each group 0, 1, 2, ... without gaps.
 
-    A group is cut into `buckets` even parts by a hash of `order`, which must tell its rows apart. Rows are numbered
-    inside their part and shifted by the size of the parts before it; those sizes are at most `buckets` rows per
+    A group is cut into 16^digits even parts by a hash of `order`, which must tell its rows apart. Rows are numbered
+    inside their part and shifted by the size of the parts before it; those sizes are at most 16^digits rows per
     group, however large the group is. The order is (part, *order).
     """
-    part = F.coalesce(F.pmod(hash32(*order), F.lit(buckets)).cast("int"), F.lit(0))  # never null: see hash32
+    text = F.concat_ws(":", *[F.col(c).cast("string") for c in order])
+    part = F.substring(F.md5(text), 1, digits)
+    part = F.coalesce(part, F.lit(""))  # never null: joining on it adds no filters below a shared exchange
     rows = df.withColumn("_part", part)
     sizes = rows.groupBy(*group, "_part").agg(F.count("*").alias("_size"))
     before = Window.partitionBy(*(group or [F.lit(0)])).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

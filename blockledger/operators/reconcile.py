@@ -46,12 +46,13 @@ def reconcile(live: DataFrame, store: DataFrame, unknown_only=False) -> DataFram
         *KEY, F.when(has(STORE), F.lit("in_sync")).otherwise(F.lit("backup")).alias("action")
     )
     stored_only = blocks.filter(F.col("sides") == STORE).drop("sides")
-    ids = blocks.filter(has(LIVE)).select(*ID).distinct().withColumn("_id_live", F.lit(True))
-    pools = blocks.filter(has(LIVE)).select("pool_id").distinct().withColumn("_pool_live", F.lit(True))
-    # No broadcast hints: the adaptive planner measures the pools and ids and falls back to a split sort-merge join.
+    # The lookups scan one or two columns of live again, which is cheaper than aggregating all blocks once more. They
+    # carry no broadcast hints: the adaptive planner measures them and else splits the hot side of a sort-merge join.
+    ids = live.select(*ID).distinct().withColumn("_id_live", F.lit(True))
+    pools = live.select("pool_id").distinct().withColumn("_pool_live", F.lit(True))
     flagged = stored_only.join(ids, ID, "left").join(pools, "pool_id", "left")
     if unknown_only:
-        anywhere = blocks.filter(has(LIVE)).select("block_id").distinct().withColumn("_known", F.lit(True))
+        anywhere = live.select("block_id").distinct().withColumn("_known", F.lit(True))
         flagged = flagged.join(anywhere, "block_id", "left").filter(
             F.col("_pool_live").isNotNull() | F.col("_known").isNull()
         )

@@ -20,7 +20,8 @@ def key_hash(*more):
 
 def numbered(source, group, order, size=None, columns="*"):
     """Row numbers per group in the order (even hash part, key)."""
-    part = f"{h32(*order)} % 256"
+    text = " || ':' || ".join(f"cast({c} as varchar)" for c in order)
+    part = f"substr(md5({text}), 1, 2)"
     over = f"partition by {', '.join(group)} " if group else ""
     number = f"cast(row_number() over ({over}order by {part}, {', '.join(order)}) - 1 as bigint)"
     inner = f"select *, {number} as row_no from ({source})"
