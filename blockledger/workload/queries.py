@@ -518,15 +518,22 @@ class StreamTables(Tables):
 def run_once(t, stream: DataFrame, name: str) -> DataFrame:
     """Drain the stream into a new folder and read it back."""
     folder = scratch(t, name)
-    query = (
-        stream.writeStream.format("parquet")
-        .option("path", f"{folder}/out")
-        .option("checkpointLocation", f"{folder}/state")
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
-    return t.spark.read.schema(stream.schema).parquet(f"{folder}/out")
+    setting, spark = "spark.sql.shuffle.partitions", t.spark
+    before = spark.conf.get(setting)
+    if spark.sparkContext.master.startswith("local"):  # each state partition starts a Python worker
+        spark.conf.set(setting, str(spark.sparkContext.defaultParallelism))
+    try:
+        query = (
+            stream.writeStream.format("parquet")
+            .option("path", f"{folder}/out")
+            .option("checkpointLocation", f"{folder}/state")
+            .trigger(availableNow=True)
+            .start()
+        )
+        query.awaitTermination()
+    finally:
+        spark.conf.set(setting, before)
+    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
 def _rocksdb(t):
