@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from blockledger.workload.queries import QUERIES
 from conftest import FOLDER
 
 TABLES = (
@@ -24,7 +25,7 @@ def by_name(columns, data):
     return sorted(columns), sorted((tuple(r[i] for i in order) for r in data), key=repr)
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, sql, name):
     df = entry.queries()[name](spark, FOLDER)
     got = by_name(df.columns, [tuple(r) for r in df.collect()])
@@ -40,4 +41,4 @@ def test_entry(spark):
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) <= set(entry.queries()) and set(QUERIES) <= set(entry.oracle_sql())
