@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockledger.llm import bpe, tokens
+from blockledger.llm import bpe, langid, tokens, toxicity
 from blockledger.llm.staging import shared_path
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -28,4 +28,19 @@ def op4_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(bpe.encode_decode(table(spark, folder, "documents"), WORD_BPE))
 
 
-QUERIES = {x.__name__: x for x in (op1_token_files, op4_bpe)}
+def op9_language(spark: SparkSession, folder: str) -> DataFrame:
+    """The language of every text, learnt from the rows outside the held-out fold."""
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang", (langid.fold("doc_id", 5) == 0).alias("held_out"))
+    profiles = langid.train(docs.where(~F.col("held_out")))
+    return langid.predict(docs.select("doc_id", "text", "held_out"), profiles).drop("text")
+
+
+def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """The toxicity of every text, learnt from labels outside the held-out fold."""
+    docs = table(spark, folder, "documents").select("doc_id", "text", (langid.fold("doc_id", 3) == 1).alias("held_out"))
+    labels = table(spark, folder, "labels").where(langid.fold("doc_id", 3) != 1).select("doc_id", "toxic")
+    model = toxicity.train(docs.select("doc_id", "text"), labels)
+    return toxicity.predict(docs, model).drop("text")
+
+
+QUERIES = {x.__name__: x for x in (op1_token_files, op4_bpe, op6_toxicity, op9_language)}
