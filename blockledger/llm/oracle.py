@@ -1,3 +1,32 @@
 """SQL for the queries that SQL can express."""
 
 ORACLE: dict[str, str] = {}
+
+ORACLE["op7_line_dedup"] = """
+with lines as (
+  select doc_id, unnest(string_split(text, chr(10))) as line,
+         generate_subscripts(string_split(text, chr(10)), 1) as pos
+  from documents
+), pairs as (
+  select doc_id, pos, line, lead(line) over (partition by doc_id order by pos) as line2 from lines
+), again as (
+  select doc_id, pos from (
+    select doc_id, pos, line, line2, row_number() over (partition by line, line2 order by doc_id, pos) as k
+    from pairs where line2 is not null
+  ) where k > 1 and (line <> '' or line2 <> '')
+), gone as (
+  select doc_id, pos from again union select doc_id, pos + 1 from again
+), marked as (
+  select l.doc_id, l.pos, l.line, g.pos is not null as gone
+  from lines l left join gone g on g.doc_id = l.doc_id and g.pos = l.pos
+), edges as (
+  select *, gone and not coalesce(lag(gone) over (partition by doc_id order by pos), false) as opens from marked
+), summed as (
+  select doc_id, count(*) as n_lines, count(*) filter (where gone) as n_removed, count(*) filter (where opens) as n_runs,
+         coalesce(string_agg(line, chr(10) order by pos) filter (where not gone), '') as kept
+  from edges group by doc_id
+)
+select d.doc_id, coalesce(n_lines, 0) as n_lines, coalesce(n_removed, 0)::bigint as n_removed,
+       coalesce(n_runs, 0)::bigint as n_runs, sha256(coalesce(kept, '')) as kept_sha256
+from documents d left join summed s on s.doc_id = d.doc_id
+"""

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockledger.llm import bpe, langid, tokens, toxicity
+from blockledger.llm import bpe, langid, lines, tokens, toxicity
 from blockledger.llm.staging import shared_path
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -28,6 +28,13 @@ def op4_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(bpe.encode_decode(table(spark, folder, "documents"), WORD_BPE))
 
 
+def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document without its repeated runs of lines, as counts and a sum of what is left."""
+    docs = lines.drop_repeated_lines(table(spark, folder, "documents").select("doc_id", "text"))
+    kept = F.sha2(F.coalesce("text", F.lit("")), 256)
+    return docs.select("doc_id", "n_lines", "n_removed", "n_runs", kept.alias("kept_sha256"))
+
+
 def op9_language(spark: SparkSession, folder: str) -> DataFrame:
     """The language of every text, learnt from the rows outside the held-out fold."""
     docs = table(spark, folder, "documents").select("doc_id", "text", "lang", (langid.fold("doc_id", 5) == 0).alias("held_out"))
@@ -43,4 +50,4 @@ def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.predict(docs, model).drop("text")
 
 
-QUERIES = {x.__name__: x for x in (op1_token_files, op4_bpe, op6_toxicity, op9_language)}
+QUERIES = {x.__name__: x for x in (op1_token_files, op4_bpe, op6_toxicity, op7_line_dedup, op9_language)}
