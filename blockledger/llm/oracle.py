@@ -30,3 +30,29 @@ select d.doc_id, coalesce(n_lines, 0) as n_lines, coalesce(n_removed, 0)::bigint
        coalesce(n_runs, 0)::bigint as n_runs, sha256(coalesce(kept, '')) as kept_sha256
 from documents d left join summed s on s.doc_id = d.doc_id
 """
+
+WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+ORACLE["op3_decontamination"] = f"""
+with d as (select doc_id, {WORDS} as w from documents),
+b as (select item_id, {WORDS} as w from benchmark),
+bw as (
+  select item_id, w[i:least(i + 9, len(w))] as words
+  from (select item_id, w, unnest(generate_series(1, greatest(len(w) - 9, 1))) as i from b where len(w) > 0)
+), sizes as (select distinct len(words) as n from bw),
+dw as (
+  select doc_id, i, n, w[i:i + n - 1] as words
+  from (select doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) as i from d, sizes where len(w) >= n)
+), hits as (
+  select distinct dw.doc_id, dw.i, dw.n, bw.item_id from dw join bw on dw.words = bw.words
+), covered as (
+  select doc_id, count(distinct p) as n_hit
+  from (select doc_id, unnest(generate_series(i, i + n - 1)) as p from hits) group by doc_id
+), named as (
+  select doc_id, count(*) as n_items, string_agg(item_id, ',' order by item_id) as items
+  from (select distinct doc_id, item_id::varchar as item_id from hits) group by doc_id
+)
+select d.doc_id, coalesce(len(w), 0) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+       sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join covered c on c.doc_id = d.doc_id left join named n on n.doc_id = d.doc_id
+"""

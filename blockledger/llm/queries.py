@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockledger.llm import bpe, langid, lines, tokens, toxicity
+from blockledger.llm import bpe, decontaminate, langid, lines, tokens, toxicity
 from blockledger.llm.staging import shared_path
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -24,6 +24,14 @@ def op1_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """How much of every document is in the benchmark, and in which items."""
+    docs, items = table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "benchmark")
+    found = decontaminate.decontaminate(docs, items)
+    names = F.sha2(F.array_join("item_ids", ","), 256)
+    return found.select("doc_id", "n_words", "n_hit", "n_items", names.alias("items_sha256"), "contaminated")
+
+
 def op4_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(bpe.encode_decode(table(spark, folder, "documents"), WORD_BPE))
 
@@ -50,4 +58,4 @@ def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.predict(docs, model).drop("text")
 
 
-QUERIES = {x.__name__: x for x in (op1_token_files, op4_bpe, op6_toxicity, op7_line_dedup, op9_language)}
+QUERIES = {x.__name__: x for x in (op1_token_files, op3_decontamination, op4_bpe, op6_toxicity, op7_line_dedup, op9_language)}
