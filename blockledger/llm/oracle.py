@@ -56,3 +56,16 @@ select d.doc_id, coalesce(len(w), 0) as n_words, coalesce(n_hit, 0) as n_hit, co
        sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from d left join covered c on c.doc_id = d.doc_id left join named n on n.doc_id = d.doc_id
 """
+
+ORACLE["op2_top_k"] = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as x from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), scored as (
+  select q.vec_id as query_id, v.vec_id, list_sum(list_transform(list_zip(q.x, v.x), lambda p: p[1] * p[2]))::bigint as score
+  from v q join v on v.vec_id <> q.vec_id and len(v.x) = len(q.x) where q.vec_id % 50 = 0
+), ranked as (
+  select *, row_number() over (partition by query_id order by score desc, vec_id) as k from scored
+)
+select query_id, k::int as rank, vec_id, score from ranked where k <= 5
+"""

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockledger.llm import bpe, decontaminate, langid, lines, tokens, toxicity
+from blockledger.llm import bpe, decontaminate, knn, langid, lines, tokens, toxicity
 from blockledger.llm.staging import shared_path
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -24,6 +24,12 @@ def op1_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op2_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    """The 5 nearest vectors, by integer inner product, of every 50th one among all."""
+    rows = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    return knn.top_k(rows.where(F.col("vec_id") % 50 == 0), rows, "vec_id", "embedding")
+
+
 def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """How much of every document is in the benchmark, and in which items."""
     docs, items = table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "benchmark")
@@ -58,4 +64,4 @@ def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.predict(docs, model).drop("text")
 
 
-QUERIES = {x.__name__: x for x in (op1_token_files, op3_decontamination, op4_bpe, op6_toxicity, op7_line_dedup, op9_language)}
+QUERIES = {x.__name__: x for x in (op1_token_files, op2_top_k, op3_decontamination, op4_bpe, op6_toxicity, op7_line_dedup, op9_language)}
