@@ -69,3 +69,22 @@ with v as (
 )
 select query_id, k::int as rank, vec_id, score from ranked where k <= 5
 """
+
+BLANK_WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
+
+ORACLE["op10_jaccard_join"] = f"""
+with recursive d as (select doc_id, coalesce({BLANK_WORDS}, []) as w from documents),
+s as (
+  select distinct doc_id, w[i:least(i + 3, len(w))] as shingle
+  from (select doc_id, w, unnest(generate_series(1, greatest(len(w) - 3, 1))) as i from d where len(w) > 0)
+), n as (select doc_id, count(*) as n from s group by doc_id),
+t as (select dense_rank() over (order by shingle) as k, doc_id from s),
+common as (select a.doc_id as a, b.doc_id as b, count(*) as c from t a join t b on a.k = b.k and a.doc_id < b.doc_id group by all),
+links as (
+  select a, b from common join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 85 * (x.n + y.n - c)
+), edges as (select a, b from links union all select b, a from links),
+reach as (select doc_id, doc_id as other from d union select r.doc_id, e.b from reach r join edges e on e.a = r.other),
+c as (select doc_id, min(other) as component_id from reach group by doc_id)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, c.component_id
+from d join c on c.doc_id = d.doc_id left join n on n.doc_id = d.doc_id
+"""

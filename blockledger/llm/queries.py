@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockledger.llm import bpe, decontaminate, knn, langid, lines, tokens, toxicity
+from blockledger.llm import bpe, decontaminate, jaccard, knn, langid, lines, tokens, toxicity
 from blockledger.llm.staging import shared_path
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -64,4 +64,9 @@ def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.predict(docs, model).drop("text")
 
 
-QUERIES = {x.__name__: x for x in (op1_token_files, op2_top_k, op3_decontamination, op4_bpe, op6_toxicity, op7_line_dedup, op9_language)}
+def op10_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    """The component of near duplicates of every document."""
+    return jaccard.near_duplicates(table(spark, folder, "documents"))
+
+
+QUERIES = {x.__name__: x for x in (op1_token_files, op2_top_k, op3_decontamination, op4_bpe, op6_toxicity, op7_line_dedup, op9_language, op10_jaccard_join)}

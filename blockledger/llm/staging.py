@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from blockledger.session import checkpoint_dir
 
@@ -30,3 +31,19 @@ def open_store(uri: str):
     from pyarrow import fs
 
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """Adds `_key`, a number that names a document by its doc_id and text; it is never null."""
+    return docs.withColumn("_key", F.xxhash64(F.col("doc_id").cast("long"), F.lit("|"), F.xxhash64("text")))
+
+
+def bucketed(df: DataFrame, column: str, name: str) -> DataFrame:
+    """A copy of `df` in the shared folder, dealt out by `column`, so that later joins on it do not move it again."""
+    spark = df.sparkSession
+    parts = shuffle_parts(spark)
+    path = shared_path(spark, name)
+    table = "kept_" + path[-32:]
+    writer = df.repartition(parts, column).write.format("parquet").option("path", path)
+    writer.bucketBy(parts, column).saveAsTable(table)
+    return spark.table(table)
