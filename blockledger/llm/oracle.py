@@ -88,3 +88,27 @@ c as (select doc_id, min(other) as component_id from reach group by doc_id)
 select d.doc_id, coalesce(n.n, 0) as n_shingles, c.component_id
 from d join c on c.doc_id = d.doc_id left join n on n.doc_id = d.doc_id
 """
+
+ORACLE["op8_substring_dedup"] = """
+with b as (select doc_id, hex(coalesce(text, '')) as h, length(hex(coalesce(text, ''))) // 2 as n from documents),
+w as (
+  select doc_id, i, substr(h, 2 * i + 1, 100) as s
+  from (select doc_id, h, unnest(generate_series(0, n - 50)) as i from b where n >= 50)
+), f as (select s, min(doc_id) as first from w group by s having min(doc_id) < max(doc_id)),
+hit as (select w.doc_id, w.i from w join f on f.s = w.s where w.doc_id > f.first),
+opened as (
+  select *, case when i > lag(i) over (partition by doc_id order by i) + 50
+                   or lag(i) over (partition by doc_id order by i) is null then 1 else 0 end as opens from hit
+), numbered as (select *, sum(opens) over (partition by doc_id order by i) as k from opened),
+spans as (select doc_id, k, min(i) as start, max(i) + 50 as stop from numbered group by doc_id, k),
+gaps as (
+  select s.doc_id, s.start, s.stop, coalesce(lag(s.stop) over (partition by s.doc_id order by s.start), 0) as before from spans s
+), kept as (
+  select g.doc_id, count(*) as n_spans, sum(stop - start) as n_removed, max(stop) as tail,
+         string_agg(substr(h, 2 * before + 1, 2 * (start - before)), '' order by start) as pieces
+  from gaps g join b on b.doc_id = g.doc_id group by g.doc_id
+)
+select b.doc_id, b.n as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans,
+       sha256(unhex(case when k.doc_id is null then h else pieces || substr(h, 2 * tail + 1) end)) as kept_sha256
+from b left join kept k on k.doc_id = b.doc_id
+"""

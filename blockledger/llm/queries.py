@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockledger.llm import bpe, decontaminate, jaccard, knn, langid, lines, tokens, toxicity
+from blockledger.llm import bpe, decontaminate, jaccard, knn, langid, lines, substrings, tokens, toxicity
 from blockledger.llm.staging import shared_path
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -49,6 +49,12 @@ def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return docs.select("doc_id", "n_lines", "n_removed", "n_runs", kept.alias("kept_sha256"))
 
 
+def op8_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document without the strings of 50 bytes that an earlier one has."""
+    found = substrings.drop_repeats(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_language(spark: SparkSession, folder: str) -> DataFrame:
     """The language of every text, learnt from the rows outside the held-out fold."""
     docs = table(spark, folder, "documents").select("doc_id", "text", "lang", (langid.fold("doc_id", 5) == 0).alias("held_out"))
@@ -69,4 +75,4 @@ def op10_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, folder, "documents"))
 
 
-QUERIES = {x.__name__: x for x in (op1_token_files, op2_top_k, op3_decontamination, op4_bpe, op6_toxicity, op7_line_dedup, op9_language, op10_jaccard_join)}
+QUERIES = {x.__name__: x for x in (op1_token_files, op2_top_k, op3_decontamination, op4_bpe, op6_toxicity, op7_line_dedup, op8_substring_dedup, op9_language, op10_jaccard_join)}
