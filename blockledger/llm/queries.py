@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockledger.llm import bpe, decontaminate, jaccard, knn, langid, lines, substrings, tokens, toxicity
+from blockledger.llm import bpe, decontaminate, jaccard, knn, langid, lines, lm, substrings, tokens, toxicity
 from blockledger.llm.staging import shared_path
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -62,6 +62,11 @@ def op9_language(spark: SparkSession, folder: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "text", "held_out"), profiles).drop("text")
 
 
+def op5_lm_score(spark: SparkSession, folder: str) -> DataFrame:
+    """The probability of every text, learnt from the rows outside the held-out fold."""
+    return lm.score(table(spark, folder, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     """The toxicity of every text, learnt from labels outside the held-out fold."""
     docs = table(spark, folder, "documents").select("doc_id", "text", (langid.fold("doc_id", 3) == 1).alias("held_out"))
@@ -75,4 +80,4 @@ def op10_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, folder, "documents"))
 
 
-QUERIES = {x.__name__: x for x in (op1_token_files, op2_top_k, op3_decontamination, op4_bpe, op6_toxicity, op7_line_dedup, op8_substring_dedup, op9_language, op10_jaccard_join)}
+QUERIES = {x.__name__: x for x in (op1_token_files, op2_top_k, op3_decontamination, op4_bpe, op5_lm_score, op6_toxicity, op7_line_dedup, op8_substring_dedup, op9_language, op10_jaccard_join)}

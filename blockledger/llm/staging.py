@@ -18,7 +18,7 @@ def shared_path(spark: SparkSession, name: str) -> str:
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write `df` to the shared folder as Parquet and read it back: lineage ends there and survives lost executors."""
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -44,6 +44,6 @@ def bucketed(df: DataFrame, column: str, name: str) -> DataFrame:
     parts = shuffle_parts(spark)
     path = shared_path(spark, name)
     table = "kept_" + path[-32:]
-    writer = df.repartition(parts, column).write.format("parquet").option("path", path)
+    writer = df.repartition(parts, column).write.format("parquet").option("compression", "zstd").option("path", path)
     writer.bucketBy(parts, column).saveAsTable(table)
     return spark.table(table)
