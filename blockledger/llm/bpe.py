@@ -215,11 +215,12 @@ def slices(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[pa.RecordBatc
             yield batch.slice(a, b - a)
 
 
-def digests(encoded: DataFrame) -> DataFrame:
-    """Counts and SHA-256 sums of what encode_decode gives."""
+def digests(encoded: DataFrame, *others: str) -> DataFrame:
+    """Counts and SHA-256 sums of what encode_decode gives, and any of its own columns."""
     return encoded.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
+        *others,
     )
