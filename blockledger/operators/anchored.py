@@ -26,7 +26,9 @@ NEVER = np.iinfo(np.int64).min // 2
 def anchored_windows(
     events: DataFrame, age: str, on=tuple(ID), inclusive=True, limit=LIGHT_EVENTS, span=SPAN
 ) -> DataFrame:
-    """One row per window: block, opening time, longest version (the earliest of equals), number of events.
+    """One row per window: block, opening time, longest version, number of events.
+
+    Of versions of one length the earliest is taken, and of those of one instant the highest generation.
 
     `inclusive` says whether an event exactly `age` after the opening still belongs to the window.
     """
@@ -55,13 +57,14 @@ def _fold(rows, on, rest, width, inclusive):
     versions = "".join(f", _{c} {types[f'_{c}']}" for c in rest)
     window = f"struct<_t0: bigint, _len: bigint, n_events: bigint{versions.replace(' ', ': ').replace(',: ', ', ')}>"
     fields = ["_t0", "_len", "n_events", *[f"_{c}" for c in rest]]
-    event = F.struct("_ts", (-F.col("_len")).alias("_neg"), *[F.col(f"_{c}") for c in rest])
+    # Events of one instant: the longer version first, the higher generation among equals, as everywhere else.
+    event = F.struct("_ts", (-F.col("_len")).alias("_neg"), *[(-F.col(f"_{c}")).alias(f"_{c}") for c in rest])
     start = F.struct(
         F.lit(None).cast(window).alias("open"), F.array().cast(f"array<{window}>").alias("closed")
     )
 
     def opened_by(e):
-        values = [e["_ts"], -e["_neg"], F.lit(1).cast("bigint"), *[e[f"_{c}"] for c in rest]]
+        values = [e["_ts"], -e["_neg"], F.lit(1).cast("bigint"), *[-e[f"_{c}"] for c in rest]]
         return F.struct(*[v.alias(f) for v, f in zip(values, fields)])
 
     def joined(w, e):
@@ -70,7 +73,7 @@ def _fold(rows, on, rest, width, inclusive):
             w["_t0"],
             F.greatest(w["_len"], -e["_neg"]),
             w["n_events"] + 1,
-            *[F.when(longer, e[f"_{c}"]).otherwise(w[f"_{c}"]) for c in rest],
+            *[F.when(longer, -e[f"_{c}"]).otherwise(w[f"_{c}"]) for c in rest],
         ]
         return F.struct(*[v.alias(f) for v, f in zip(values, fields)])
 
@@ -158,8 +161,13 @@ def _pieces(rows, on, rest, width, inclusive, span):
         passage, T.StructType(spot + [T.StructField("_upto", longs), T.StructField("_leave", longs)])
     )
     entries = passages.groupBy(*on).applyInPandas(chain, T.StructType(spot + [T.StructField("_entry", T.LongType())]))
+    entries = entries.select(*[F.col(c).alias(f"_of_{c}") for c in on], F.col("_cut").alias("_of_cut"), "_entry")
+    met = F.col("_cut") == F.col("_of_cut")
+    for c in on:
+        met = met & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
     parts = (
-        points.join(entries, [*on, "_cut"])
+        points.join(entries, met)
+        .select(*points.columns, "_entry")
         .groupBy(*on, "_cut")
         .applyInPandas(
             resolve,

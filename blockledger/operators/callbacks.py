@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from blockledger.schema import KEY
+from blockledger.session import materialize
 
 RESULT = "pool_id string, block_id bigint, length bigint, gen_stamp bigint, ok boolean, error string"
 
@@ -51,11 +52,15 @@ def _call_each(rows: DataFrame, by: list[str], call) -> DataFrame:
                     errors[a:b] = f"{type(problem).__name__}: {problem}"
             yield keys.assign(ok=[e is None for e in errors], error=errors)
 
-    return rows.repartition(*spread).sortWithinPartitions(*by, *KEY).mapInPandas(run, RESULT)
+    # Written once: whoever reads the outcomes reads these, and never calls the function again.
+    return materialize(rows.repartition(*spread).sortWithinPartitions(*by, *KEY).mapInPandas(run, RESULT))
 
 
 def apply_deletes_with(fn, plan: DataFrame, by=("pool_id", "action", "batch_no")) -> DataFrame:
-    """Call `fn(blocks)` for each batch of deletes. A task that is run again repeats its batches: deletes allow that."""
+    """Call `fn(blocks)` for each batch of deletes. The calls are made here, not when the result is read.
+
+    A task that is run again after a failure repeats its batches: deletes allow that.
+    """
     by = list(by)
     return _call_each(plan.select(*dict.fromkeys([*by, *KEY])), by, lambda _, blocks: fn(blocks))
 

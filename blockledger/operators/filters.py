@@ -15,13 +15,14 @@ def drop_ignored(files: DataFrame, ignore: DataFrame, inline=INLINE_PATHS) -> Da
     """Drop files whose path, or any directory above it, is on the ignore list.
 
     A short list becomes a filter without any join or shuffle, applied before the block lists are opened. A longer
-    one is joined against the distinct directories, which are far fewer than the files.
+    one is joined against the distinct directories, which are far fewer than the files. A file without a path lies
+    below no directory and stays.
     """
     head = [r["path"] for r in ignore.select("path").distinct().limit(inline + 1).collect()]
     if not head:
         return files
     if len(head) <= inline:
-        return files.filter(~below_any(F.col("path"), head))
+        return files.filter(~F.coalesce(below_any(F.col("path"), head), F.lit(False)))
     listed = ignore.select(F.col("path").alias("_hit")).distinct()
     placed = files.withColumn("_path", normal_path(F.col("path"))).withColumn("_dir", parent_path(F.col("path")))
     folders = placed.select("_dir").distinct()

@@ -1,5 +1,8 @@
 """Join helpers whose broadcasts are decided by a measured size."""
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,18 +25,20 @@ def split_heavy(df: DataFrame, on: list[str], limit: int):
     rows / limit. They are broadcast when few; otherwise both sides are joined on the key plus a salt, which keeps
     one key's rows apart.
     """
-    counts = df.groupBy(*on).count().filter(F.col("count") > limit).select(*on)
-    found = counts.count()
+    counts = df.groupBy(*on).count().filter(F.col("count") > limit)
+    hot = counts.select(*[F.col(c).alias(f"_hot_{c}") for c in on])
+    found = hot.count()
     if not found:
         return df, None
+    same = lambda a: reduce(and_, [a[c].eqNullSafe(F.col(f"_hot_{c}")) for c in on])  # noqa: E731  nulls are a key too
     if found <= BROADCAST_ROWS:
-        hot = F.broadcast(counts)
-        return df.join(hot, on, "left_anti"), df.join(hot, on, "left_semi")
+        hot = F.broadcast(hot)
+        return df.join(hot, same(df), "left_anti"), df.join(hot, same(df), "left_semi")
     salts = 16
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)).cast("int"))
-    hot = counts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    keys = [*on, "_salt"]
+    hot = hot.withColumn("_hot_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    met = same(salted) & (F.col("_salt") == F.col("_hot_salt"))
     return (
-        salted.join(hot, keys, "left_anti").drop("_salt"),
-        salted.join(hot, keys, "left_semi").drop("_salt"),
+        salted.join(hot, met, "left_anti").drop("_salt"),
+        salted.join(hot, met, "left_semi").drop("_salt"),
     )

@@ -78,7 +78,7 @@ def retry_drop_metrics(events: DataFrame) -> DataFrame:
         F.count_if(F.col("kind") == "drop").alias("drops"),
         F.min("amount").alias("min_amount"),
         F.max("amount").alias("max_amount"),
-        F.percentile_approx("amount", F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99))).alias("amount_p50_p95_p99"),
+        *[F.expr(f"percentile_disc(0.{p}) within group (order by amount)").alias(f"p{p}") for p in (50, 95, 99)],
     )
 
 

@@ -4,7 +4,7 @@ Contents are joined with a plan of keys. When the plan is counted to be small it
 read in place; only larger plans make them cross the network.
 """
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from blockledger.functions.columns import object_key
@@ -54,7 +54,7 @@ def backup_payload(
         F.when(good, F.col("data")).alias("data"),
         F.when(good, chunk_sums(F.col("data"), bytes_per_checksum, algorithm)).alias("meta"),
         F.when(good, "ok").otherwise("length_mismatch").alias("status"),
-    )
+    ).dropDuplicates(KEY)  # the store may hold the contents of a version more than once
     absent = asked.join(payload.select(*VERSION).distinct(), VERSION, "left_anti")
     return copied.unionByName(
         absent.select(*KEY, F.lit(0).cast("bigint").alias("n_bytes"), F.lit("no_payload").alias("status")),
@@ -69,10 +69,13 @@ def write_payload(copied: DataFrame, path: str) -> None:
 
 
 def upsert_payload(existing: DataFrame, new: DataFrame, order="written_at") -> DataFrame:
-    """An object written again replaces the one under the same key; of several writes the last one stays."""
-    last = new.groupBy(*KEY).agg(F.max(order).alias(order))
-    keys = small_side(last)
-    winners = new.join(keys, [*KEY, order], "left_semi").dropDuplicates(KEY)
+    """An object written again replaces the one under the same key; of several writes the last one stays.
+
+    A write without a time counts as the first one. Of writes of one time that with the highest MD5 of its data stays.
+    """
+    latest = Window.partitionBy(*KEY).orderBy(F.col(order).desc_nulls_last(), F.md5("data").desc())
+    winners = new.withColumn("_rank", F.row_number().over(latest)).filter("_rank = 1")
+    keys = small_side(new.select(*KEY).distinct())
     return existing.join(keys, KEY, "left_anti").unionByName(winners.select(*existing.columns))
 
 

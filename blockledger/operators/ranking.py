@@ -53,15 +53,17 @@ def admit(requests: DataFrame, capacity: int, occupied: DataFrame | None = None)
 
     Only `capacity` rows per node survive the rank filter, and the planner applies it before the shuffle as well, so
     a node that is asked for a third of all rows costs no more than any other. The accepted rows are then marked by
-    a join on the whole request key.
+    a join on the whole request key. Equal requests are one request: they take one slot and get the same answer. A
+    request without a time is refused and takes none.
     """
+    keys = ["node", "requested_ts", *KEY]
     w = Window.partitionBy("node").orderBy("requested_ts", *KEY)
-    first = requests.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= F.lit(capacity))
+    timed = requests.filter(F.col("requested_ts").isNotNull()).select(*keys).distinct()
+    first = timed.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= F.lit(capacity))
     if occupied is not None:
         first = first.join(occupied.select("node", "in_queue"), "node", "left").filter(
             F.col("_rank") <= F.lit(capacity) - F.coalesce("in_queue", F.lit(0))
         )
-    keys = ["node", "requested_ts", *KEY]
     accepted = first.select(*keys, F.lit(True).alias("_accepted"))
     return requests.join(accepted, keys, "left").select(
         *requests.columns, F.coalesce("_accepted", F.lit(False)).alias("accepted")

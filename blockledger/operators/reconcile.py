@@ -3,23 +3,33 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from blockledger.operators.joins import small_side
 from blockledger.schema import ID, KEY
 
 LIVE, STORE = 1, 2
 
 
+def named():
+    return F.col("pool_id").isNotNull() & F.col("block_id").isNotNull()
+
+
+def unnamed(df: DataFrame) -> DataFrame:
+    """Rows without a pool or a block id. They match nothing, and no comparison has them: look at them on their own."""
+    return df.filter(~named())
+
+
 def presence(**sides: DataFrame) -> DataFrame:
     """One row per distinct block with a bit for each side that holds it (first side 1, second 2, third 4, ...).
 
     One aggregation does the work of a de-duplication of every side and a full outer join: each row crosses the
-    network at most once, and copies of one block collapse before they do.
+    network at most once, and copies of one block collapse before they do. Rows that `unnamed` tells are left out.
     """
-    # Keys are never null. Saying so keeps the planner from adding null filters to some of the branches that read this
+    # Keys are not null here. Saying so once more keeps the planner from adding null filters to some of the branches that read this
     # aggregation, so that they all share one exchange.
     pool, block = F.coalesce("pool_id", F.lit("")), F.coalesce("block_id", F.lit(-1))
     tagged = None
     for i, df in enumerate(sides.values()):
-        side = df.select(
+        side = df.filter(named()).select(
             pool.alias("pool_id"), block.alias("block_id"), "length", "gen_stamp", F.lit(1 << i).alias("sides")
         )
         tagged = side if tagged is None else tagged.unionByName(side)
@@ -47,9 +57,10 @@ def reconcile(live: DataFrame, store: DataFrame, unknown_only=False) -> DataFram
     )
     stored_only = blocks.filter(F.col("sides") == STORE).drop("sides")
     # The lookups scan one or two columns of live again, which is cheaper than aggregating all blocks once more. They
-    # carry no broadcast hints: the adaptive planner measures them and else splits the hot side of a sort-merge join.
+    # carry no broadcast hints: the adaptive planner measures them and else splits the hot side of a sort-merge join. The
+    # pools are few and are counted: blocks never move by a key that has a handful of values.
     ids = live.select(*ID).distinct().withColumn("_id_live", F.lit(True))
-    pools = live.select("pool_id").distinct().withColumn("_pool_live", F.lit(True))
+    pools = small_side(live.filter(named()).select("pool_id").distinct()).withColumn("_pool_live", F.lit(True))
     flagged = stored_only.join(ids, ID, "left").join(pools, "pool_id", "left")
     if unknown_only:
         anywhere = live.select("block_id").distinct().withColumn("_known", F.lit(True))
@@ -85,8 +96,9 @@ def pool_actions(live: DataFrame, store: DataFrame) -> DataFrame:
 
 def restore_unknown(store: DataFrame, live: DataFrame) -> DataFrame:
     """Blocks of lost pools whose bare id the namespace does not know under any pool."""
-    lost = store.select(*KEY).join(live.select("pool_id").distinct(), "pool_id", "left_anti")
-    return lost.distinct().join(live.select("block_id").distinct(), "block_id", "left_anti").select(*KEY)
+    pools = small_side(live.filter(named()).select("pool_id").distinct())
+    lost = store.filter(named()).select(*KEY).join(pools, "pool_id", "left_anti")
+    return lost.join(live.select("block_id").distinct(), "block_id", "left_anti").select(*KEY).distinct()
 
 
 def gc(store: DataFrame, live: DataFrame, match_on="key") -> DataFrame:

@@ -11,7 +11,7 @@ from blockledger.operators.anchored import ttl_dedupe
 from blockledger.operators.filters import backup_eligible, drop_ignored, unbackable
 from blockledger.operators.joins import small_side
 from blockledger.operators.metrics import gc_totals
-from blockledger.operators.payload import restore_payload
+from blockledger.operators.payload import backup_payload, restore_payload
 from blockledger.operators.ranking import admit, assign_batches
 from blockledger.operators.reconcile import gc, pool_actions, reconcile
 from blockledger.operators.restore import restore_candidates
@@ -96,17 +96,27 @@ def restore_run(
 class NodeValidate:
     checked: DataFrame
     ledger: DataFrame
+    copied: DataFrame | None  # what was copied of the eligible blocks, with the contents, when they were at hand
 
 
-def node_validate(node_blocks, stored, ledger, *, ignore_previous=False, failed=None) -> NodeValidate:
-    """Check the finalized blocks of all nodes and mark them; blocks whose check failed are left for the next run."""
+def node_validate(node_blocks, stored, ledger, *, payload=None, ignore_previous=False, failed=None) -> NodeValidate:
+    """Check the finalized blocks of all nodes, copy what is missing, and mark what needs no further look.
+
+    That is what the store has, what may not be copied, and copies of `payload` that came out right. An eligible block
+    without such a copy, and one whose check `failed`, is looked at again in the next run.
+    """
     todo = to_validate(node_blocks, ledger, ignore_previous)
     facts = node_blocks.groupBy(*KEY).agg(
         F.bool_or("is_valid").alias("is_valid"), F.bool_and("is_symlink").alias("is_symlink")
     )
     checked = backup_eligible(facts.join(todo, KEY, "left_semi"), stored)
-    done = checked if failed is None else checked.join(failed.select(*KEY), KEY, "left_anti")
-    return NodeValidate(checked, mark_validated(ledger, done))
+    done, copied = checked.filter(F.col("reason") != "eligible").select(*KEY), None
+    if payload is not None:
+        copied = materialize(backup_payload(checked.filter(F.col("reason") == "eligible"), payload))
+        done = done.unionByName(copied.filter(F.col("status") == "ok").select(*KEY))
+    if failed is not None:
+        done = done.join(failed.select(*KEY), KEY, "left_anti")
+    return NodeValidate(checked, mark_validated(ledger, done), copied)
 
 
 def converge(live, store) -> DataFrame:

@@ -29,18 +29,6 @@ FILE = T.StructType(
 
 FINALIZED = T.StructType(BLOCK.fields + [T.StructField("ts", T.TimestampType(), False)])
 
-REPORT = T.StructType(
-    [
-        T.StructField("run_id", T.StringType(), False),
-        T.StructField("ts", T.TimestampType(), False),
-        T.StructField("seq", T.LongType(), False),
-        T.StructField("event", T.StringType(), False),
-        T.StructField("pool_id", T.StringType()),
-        T.StructField("n_blocks", T.LongType()),
-        T.StructField("detail", T.StringType()),
-    ]
-)
-
 # Defaults (fixed values).
 BACKUP_BATCH = 100
 DELETE_BATCH = 100

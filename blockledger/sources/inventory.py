@@ -69,10 +69,6 @@ def inventory_of(parsed: DataFrame) -> DataFrame:
     return parsed.filter(F.col("error").isNull())
 
 
-def quarantine_of(parsed: DataFrame) -> DataFrame:
-    return parsed.filter(F.col("error").isNotNull())
-
-
 def store_from_keys(keys: DataFrame, prefix=None) -> DataFrame:
     """The store's inventory: one entry per `meta` key; the payload objects are never looked at."""
     head = (prefix.strip("/") + "/meta/") if prefix else "meta/"

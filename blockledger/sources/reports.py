@@ -147,14 +147,18 @@ def listing_events(blocks: DataFrame, run_id: str, ts, event: str, debug: bool)
 
 
 def write_report(events: DataFrame, path: str) -> None:
-    """Append report rows, one folder per run, so that old runs can be dropped without a scan."""
-    events.write.mode("append").partitionBy("run_id").parquet(path)
+    """Write report rows, one folder per run, so that old runs can be dropped without a scan.
+
+    A run that is written again replaces its own folder and leaves the others alone.
+    """
+    writer = events.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("run_id").parquet(path)
 
 
 def prune_reports(reports: DataFrame, now, keep=REPORT_KEEP) -> DataFrame:
     """Names of reports older than `keep`; a name that holds no time is left alone."""
     named = reports.filter(F.startswith("name", F.lit(REPORT_PREFIX)))
-    stamp = F.try_to_timestamp(F.substring("name", len(REPORT_PREFIX) + 1, 100), F.lit(REPORT_TIME))
+    stamp = F.try_to_timestamp(F.expr(f"substring(name, {len(REPORT_PREFIX) + 1})"), F.lit(REPORT_TIME))
     limit = micros(F.lit(now).cast("timestamp")) - F.lit(interval_micros(keep))
     return named.filter(micros(stamp) < limit)
 
@@ -167,7 +171,3 @@ def report_summary(events: DataFrame) -> DataFrame:
         .agg(F.count(F.lit(1)))
         .na.fill(0, EVENTS)
     )
-
-
-def block_columns(df: DataFrame) -> DataFrame:
-    return df.select(*KEY)

@@ -12,7 +12,7 @@ from blockledger.operators.callbacks import apply_deletes_with
 from blockledger.operators.ranking import assign_batches
 from blockledger.operators.reconcile import gc
 from blockledger.operators.validate import to_validate
-from blockledger.schema import BLOCK, KEY, PAGE_SIZE, RETRY_DELAY, VALIDATE_RETRIES
+from blockledger.schema import BLOCK, KEY, PAGE_SIZE, RETRY_DELAY
 
 
 def retry_step(results: DataFrame, now, delay=RETRY_DELAY, max_attempts=None) -> DataFrame:
@@ -32,9 +32,11 @@ def retry_step(results: DataFrame, now, delay=RETRY_DELAY, max_attempts=None) ->
     )
 
 
-def with_retries(attempt, path: str, clock, delay=RETRY_DELAY, max_attempts=VALIDATE_RETRIES):
+def with_retries(attempt, path: str, clock, delay=RETRY_DELAY, max_attempts=None):
     """A foreachBatch handler: new requests and the retries that are due go through `attempt(df) -> df with ok`.
 
+    A request is tried until it succeeds, unless `max_attempts` says after how many it is given up.
+
     `clock(batch_id)` gives the time of a batch: the same one when the batch is repeated, and never an earlier one for
     a later batch. A retry is due in exactly one batch, the first whose time has reached it, so each batch reads only
     the retries that fell due since the one before.
@@ -96,7 +98,11 @@ def gc_pages(store: DataFrame, live: DataFrame, n=PAGE_SIZE, match_on="key") ->
 
 
 def run_gc_pages(fn, pages: DataFrame, done: DataFrame | None = None) -> DataFrame:
-    """Carry pages out on the executors, leaving out those already `done`; a failed page does not stop the others."""
+    """Carry pages out on the executors; a failed page does not stop the others.
+
+    `done` is what earlier calls returned. Blocks carried out then are left out by their own keys, not by page: a page
+    that is computed again may hold other blocks under the same number.
+    """
     if done is not None:
-        pages = pages.join(done.select("pool_id", "page"), ["pool_id", "page"], "left_anti")
+        pages = pages.join(done.filter("ok").select(*KEY).distinct(), KEY, "left_anti")
     return apply_deletes_with(fn, pages, by=("pool_id", "page"))

@@ -312,7 +312,9 @@ QUERIES = {
     "list_after": f"""
         select * from (select {object_key("'meta'")} as key, {KEY} from store)
         where key > 'meta/BP-2' order by key limit 10000""",
-    "ignore_list": "select * from (values ('/wh/P'), ('/wh/F/1997'), ('/wh/O/19'), ('/wh/O/2000/12')) as v(path)",
+    "ignore_list": """
+        select distinct '/wh/' || o_orderstatus || '/' || year(o_orderdate) || '/' || o_orderkey as path
+        from orders where o_orderpriority <> '2-HIGH'""",
     "read_manifest": f"select {KEY} from store",
     "write_manifest": f"""
         select pool_id, batch_no, '{{"blocks":[' || string_agg({JSON}, ',' order by block_id, length, gen_stamp) || ']}}' as json
@@ -431,7 +433,9 @@ QUERIES = {
     "retry_drop_metrics": """
         select node, count(*) filter (where event_type <> 'error') as retries,
                count(*) filter (where event_type = 'error') as drops,
-               min(cast(floor(value) as bigint)) as min_amount, max(cast(floor(value) as bigint)) as max_amount
+               min(cast(floor(value) as bigint)) as min_amount, max(cast(floor(value) as bigint)) as max_amount,
+               quantile_disc(cast(floor(value) as bigint), 0.5) as p50, quantile_disc(cast(floor(value) as bigint), 0.95) as p95,
+               quantile_disc(cast(floor(value) as bigint), 0.99) as p99
         from events10 group by node""",
     "report_summary": "select run_id, case when event <> 'backupRequestBatch' then pool end as pool_id, "
     + ", ".join(f"count(*) filter (where event = '{e}') as {e}" for e in EVENTS)
@@ -458,7 +462,8 @@ QUERIES = {
         select seq, node, ts_us, cast(d as bigint) as delta,
                cast(sum(d) over (partition by node order by ts_us, seq rows unbounded preceding) as bigint) as depth
         from (select *, case when event_type in ('click', 'view', 'purchase') then 1 else -1 end as d from events10)""",
-    "sort_inventory": f"select {KEY} from store order by pool_id, block_id, gen_stamp, length",
+    "sort_inventory": f"""
+        select {KEY}, row_number() over (order by pool_id, block_id, gen_stamp, length) - 1 as position from store""",
     "next_due": f"""
         select {KEY}, event_type = 'error' as force, ts + 5000000 as due_us from finalized
         where ts + 5000000 <= epoch_us(timestamp '2024-01-15 00:00:00') order by due_us, {KEY} limit 1000""",
@@ -496,7 +501,7 @@ QUERIES = {
     "node_validate": f"select * from checked anti join ledger using ({KEY})",
     "node_validate_ledger": f"""
         select {KEY} from ledger union
-        select {KEY} from local anti join ledger using ({KEY}) anti join requested using ({KEY})""",
+        select {KEY} from checked anti join ledger using ({KEY}) anti join requested using ({KEY}) where reason <> 'eligible'""",
     "converge": f"select {KEY} from live union select {KEY} from store where pool_id not in (select pool_id from live)",
     "prune_reports": """
         select 'report.' || strftime(ts, '%Y%m%d%H%M%S') as name from events
@@ -529,7 +534,7 @@ QUERIES = {
         select {KEY}, case when bad then 'retry' else 'done' end as state, cast(bad as integer) as attempt, bad as force,
                cast(0 as bigint) as batch_id, case when bad then 1704067260000000 end as due_us from a
         union all select {KEY}, 'retry', 2, true, 1, 1704067380000000 from r
-        union all select {KEY}, 'given_up', 3, true, 2, null from r""",
+        union all select {KEY}, 'retry', 3, true, 2, 1704067500000000 from r""",
     "retry_step": f"""
         select {KEY}, case when length % 1000 <> 0 then 'done' else 'retry' end as state,
                cast(case when length % 1000 <> 0 then 1 else 2 end as bigint) as attempt, length % 1000 = 0 as force,

@@ -2,7 +2,7 @@
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -12,7 +12,7 @@ from blockledger.operators.anchored import coalesce_requests, ttl_dedupe
 from blockledger.operators.callbacks import apply_deletes_with, send_requests_with
 from blockledger.plans import jobs
 from blockledger.schema import KEY
-from blockledger.session import checkpoint_dir
+from blockledger.session import checkpoint_dir, materialize
 from blockledger.sources import inventory, manifest, reports
 from blockledger.streaming import requests as streams
 from blockledger.streaming import sinks
@@ -71,10 +71,20 @@ def list_after(t):
     return inventory.list_after(t.store(), "meta/BP-2", 10_000)
 
 
-def ignore_list(t):
+def _ignored(t):
     return inventory.parse_ignore(t.ignore_lines())
 
 
+def ignore_list(t):
+    """A hand-written file: comments, blanks around the paths, slashes behind them, and repeated lines."""
+    path = F.concat_ws("/", F.lit("/wh"), "o_orderstatus", F.year("o_orderdate").cast("string"), F.col("o_orderkey").cast("string"))
+    marked = F.when(F.col("o_orderpriority") == "2-HIGH", F.concat(F.lit("# "), path)).otherwise(F.concat(F.lit("  "), path, F.lit("/ ")))
+    written = F.explode(F.when(F.col("o_orderpriority") == "1-URGENT", F.array(marked, path)).otherwise(F.array(marked)))
+    folder = scratch(t, "ignore")
+    t.read("orders").select(written.alias("value")).write.text(folder)
+    return inventory.ignore_list(t.spark, folder)
+
+
 def read_manifest(t):
     return manifest.read_manifest(manifest.write_manifest(t.store(), 100))
 
@@ -207,11 +217,11 @@ def path_ancestors_(t):
 
 
 def drop_ignored(t):
-    return filters.drop_ignored(t.files(), ignore_list(t)).select("path", F.size("blocks").cast("bigint").alias("blocks"))
+    return filters.drop_ignored(t.files(), _ignored(t)).select("path", F.size("blocks").cast("bigint").alias("blocks"))
 
 
 def drop_ignored_long_list(t):
-    return filters.drop_ignored(t.files(), ignore_list(t), inline=1).select(
+    return filters.drop_ignored(t.files(), _ignored(t), inline=1).select(
         "path", F.size("blocks").cast("bigint").alias("blocks")
     )
 
@@ -353,7 +363,7 @@ def throughput_by_minute(t):
 
 
 def retry_drop_metrics(t):
-    return metrics.retry_drop_metrics(t.retry_events()).drop("amount_p50_p95_p99")
+    return metrics.retry_drop_metrics(t.retry_events())
 
 
 def report_summary(t):
@@ -404,7 +414,15 @@ def queue_depth(t):
 
 
 def sort_inventory(t):
-    return ranking.sort_inventory(t.store())
+    """The rows with their places in the sorted output: partition after partition, row after row."""
+    row = F.monotonically_increasing_id()
+    placed = materialize(
+        ranking.sort_inventory(t.store()).select(*KEY, F.shiftright(row, 33).alias("part"), row.bitwiseAND(F.lit((1 << 33) - 1)).alias("at"))
+    )
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = placed.groupBy("part").agg(F.count("*").alias("n"))
+    starts = sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    return placed.join(starts, "part").select(*KEY, (F.col("start") + F.col("at")).alias("position"))
 
 
 def next_due(t):
@@ -421,7 +439,7 @@ def admit(t):
 
 
 def _check(t, **kw):
-    return jobs.block_check(t.files(), t.snapshots(), ignore_list(t), t.store(), ts=NOW, **kw)
+    return jobs.block_check(t.files(), t.snapshots(), _ignored(t), t.store(), ts=NOW, **kw)
 
 
 def block_check(t):
@@ -520,8 +538,7 @@ def run_once(t, stream: DataFrame, name: str) -> DataFrame:
     folder = scratch(t, name)
     setting, spark = "spark.sql.shuffle.partitions", t.spark
     before = spark.conf.get(setting)
-    if spark.sparkContext.master.startswith("local"):  # each state partition starts a Python worker
-        spark.conf.set(setting, str(spark.sparkContext.defaultParallelism))
+    spark.conf.set(setting, str(spark.sparkContext.defaultParallelism))  # each state partition starts a Python worker
     try:
         query = (
             stream.writeStream.format("parquet")
@@ -545,7 +562,7 @@ def _rocksdb(t):
 def stream_backup_requests(t):
     _rocksdb(t)
     live = StreamTables(t.spark, t.folder)
-    return us(run_once(t, streams.stream_backup_requests(live.finalized(), AGE), "backup"), "opened_ts", "due_ts")
+    return us(run_once(t, streams.stream_backup_requests(live.finalized(), AGE, delay="0 seconds"), "backup"), "opened_ts", "due_ts")
 
 
 def stream_restore_requests(t):
@@ -559,7 +576,7 @@ def stream_restore_requests(t):
         F.lit(7).cast("bigint").alias("gen_stamp"),
         "ts",
     )
-    return us(run_once(t, streams.stream_restore_requests(seen, t.store(), AGE), "restore"), "ts")
+    return us(run_once(t, streams.stream_restore_requests(seen, t.store(), AGE, delay="0 seconds"), "restore"), "ts")
 
 
 def stream_throughput(t):

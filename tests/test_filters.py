@@ -2,22 +2,30 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from blockledger.functions.columns import path_ancestors
+from blockledger.functions.columns import normal_path, path_ancestors
 from blockledger.operators.filters import drop_ignored
 from blockledger.sources.inventory import ignore_list
 
-PATH = "/a/b/c/d/e/f"
+FILES = ["/logs/app/today.txt", "/logs/application/old.txt", "/logs", "/data/x//y/", "/", None]
 
 
 @pytest.mark.parametrize("inline", [1_000, 0])
 @pytest.mark.parametrize(
-    "listed, dropped",
-    [("/a", True), ("/a/c", False), (PATH, True), (PATH + "/g", False), ("/a/b/c/e/e/f/g", False), ("/", True)],
+    "listed, kept",
+    [
+        ([], FILES),
+        (["/logs/app"], FILES[1:]),  # a sibling that begins alike stays
+        (["/logs/app/"], FILES[1:]),
+        (["/logs/app/today.txt", "/nowhere"], FILES[1:]),
+        (["/logs/app/today.txt/below"], FILES),
+        (["/data/x", "/logs"], ["/", None]),
+        (["/"], [None]),  # a file without a path lies nowhere
+    ],
 )
-def test_ignored(table, listed, dropped, inline):
-    files = table([(PATH,)], "path string")
-    kept = drop_ignored(files, table([(listed,)], "path string"), inline=inline)
-    assert kept.count() == (0 if dropped else 1)
+def test_ignored(table, listed, kept, inline):
+    ignore = table([(p,) for p in listed], "path string").select(normal_path(F.col("path")).alias("path"))
+    files = table([(p,) for p in FILES], "path string")
+    assert rows(drop_ignored(files, ignore, inline=inline)) == sorted([(p,) for p in kept], key=repr)
 
 
 def test_ancestors(table):
