@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from blockledger.llm.langid import quoted
 from blockledger.llm.lines import KEY, same_key, with_key
-from blockledger.llm.staging import staged
+from blockledger.llm.staging import free_of, staged
 
 # What separates words.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -125,8 +125,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = 10, grain: int
     `n_hit` counts the words inside any occurrence of a window of any item, `n_items` the items with one. Null and empty
     texts have no words, and items without words no windows. An item with a null item_id makes words hit, but is not
     counted. Items given twice count once. Rows that agree in doc_id and text are one document and treated alike; all
-    stay. Other columns are kept; none may be called like the five, or begin with an underscore.
+    stay. Other columns are kept, but for those called like the five or `_doc`, `_sig`. Without documents there are no
+    rows, without items nothing is hit.
     """
+    docs = free_of(docs, "n_words", "n_hit", "n_items", "item_ids", "contaminated", "_doc", "_sig")
     hits = occurrences(docs.select("doc_id", "text"), items.select("item_id", "text"), size, grain)
     hits = staged(hits, "hits")
     order = Window.partitionBy(*KEY).orderBy("start").rowsBetween(Window.unboundedPreceding, -1)

@@ -12,9 +12,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from blockledger.llm.bpe import slices
-from blockledger.llm.staging import staged
+from blockledger.llm.staging import free_of, staged
 
 UNKNOWN = "und"
 _LETTERS: list[np.ndarray] = []
@@ -100,8 +101,10 @@ def predict(docs: DataFrame, profiles: DataFrame, longest: int = 3, size: int =
     """`docs` with `lang_pred` and `score`: 1 less the share of the largest possible distance, so 1 is the same profile.
 
     Null and empty texts, and those without a letter, get `und` and 0; so does everything if there are no profiles.
-    Equal distances go to the language whose name comes first. `docs` must not have columns of these two names.
+    Equal distances go to the language whose name comes first. Repeated rows and null doc_ids are judged like others. All
+    other columns are kept, but for those called like the two or `_row`. An empty table gives no rows.
     """
+    docs = free_of(docs, "lang_pred", "score", "_row")
     known = profiles.collect()  # bounded: `size` rows a language, and the languages are counted
     langs = sorted({r["lang"] for r in known})
     keys = np.unique(np.array([r["gram"] for r in known], np.int64))
@@ -132,8 +135,9 @@ def predict(docs: DataFrame, profiles: DataFrame, longest: int = 3, size: int =
     names = [*others[:1], "text", *others[1:]]
     if not others:
         docs, names = docs.withColumn("_row", F.lit(0)), ["_row", "text"]
-    schema = docs.select(*[quoted(c) for c in names]).schema.add("lang_pred", "string").add("score", "double")
-    judged = docs.select(*[quoted(c) for c in names]).mapInArrow(run, schema)
+    plain = docs.select(*[quoted(c) for c in names])
+    schema = StructType([*plain.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    judged = plain.mapInArrow(run, schema)
     return judged.select(*[quoted(c) for c in [*(c for c in docs.columns if c != "_row"), "lang_pred", "score"]])
 
 

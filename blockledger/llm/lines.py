@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from blockledger.llm.langid import quoted
-from blockledger.llm.staging import staged
+from blockledger.llm.staging import free_of, staged
 
 KEY = ["_doc", "_sig"]
 
@@ -80,12 +80,12 @@ def repeated_windows(docs: DataFrame, window: int) -> DataFrame:
 
 
 def repeated_runs(docs: DataFrame, window: int) -> DataFrame:
-    """`_doc`, `_sig`, `runs`: sorted, disjoint `start` (from 1) and `stop` (exclusive) of the lines to delete."""
+    """`_doc`, `_sig`, `_runs`: sorted, disjoint `start` (from 1) and `stop` (exclusive) of the lines to delete."""
     order = Window.partitionBy(*KEY).orderBy("at")
     opens = (F.col("at") > F.lag("at").over(order) + window) | F.lag("at").over(order).isNull()
     matched = repeated_windows(docs, window).withColumn("run", F.sum(opens.cast("int")).over(order))
     runs = matched.groupBy(*KEY, "run").agg(F.min("at").alias("start"), (F.max("at") + window).alias("stop"))
-    return runs.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("runs"))
+    return runs.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("_runs"))
 
 
 def drop_repeated_lines(docs: DataFrame, window: int = 2) -> DataFrame:
@@ -95,16 +95,17 @@ def drop_repeated_lines(docs: DataFrame, window: int = 2) -> DataFrame:
     further up in the same one. The first occurrence stays. Lines are compared byte for byte. Null texts stay null and
     have no lines; an empty text is one empty line. Rows with the same doc_id are ordered by a hash of their texts; rows
     that also have the same text are one document and treated alike. A null doc_id comes before all others. Other
-    columns are kept; none may be called like the three, or begin with an underscore.
+    columns are kept, but for those called like the three or `_doc`, `_sig`, `_lines`, `_runs`. No rows give no rows.
     """
+    docs = free_of(docs, "n_lines", "n_removed", "n_runs", "_doc", "_sig", "_lines", "_runs")
     keyed = with_key(docs)
     runs = repeated_runs(docs.select("doc_id", "text"), window)
     joined = keyed.join(runs, same_key(keyed, runs), "left").drop(runs["_doc"]).drop(runs["_sig"])
     parts = F.expr(
-        "zip_with(concat(array(1), runs.stop), concat(runs.start, array(size(_lines) + 1)), (a, b) -> slice(_lines, a, b - a))"
+        "zip_with(concat(array(1), _runs.stop), concat(_runs.start, array(size(_lines) + 1)), (a, b) -> slice(_lines, a, b - a))"
     )
-    text = F.when(F.col("runs").isNull(), F.col("text")).otherwise(F.array_join(F.flatten(parts), "\n"))
-    removed = F.expr("aggregate(runs, 0, (n, r) -> n + r.stop - r.start)")
+    text = F.when(F.col("_runs").isNull(), F.col("text")).otherwise(F.array_join(F.flatten(parts), "\n"))
+    removed = F.expr("aggregate(_runs, 0, (n, r) -> n + r.stop - r.start)")
     columns = [quoted(c) for c in docs.columns if c != "text"]
     joined = joined.withColumn("_lines", lines_of("text"))
     return joined.select(
@@ -112,5 +113,5 @@ def drop_repeated_lines(docs: DataFrame, window: int = 2) -> DataFrame:
         text.alias("text"),
         F.coalesce(F.when(F.col("text").isNotNull(), F.size("_lines")), F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce(removed, F.lit(0)).cast("long").alias("n_removed"),
-        F.coalesce(F.when(F.col("runs").isNotNull(), F.size("runs")), F.lit(0)).cast("long").alias("n_runs"),
+        F.coalesce(F.when(F.col("_runs").isNotNull(), F.size("_runs")), F.lit(0)).cast("long").alias("n_runs"),
     )

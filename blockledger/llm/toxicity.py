@@ -15,11 +15,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructType
 
 from blockledger.llm.bpe import slices
 from blockledger.llm.hashing import LOWER, mixed, text_bytes
 from blockledger.llm.langid import quoted
-from blockledger.llm.staging import staged
+from blockledger.llm.staging import free_of, staged
 
 SLOTS = 1 << 22
 LETTER = np.zeros(256, bool)
@@ -188,15 +189,17 @@ def gradient(bags: DataFrame, weights: np.ndarray, bias: float, clean: int, toxi
     return np.sum([r["slope"] for r in rows], axis=0)
 
 
-SCORED = "score double, predicted int, offending array<struct<start: int, stop: int, score: double>>"
+SENTENCE = StructType().add("start", IntegerType()).add("stop", IntegerType()).add("score", DoubleType())
+SCORED = StructType().add("score", DoubleType()).add("predicted", IntegerType()).add("offending", ArrayType(SENTENCE))
 
 
 def predict(docs: DataFrame, model: Model, threshold: float = 0.7, offends: float = 0.5) -> DataFrame:
     """`docs` with `score`, `predicted` (score >= `threshold`) and `offending`: the sentences of at least `offends`.
 
     Those are given by their bytes in the text. Null and empty texts, and texts without a sentence, score 0. Rows and
-    their other columns stay as they are; none may be called like one of the three.
+    their other columns stay as they are, but for those called like the three or `_row`. An empty table gives no rows.
     """
+    docs = free_of(docs, "score", "predicted", "offending", "_row")
     slots, weights = model.slots, model.weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,7 +232,6 @@ def predict(docs: DataFrame, model: Model, threshold: float = 0.7, offends: floa
         docs, others = docs.withColumn("_row", F.lit(0)), ["_row"]
     names = [others[0], "text", *others[1:]]
     plain = docs.select(*[quoted(c) for c in names])
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields), SCORED])
-    scored = plain.mapInArrow(run, schema)
+    scored = plain.mapInArrow(run, StructType([*plain.schema.fields, *SCORED.fields]))
     kept = [c for c in docs.columns if c != "_row"]
     return scored.select(*[quoted(c) for c in [*kept, "score", "predicted", "offending"]])

@@ -11,17 +11,36 @@ import re
 import unicodedata
 
 import numpy as np
-import regex
 
 # Fixed values of the vocabulary file: its normaliser and splitter.
 ADDED = re.compile(r"(<\|startoftext\|>|<\|endoftext\|>)")
-PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-ASCII_PRE_TOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")  # the same for ASCII alone
+ASCII_PRE_TOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")  # the same for ASCII alone
 # White space for str.split() only, not for the splitter; and characters it sees but str.split() cuts at.
 SEPARATORS = re.compile("[\x1c-\x1f]")
+WHITE = "\\t-\\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+# Letters and numbers of Unicode 16, which the splitter knows, that Unicode 15.1 does not have.
+LETTERS_16 = """1c89-1c8a a7cb-a7cd a7da-a7dc 105c0-105f3 10d4a-10d65 10d6f-10d85 10ec2-10ec4 11380-11389 1138b-1138b
+1138e-1138e 11390-113b5 113b7-113b7 113d1-113d1 113d3-113d3 11bc0-11be0 13460-143fa 16100-1611d 16d40-16d6c 18cff-18cff
+1e5d0-1e5ed 1e5f0-1e5f0"""
+NUMBERS_16 = "10d40-10d49 116d0-116e3 11bf0-11bf9 16130-16139 16d70-16d79 1ccf0-1ccf9 1e5f1-1e5fa"
 WORD_END = "</w>"
 
 
+def ranges(kind: str, newer: str) -> str:
+    """The characters whose category begins with `kind`, and the newer ones, as the inside of a character class."""
+    there = np.zeros(0x110001, bool)
+    there[:-1] = [unicodedata.category(chr(c))[0] == kind for c in range(0x110000)]
+    for pair in newer.split():
+        low, high = (int(x, 16) for x in pair.split("-"))
+        there[low : high + 1] = True
+    edges = np.flatnonzero(np.diff(there.astype(np.int8), prepend=0)).reshape(-1, 2)
+    return "".join(f"{chr(a)}-{chr(b - 1)}" for a, b in edges.tolist())
+
+
+LETTERS, NUMBERS = ranges("L", LETTERS_16), ranges("N", NUMBERS_16)
+PRE_TOKEN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^{WHITE}{LETTERS}{NUMBERS}]+")
+
+
 def byte_characters() -> list[str]:
     """The visible character that stands for each byte in a byte-level vocabulary: itself if printable, else from 256 up."""
     shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -47,7 +66,7 @@ def as_byte_characters(word: str) -> str:
 def pieces(text: str) -> list[str]:
     """The parts of a text that are encoded on their own."""
     if SEPARATORS.search(text):
-        return regex.split(r"[^\S\x1c-\x1f]+", text)
+        return re.split(f"[{WHITE}]+", text)
     return text.split()
 
 
