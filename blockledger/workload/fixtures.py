@@ -17,6 +17,9 @@ NODES = "supplier"
 _WRITTEN = {}
 
 
+STORED = []
+
+
 def stored(make):
     """Write the derived table to the shared checkpoint folder on first use and read it from there afterwards.
 
@@ -34,6 +37,7 @@ def stored(make):
             self._read[name] = self.spark.read.parquet(_WRITTEN[key])
         return self._read[name]
 
+    STORED.append(make.__name__)
     return get
 
 
