@@ -11,7 +11,7 @@ from blockledger.operators.anchored import ttl_dedupe
 from blockledger.operators.filters import backup_eligible, drop_ignored, unbackable
 from blockledger.operators.joins import small_side
 from blockledger.operators.metrics import gc_totals
-from blockledger.operators.payload import backup_payload, restore_payload
+from blockledger.operators.payload import apply_deletes, backup_payload, restore_payload
 from blockledger.operators.ranking import admit, assign_batches
 from blockledger.operators.reconcile import gc, pool_actions, reconcile
 from blockledger.operators.restore import restore_candidates
@@ -59,13 +59,14 @@ def block_check(
 class GcRun:
     deletes: DataFrame
     totals: DataFrame
+    store: DataFrame  # what is left once the deletes are carried out
 
 
 def gc_run(store, live, *, match_on="key", batch_size=DELETE_BATCH, errors=None) -> GcRun:
     """Garbage collection over the whole store at once, with totals. The deletes are decided once and written out."""
     deletes = materialize(gc(store, live, match_on))
     batches = assign_batches(deletes.withColumn("action", F.lit("delete")), batch_size)
-    return GcRun(batches, gc_totals(store, deletes, errors))
+    return GcRun(batches, gc_totals(store, deletes, errors), apply_deletes(store, deletes))
 
 
 @dataclass

@@ -29,7 +29,8 @@ def replicas_from_arrays(df: DataFrame, ips="ip_addrs", ports="ipc_ports") -> Da
 def parse_keys(keys: DataFrame, prefix=None, half=None) -> DataFrame:
     """Object keys to inventory rows. Rows that do not follow the layout keep `error` filled and no key columns.
 
-    The exact prefix is stripped, however many segments it has.
+    The exact prefix is stripped, however many segments it has. The split is a row of its own (`inline_outer`), or else
+    the optimiser would split the key again for every column and every condition on one.
     """
     key = F.col("key")
     if prefix:
@@ -38,10 +39,11 @@ def parse_keys(keys: DataFrame, prefix=None, half=None) -> DataFrame:
         rest = F.when(inside, F.substring(key, F.lit(len(head) + 1), F.length(key)))
     else:
         rest = key
-    part = F.split(rest, "/")
+    part = F.col("_part")
     number = lambda i: F.get(part, F.lit(i)).try_cast("bigint")
-    parsed = keys.select(
-        "*",
+    parsed = keys.select("*", F.inline_outer(F.array(F.struct(F.split(rest, "/").alias("_part"))))).select(
+        *keys.columns,
+        part,
         F.get(part, F.lit(0)).alias("half"),
         F.get(part, F.lit(1)).alias("pool_id"),
         number(2).alias("block_id"),
@@ -50,7 +52,7 @@ def parse_keys(keys: DataFrame, prefix=None, half=None) -> DataFrame:
         F.size(part).alias("_n"),
     )
     fault = (
-        F.when(rest.isNull(), "prefix")
+        F.when(part.isNull(), "prefix")
         .when(F.col("_n") != 5, "segments")
         .when(~F.col("half").isin("meta", "data"), "half")
         .when(F.col("pool_id") == "", "pool")

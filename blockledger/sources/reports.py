@@ -100,6 +100,19 @@ def action_events(batches: DataFrame, run_id: str, ts, debug: bool) -> DataFrame
     )
 
 
+def error_events(outcomes: DataFrame, event: str, run_id: str, ts) -> DataFrame:
+    """Report rows of what a callback could not do (`ok`, `error`): one per block, under an `...Error` event."""
+    return outcomes.filter(~F.col("ok")).select(
+        F.lit(run_id).alias("run_id"),
+        F.lit(ts).cast("timestamp").alias("ts"),
+        F.lit(0).cast("bigint").alias("seq"),
+        F.lit(event).alias("event"),
+        "pool_id",
+        F.lit(1).cast("bigint").alias("n_blocks"),
+        F.concat_ws(" ", block_text(), "error").alias("detail"),
+    )
+
+
 def framing_events(pools: DataFrame, run_id: str, ts) -> DataFrame:
     """The rows that open and close a run, each pool in it, and the handling of a pool that one side lacks."""
     spark = pools.sparkSession

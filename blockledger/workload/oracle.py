@@ -512,6 +512,14 @@ QUERIES = {
              f as (select pool_id, batch_no, max(length) >= 50000 as bad from b group by all)
         select {KEY}, not bad as ok, case when bad then 'OSError: block too long' end as error
         from b join f using (pool_id, batch_no)""",
+    "error_report": f"""
+        with b as ({numbered("select *, 'delete' as action from gc_rows", ["pool_id", "action"], KEYS4, 100)}),
+             f as (select pool_id, batch_no, max(length) >= 50000 as bad from b group by all)
+        select 'deleteBackupBlockError' as event, pool_id, 1 as n_blocks,
+               'ExtendedBlock [poolId=' || pool_id || ', blockId=' || block_id || ', length=' || length || ', generationStamp='
+               || gen_stamp || '] OSError: block too long' as detail
+        from b join f using (pool_id, batch_no) where bad""",
+    "gc_run_store": f"select {KEY} from store anti join gc_rows using ({KEY})",
     "send_requests_with": f"""
         with p as (select {KEY}, case when len(coalesce(replicas, [])) > 0
                    then replicas[1 + {key_hash('0')} % len(replicas)] end as replica from file_held)

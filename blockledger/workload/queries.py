@@ -455,6 +455,10 @@ def gc_run(t):
     return jobs.gc_run(t.store(), t.live()).deletes
 
 
+def gc_run_store(t):
+    return jobs.gc_run(t.store(), t.live()).store.select(*KEY)
+
+
 def gc_run_totals(t):
     return jobs.gc_run(t.store(), t.live(), match_on="block_id").totals
 
@@ -495,6 +499,11 @@ def apply_deletes_callback(t):
     return apply_deletes_with(_refuse_long, ranking.assign_batches(plan, 100))
 
 
+def error_report(t):
+    events = reports.error_events(apply_deletes_callback(t), "deleteBackupBlockError", "run", NOW)
+    return events.select("event", "pool_id", "n_blocks", "detail")
+
+
 def _refuse_host(host, batch):
     if host.startswith("10.0.0.7:"):
         raise IOError("no route")
@@ -722,6 +731,8 @@ QUERIES = {
     "block_check_report": block_check_report,
     "gc_run": gc_run,
     "gc_run_totals": gc_run_totals,
+    "gc_run_store": gc_run_store,
+    "error_report": error_report,
     "restore_run": restore_run,
     "node_validate": node_validate,
     "node_validate_ledger": node_validate_ledger,
