@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from blockledger.session import checkpoint_dir
 
@@ -33,17 +34,50 @@ def open_store(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
+def free_of(df: DataFrame, *names: str) -> DataFrame:
+    """`df` without its columns of these names, in upper or lower case: an operator's own columns take their place."""
+    return df.drop(*[c for c in df.columns if c.lower() in names])
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """Adds `_key`, a number that names a document by its doc_id and text; it is never null."""
     return docs.withColumn("_key", F.xxhash64(F.col("doc_id").cast("long"), F.lit("|"), F.xxhash64("text")))
 
 
+def chunked(df: DataFrame, name: str, size: int = 4 << 20) -> DataFrame:
+    """A copy of `df` in the shared folder with `chunk`, the same number for rows with about `size` bytes of `text`.
+
+    Chunks are cut where the rows are read, so nothing moves; one row may be larger. The copy is dealt out by chunk: work
+    on whole chunks, and joins with what is known of each, do not move it either.
+    """
+    columns, at = ["chunk", *df.columns], df.columns.index("text")
+
+    def cut(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        from pyspark import TaskContext
+
+        chunk, held = TaskContext.get().partitionId() << 32, 0
+        for batch in batches:
+            sizes = pc.fill_null(pc.binary_length(batch.column(at)), 0)
+            total = sizes.to_numpy(zero_copy_only=False).astype("int64").cumsum() + held
+            chunks = pa.array(chunk + (total - 1).clip(0) // size)
+            held = int(total[-1]) if len(total) else held
+            yield pa.RecordBatch.from_arrays([chunks, *batch.columns], names=columns)
+
+    tagged = df.mapInArrow(cut, StructType([StructField("chunk", LongType()), *df.schema.fields]))
+    return _dealt(tagged, "chunk", name)
+
+
 def bucketed(df: DataFrame, column: str, name: str) -> DataFrame:
     """A copy of `df` in the shared folder, dealt out by `column`, so that later joins on it do not move it again."""
+    return _dealt(df.repartition(shuffle_parts(df.sparkSession), column), column, name)
+
+
+def _dealt(df: DataFrame, column: str, name: str) -> DataFrame:
     spark = df.sparkSession
-    parts = shuffle_parts(spark)
     path = shared_path(spark, name)
     table = "kept_" + path[-32:]
-    writer = df.repartition(parts, column).write.format("parquet").option("compression", "zstd").option("path", path)
-    writer.bucketBy(parts, column).saveAsTable(table)
+    writer = df.write.format("parquet").option("compression", "zstd").option("path", path)
+    writer.bucketBy(shuffle_parts(spark), column).saveAsTable(table)
     return spark.table(table)

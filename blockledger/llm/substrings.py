@@ -23,13 +23,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from blockledger.llm.hashing import BASE, BYTES, mixed, text_bytes
-from blockledger.llm.staging import bucketed, keyed, shuffle_parts, staged
+from blockledger.llm.staging import chunked, shuffle_parts, staged
 
 BLOCK = 1 << 20  # windows looked at together
 SORTED = 400_000  # suffixes sorted together
+SHORT = 6  # bytes of a trigger that tell whether it is shared
 FIRST = -(1 << 63)  # stands for a null doc_id
 
 
+def shortened(triggers: np.ndarray) -> bytes:
+    """The low `SHORT` bytes of each trigger. Two that agree in these alone only let more phrases through."""
+    return np.ascontiguousarray(triggers).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :SHORT].tobytes()
+
+
+def long(packed: bytes) -> np.ndarray:
+    short = np.frombuffer(packed, np.uint8).reshape(-1, SHORT)
+    return np.pad(short, ((0, 0), (0, 8 - SHORT))).view("<u8").ravel()
+
+
 @dataclass(frozen=True)
 class Shape:
     size: int
@@ -145,10 +156,11 @@ def shared_dictionary(table: pa.Table, known: pa.Table, shape: Shape):
     """The phrases of a chunk whose triggers are shared: all occurrences, the sorted distinct rows, and which row each is."""
     data, cuts, ids = of_chunk(table)
     found = phrases(data, cuts, shape)
-    wanted = [np.frombuffer(x, np.uint64) for x in known["triggers"].to_pylist() if x is not None]
+    wanted = [long(x) for x in known["triggers"].to_pylist() if x is not None]
     wanted = np.unique(np.concatenate(wanted)) if wanted else np.zeros(0, np.uint64)
-    at = np.minimum(np.searchsorted(wanted, found.trigger), max(len(wanted) - 1, 0))
-    found = found.take(wanted[at] == found.trigger if len(wanted) else np.zeros(len(found.trigger), bool))
+    short = long(shortened(found.trigger))
+    at = np.minimum(np.searchsorted(wanted, short), max(len(wanted) - 1, 0))
+    found = found.take(wanted[at] == short if len(wanted) else np.zeros(len(short), bool))
     rows = entries(found, data, shape)
     order, new = sorted_rows(rows)
     which = np.zeros(len(rows), np.int64)
@@ -173,7 +185,8 @@ def repeats(kept: DataFrame, shape: Shape, parts: int) -> DataFrame:
         trigger = trigger[starts]
         order, ends = parts_of(trigger, parts)
         full = [i for i in range(parts) if ends[i] < ends[i + 1]]
-        packed = [[x[order[ends[i] : ends[i + 1]]].tobytes() for i in full] for x in (trigger, several)]
+        pieces = [order[ends[i] : ends[i + 1]] for i in full]
+        packed = [[shortened(trigger[x]) for x in pieces], [several[x].tobytes() for x in pieces]]
         chunk = table["chunk"][0].as_py()
         return pa.table(
             {
@@ -185,14 +198,14 @@ def repeats(kept: DataFrame, shape: Shape, parts: int) -> DataFrame:
         )
 
     def compare(table: pa.Table) -> pa.Table:
-        lists = [np.frombuffer(x, np.uint64) for x in table["triggers"].to_pylist()]
+        lists = [long(x) for x in table["triggers"].to_pylist()]
         every = np.concatenate(lists)
         several = np.frombuffer(b"".join(table["several"].to_pylist()), bool)
         values, at, count = np.unique(every, return_inverse=True, return_counts=True)
         shared = count > 1
         shared[at[several]] = True
         mine = np.split(shared[at], np.cumsum([len(x) for x in lists])[:-1])
-        packed = [x[m].tobytes() for x, m in zip(lists, mine, strict=True)]
+        packed = [shortened(x[m]) for x, m in zip(lists, mine, strict=True)]
         return pa.table({"chunk": table["chunk"], "triggers": pa.array(packed, pa.binary())})
 
     told = kept.groupBy("chunk").applyInArrow(tell, "bucket long, chunk long, triggers binary, several binary")
@@ -211,6 +224,7 @@ def repeats(kept: DataFrame, shape: Shape, parts: int) -> DataFrame:
         full = [i for i in range(parts) if ends[i] < ends[i + 1]]
         columns = (np.arange(len(rows), dtype=np.int32), rows, first, last)
         packed = [[x[order[ends[i] : ends[i + 1]]].tobytes() for i in full] for x in columns]
+        packed[1] = [pa.compress(x, "zstd", asbytes=True) for x in packed[1]]
         chunk = table["chunk"][0].as_py()
         heads = [pa.array(full, pa.int64()), pa.array([chunk] * len(full), pa.int64())]
         return pa.table(dict(zip(names, [*heads, *[pa.array(x, pa.binary()) for x in packed]], strict=True)))
@@ -221,7 +235,9 @@ def repeats(kept: DataFrame, shape: Shape, parts: int) -> DataFrame:
         phrase, first, last = (
             np.frombuffer(b"".join(table[c].to_pylist()), t) for c, t in (("phrase", "<i4"), ("first", "<i8"), ("last", "<i8"))
         )
-        rows = np.frombuffer(b"".join(table["rows"].to_pylist()), np.uint8).reshape(-1, width)
+        packed = zip(table["rows"].to_pylist(), counts, strict=True)
+        rows = b"".join(pa.decompress(x, n * width, "zstd", asbytes=True) for x, n in packed)
+        rows = np.frombuffer(rows, np.uint8).reshape(-1, width)
         order, new = sorted_rows(rows)
         starts = np.flatnonzero(new)
         distinct = rows[order[starts]]
@@ -297,9 +313,7 @@ def drop_repeats(docs: DataFrame, size: int = 50, gram: int = 16) -> DataFrame:
     spark = docs.sparkSession
     shape = Shape(size, gram)
     parts = shuffle_parts(spark)
-    chunk = F.pmod(F.col("_key"), F.lit(8 * parts))
-    rows = keyed(docs.select("doc_id", "text")).select(chunk.alias("chunk"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    kept = bucketed(rows, "chunk", "chunks")
+    kept = chunked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "chunks")
     known = repeats(kept, shape, parts)
 
     def cut(table: pa.Table, known: pa.Table) -> pa.Table:
