@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from blockledger.llm.hashing import BLANKS, mixed, text_bytes, word_hashes
 from blockledger.llm.langid import fold
-from blockledger.llm.staging import bucketed, keyed, shuffle_parts, staged
+from blockledger.llm.staging import chunked, shuffle_parts, staged
 
 LEVELS = 24  # context frequencies 1, 2-3, 4-7, ... have a weight each
 FINE = 64  # steps of a power of two in which EM tells the ratio of the two shares apart
@@ -210,16 +210,11 @@ def score(docs: DataFrame, held_out: int = 2, folds: int = 7, held_share: int =
     counts are 0 and every token has probability 1. Words and pairs are told apart by 64-bit hashes. Other columns are
     not read.
     """
-    parts = shuffle_parts(docs.sparkSession)
+    parts = 4 * shuffle_parts(docs.sparkSession)
     out = fold("doc_id", folds) == held_out
     part = F.when(out, 2).when(F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit("part")), F.lit(held_share)) == 0, 1).otherwise(0)
-    rows = keyed(docs.select("doc_id", "text")).select(
-        F.pmod(F.col("_key"), F.lit(8 * parts)).alias("chunk"),
-        F.col("doc_id").cast("long").alias("doc_id"),
-        part.cast("int").alias("part"),
-        "text",
-    )
-    kept = bucketed(rows, "chunk", "chunks")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), part.cast("int").alias("part"), "text")
+    kept = chunked(rows, "chunks", 2 << 20)
     totals, sums = totals_of(kept, parts)
     # at most LEVELS * 128 * FINE rows: ratios lie between 2^-64 and 2^64
     weights = learn(choices(kept, totals, sums, parts).collect(), steps)
