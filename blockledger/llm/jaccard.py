@@ -4,9 +4,10 @@ Tokens are hashes of word shingles; a document is the set of its own, and equal
 of their first few tokens in any common order, and in one that puts frequent tokens last few others do.
 
 1. Nodes that share such a token are compared with one of them, which stands for it; links found so make groups.
-2. For the tokens still found in several components, the matrix tells which groups of at most `GROUP` nodes have them. A
-   node is sent to such a group only if sizes allow a link; there it is compared with the union of the group's tokens,
-   and the group is opened, that is the node compared with every member, only if the union holds enough of its tokens.
+2. For the tokens still found in several components, the matrix tells which groups of about `GROUP` nodes have them. A
+   node is sent to such a group only if sizes allow a link, and if as many of its first tokens are in the group's row as
+   any link would need. There it is compared with the union of all tokens of the group, and the group is opened, that
+   is the node compared with every member, only if the union holds enough of its tokens.
 
 Pairs within a component are not enumerated, and no link between components is lost.
 """
@@ -24,12 +25,13 @@ from blockledger.llm.bpe import slices
 from blockledger.llm.components import components
 from blockledger.llm.hashing import BLANKS, mixed, text_bytes, word_hashes
 from blockledger.llm.langid import quoted
-from blockledger.llm.staging import bucketed, keyed, shuffle_parts, staged
+from blockledger.llm.staging import bucketed, free_of, keyed, shuffle_parts, staged
 
-GROUP = 64  # members of a group
+GROUP = 256  # members of a group
+BAND = 1.05  # sizes in a group differ by no more than this
 FREQUENT, LISTED = 32, 100_000  # a token in so many prefixes is frequent; so many of the most frequent are put last
 POSTING = 4_096  # nodes of a frequent token that are looked at together
-LOAD = 500_000  # tokens of the nodes that a group is compared with at once
+LOAD = 2_000_000  # tokens of the nodes that a group is compared with at once
 STEPS = [np.uint64(int(x)) for x in np.random.default_rng(7).integers(1, 1 << 62, 64) * 2 + 1]
 
 
@@ -177,6 +179,14 @@ def shared_postings(posted: DataFrame, frequent: dict[str, np.ndarray]) -> DataF
     return posted.groupBy("bucket").applyInArrow(run, "token long, node long, size int, first long, first_size int")
 
 
+def least_common(a: str, b: str, share: int) -> str:
+    """How many tokens linked sets of these sizes share at least among their prefixes.
+
+    All they share up to the end of the prefix that ends first is in both, and beyond it one of them has only so many.
+    """
+    return f"{share} / {100 + share} * ({a} + {b}) - {share} / 100 * greatest({a}, {b}) - 1e-6"
+
+
 def fits(a: str, b: str, share: int) -> str:
     """Do the sizes of two sets allow the similarity?"""
     return f"{share} * greatest({a}, {b}) <= 100 * least({a}, {b})"
@@ -192,44 +202,67 @@ def sets_of(kept: DataFrame, named: DataFrame, wanted: DataFrame, width: int) ->
                 sets = [x.tobytes() for x in token_sets(part.column(1), width)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], names=["node", "tokens"])
 
-    texts = kept.select("_key", "text").join(chosen.hint("shuffle_hash"), "_key").select("node", "text")
-    return texts.mapInArrow(run, "node long, tokens binary").dropDuplicates(["node"])
+    texts = kept.select("_key", "text").join(chosen.hint("shuffle_hash"), "_key").dropDuplicates(["_key"])  # moves nothing
+    return texts.select("node", "text").mapInArrow(run, "node long, tokens binary")
+
+
+def groups(postings: DataFrame) -> DataFrame:
+    """`gid`, `node`, `size`, `rank`, `root` of every node: groups of about `GROUP` nodes of similar size.
+
+    Nodes are put together that share most tokens with the same other node. `rank` is how many nodes are in a component.
+    """
+    shares = postings.groupBy("node", "size", "root", "first").agg(F.count("*").alias("n"))
+    nodes = shares.groupBy("node", "size", "root").agg(F.max_by("first", F.struct("n", "first")).alias("like"))
+    nodes = nodes.withColumn("band", F.floor(F.log("size") / F.log(F.lit(BAND))))
+    counts = nodes.groupBy("like", "band").agg(F.ceil(F.count("*") / GROUP).alias("parts"))
+    ranks = nodes.groupBy("root").agg(F.count("*").alias("rank"))
+    dealt = nodes.join(counts, ["like", "band"]).join(ranks, "root")
+    gid = F.xxhash64("like", "band", F.pmod(F.xxhash64("node"), F.col("parts")))
+    return dealt.select(gid.alias("gid"), "node", "size", "rank", "root")
 
 
 def opened(members: DataFrame, queries: DataFrame, sets: DataFrame, share: int) -> DataFrame:
-    """Links `a`, `b` between the `node`s of `queries` and of `members` with the same `gid`.
+    """Links `a`, `b` between the `node`s of `queries` and the members of higher (`rank`, `root`) with the same `gid`.
 
-    Queries of a group are cut into parts of about `LOAD` tokens, each beside a copy of the members.
+    Pairs that links found in the same call connect already are not compared. Queries of a group are cut into parts of
+    about `LOAD` tokens, each beside a copy of the members.
     """
     sets = staged(sets, "sets")
     asked = queries.join(sets, "node")
     loads = queries.groupBy("gid").agg((F.sum("size") / LOAD + 1).cast("int").alias("parts"))
     asked = asked.join(loads, "gid").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     held = members.join(sets, "node").join(loads, "gid").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    held = held.select(*[F.col(c).alias(c) for c in ("gid", "part", "node", "tokens")])  # columns of its own
+    columns = ["gid", "part", "node", "rank", "root", "tokens"]
+    held = held.select(*[F.col(c).alias(c) for c in columns])  # columns of its own
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         found: list[tuple[int, int]] = []
-        own = left["node"].to_pylist()
+        own = list(zip(*(left[c].to_pylist() for c in ("node", "rank", "root")), strict=True))
         inside = [np.frombuffer(x, np.uint64) for x in left["tokens"].to_pylist()]
         union = np.unique(np.concatenate(inside)) if inside else np.zeros(0, np.uint64)
-        for node, packed in zip(right["node"].to_pylist(), right["tokens"].to_pylist(), strict=True):
-            if not inside:
-                break
-            tokens = np.frombuffer(packed, np.uint64)
+        into: dict[int, int] = {}
+
+        def top(root: int) -> int:
+            while root in into:
+                root = into[root]
+            return root
+
+        for row in right.select(["node", "rank", "root", "tokens"]).to_pylist() if inside else []:
+            tokens = np.frombuffer(row["tokens"], np.uint64)
             if 100 * common(tokens, union) < share * len(tokens):
                 continue
-            for other, its in zip(own, inside, strict=True):
+            for (node, rank, root), its in zip(own, inside, strict=True):
                 small, large = sorted((len(tokens), len(its)))
-                if other != node and share * large <= 100 * small:
-                    both = common(tokens, its)
-                    if 100 * both >= share * (small + large - both):
-                        found.append((node, other))
+                if (rank, root) <= (row["rank"], row["root"]) or share * large > 100 * small or top(root) == top(row["root"]):
+                    continue
+                both = common(tokens, its)
+                if 100 * both >= share * (small + large - both):
+                    found.append((row["node"], node))
+                    into[top(row["root"])] = top(root)
         return pa.table({"a": pa.array([x[0] for x in found], pa.int64()), "b": pa.array([x[1] for x in found], pa.int64())})
 
-    left = held.groupBy("gid", "part")
-    right = asked.select("gid", "part", "node", "tokens").groupBy("gid", "part")
-    return left.cogroup(right).applyInArrow(compare, "a long, b long")
+    right = asked.select(*columns).groupBy("gid", "part")
+    return held.groupBy("gid", "part").cogroup(right).applyInArrow(compare, "a long, b long")
 
 
 def common(a: np.ndarray, b: np.ndarray) -> int:
@@ -262,27 +295,30 @@ def near_components(docs: DataFrame, width: int, share: int) -> tuple[DataFrame,
     named = staged(source.select("_key", "text").mapInArrow(name, "_key long, node long, n_shingles long"), "nodes")
     some = named.where("n_shingles > 0")
     shared = staged(shared_postings(postings(source, width, share, frequent, parts), frequent), "postings")
-    stars = shared.where("node <> first").where(fits("size", "first_size", share)).select("first", "node", "size").distinct()
-    stars = staged(stars, "stars")
-    leaders = stars.select(F.col("first").alias("gid"), F.col("first").alias("node")).distinct()
-    queries = stars.select(F.col("first").alias("gid"), "node", "size")
+    stars = shared.where("node <> first").where(fits("size", "first_size", share))
+    stars = stars.groupBy("first", "node", "size", "first_size").agg(F.count("*").alias("common"))
+    stars = staged(stars.where(f"common >= {least_common('size', 'first_size', share)}"), "stars")
+    leaders = stars.select(*[F.col("first").alias(c) for c in ("gid", "node", "root")], F.lit(1).alias("rank")).distinct()
+    queries = stars.select(F.col("first").alias("gid"), "node", F.col("node").alias("root"), "size", F.lit(0).alias("rank"))
     sets = sets_of(kept, some, leaders.select("node").unionByName(queries.select("node")), width)
     links = staged(opened(leaders, queries, sets, share), "links")
     roots = staged(components(links), "roots")
-    placed = shared.select("token", "node", "size").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    placed = shared.select("token", "node", "size", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     cross = placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
     open_postings = staged(placed.join(cross.select("token"), "token", "left_semi"), "open-postings")
-    nodes = open_postings.select("node", "root", "size").distinct()
-    counts = nodes.groupBy("root").agg(F.ceil(F.count("*") / GROUP).alias("parts"))
-    grouped = nodes.join(counts, "root").withColumn("gid", F.xxhash64("root", F.pmod(F.xxhash64("node"), F.col("parts"))))
-    grouped = staged(grouped.select("gid", "root", "node", "size"), "groups")
-    matrix = open_postings.select("token", "node").join(grouped, "node").groupBy("token", "gid", "root")
-    matrix = matrix.agg(F.min("size").alias("smallest"), F.max("size").alias("largest"))
-    asking = open_postings.select("token", "node", "size", F.col("root").alias("own"))
-    asking = asking.join(matrix, "token").where("own < root")
-    asking = asking.where(f"{share} * size <= 100 * largest and {share} * smallest <= 100 * size")
-    asking = staged(asking.select("gid", "node", "size").distinct(), "asking")
-    members = grouped.join(asking.select("gid").distinct(), "gid", "left_semi").select("gid", "node")
+    grouped = staged(groups(open_postings), "groups")
+    matrix = open_postings.select("token", "node").join(grouped.select("node", "gid"), "node").select("token", "gid").distinct()
+    facts = grouped.groupBy("gid").agg(
+        F.min("size").alias("smallest"), F.max("size").alias("largest"), F.max(F.struct("rank", "root")).alias("above")
+    )
+    asking = open_postings.select("token", "node").join(matrix, "token").groupBy("gid", "node").agg(F.count("*").alias("common"))
+    asking = asking.join(grouped.drop("gid"), "node").join(facts, "gid").where(F.struct("rank", "root") < F.col("above"))
+    asking = asking.withColumn("low", F.expr(f"greatest(smallest, {share} / 100 * size)"))
+    asking = asking.withColumn("high", F.expr(f"least(largest, 100 / {share} * size)"))
+    enough = f"least({least_common('size', 'low', share)}, {least_common('size', 'high', share)})"
+    asking = asking.where(f"low <= high + 1e-6 and common >= {enough}").select("gid", "node", "size", "rank", "root")
+    asking = staged(asking, "asking")
+    members = grouped.join(asking.select("gid").distinct(), "gid", "left_semi").select("gid", "node", "rank", "root")
     sets = sets_of(kept, some, members.select("node").unionByName(asking.select("node")), width)
     more = opened(members, asking, sets, share)
     roots = components(links.unionByName(more))
@@ -310,8 +346,10 @@ def near_duplicates(docs: DataFrame, width: int = 4, share: int = 85) -> DataFra
 def drop_near_duplicates(docs: DataFrame, width: int = 4, share: int = 85) -> DataFrame:
     """`docs` with one row of each component: that of the smallest doc_id, and of equal ones that with the smaller hash.
 
-    All rows without tokens stay. All columns of `docs` are kept; none may begin with an underscore.
+    All rows without tokens stay, those that agree in doc_id and text too. All columns of `docs` are kept, but for one
+    called `_key`. No rows give no rows.
     """
+    docs = free_of(docs, "_key")
     kept, found = near_components(docs, width, share)
     found = staged(found.dropDuplicates(["_key"]), "found")
     ids = kept.select("_key", F.col("doc_id").cast("long").alias("doc_id")).join(found, "_key")
