@@ -109,7 +109,7 @@ def totals_of(kept: DataFrame, parts: int) -> tuple[DataFrame, Totals]:
             ends = np.cumsum([0, *map(len, lists)])
             found = total[at]
             for i, chunk in enumerate(mine["chunk"].to_pylist()):
-                values = chunk, table["bucket"][0].as_py(), kind, found[ends[i] : ends[i + 1]].tobytes()
+                values = chunk, table["bucket"][0].as_py(), kind, narrow(found[ends[i] : ends[i + 1]])
                 for name, value in zip(out, values, strict=True):
                     out[name].append(value)
         n = len(out["chunk"])
@@ -132,6 +132,17 @@ ADDED = [
 ]
 
 
+def narrow(counts: np.ndarray) -> bytes:
+    """Pairs of counts in 16, 32 or 64 bits, as few as hold them all; the first byte tells how many bytes."""
+    most = int(counts.max(initial=0))
+    size = 2 if most < 1 << 16 else 4 if most < 1 << 32 else 8
+    return bytes([size]) + counts.astype(f"<u{size}").tobytes()
+
+
+def wide(packed: bytes) -> np.ndarray:
+    return np.frombuffer(packed, f"<u{packed[0]}", offset=1).reshape(-1, 2).astype(np.int64)
+
+
 def looked_up(table: pa.Table, answers: pa.Table, parts: int):
     """Both totals of every token, context and pair in a chunk, in the order of of_texts, and where its texts begin and end."""
     tokens, context, pairs, ends = of_texts(table)
@@ -140,9 +151,11 @@ def looked_up(table: pa.Table, answers: pa.Table, parts: int):
     for kind, keys in ((False, words), (True, np.unique(pairs))):
         total = np.zeros((len(keys), 2), np.int64)
         bucket = (keys % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        starts = np.searchsorted(bucket[order], np.arange(parts + 1))
         mine = answers.filter(pc.equal(answers["pairs"], kind))
         for i, packed in zip(mine["bucket"].to_pylist(), mine["counts"].to_pylist(), strict=True):
-            total[bucket == i] = np.frombuffer(packed, np.int64).reshape(-1, 2)
+            total[order[starts[i] : starts[i + 1]]] = wide(packed)
         order = np.argsort(keys)
         found.append((keys[order], total[order]))
     (words, word_totals), (distinct, pair_totals) = found
