@@ -159,13 +159,17 @@ def listing_events(blocks: DataFrame, run_id: str, ts, event: str, debug: bool)
     return rows if debug else rows.limit(0)
 
 
-def write_report(events: DataFrame, path: str) -> None:
-    """Write report rows, one folder per run, so that old runs can be dropped without a scan.
+def write_report(events: DataFrame, path: str, step: str | None = None) -> None:
+    """Write report rows, a folder for each `step` in one per run, so that old runs can be dropped without a scan.
 
-    A run that is written again replaces its own folder and leaves the others alone.
+    A step that is written again replaces its own folder and leaves the run's other steps and other runs alone. Rows
+    without a given `step` belong to one named by their event if that is an `...Error`, and to `plan` otherwise. No rows
+    replace nothing.
     """
+    of_event = F.when(F.endswith("event", F.lit("Error")), F.col("event")).otherwise(F.lit("plan"))
+    events = events.withColumn("step", of_event if step is None else F.lit(step))
     writer = events.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    writer.partitionBy("run_id").parquet(path)
+    writer.partitionBy("run_id", "step").parquet(path)
 
 
 def prune_reports(reports: DataFrame, now, keep=REPORT_KEEP) -> DataFrame:

@@ -167,7 +167,7 @@ def write_report(t):
     plan = reconcile.reconcile(t.live(), t.store()).filter(F.col("action") != "in_sync")
     events = reports.action_events(ranking.assign_batches(plan, 100), "run1", NOW, debug=False)
     reports.write_report(events, folder)
-    return us(t.spark.read.parquet(folder), "ts").drop("run_id")
+    return us(t.spark.read.parquet(folder), "ts").drop("run_id", "step")
 
 
 def checksum_meta(t):

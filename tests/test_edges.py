@@ -14,7 +14,7 @@ from blockledger.operators.payload import backup_payload, upsert_payload
 from blockledger.operators.ranking import admit
 from blockledger.operators.reconcile import reconcile, restore_unknown, unnamed
 from blockledger.plans.jobs import node_validate
-from blockledger.sources.reports import write_report
+from blockledger.sources.reports import error_events, write_report
 from blockledger.streaming.sinks import gc_pages, run_gc_pages
 
 BLOCK = "pool_id string, block_id bigint, length bigint, gen_stamp bigint"
@@ -102,3 +102,16 @@ def test_a_repeated_run_replaces_its_report(spark, table, tmp_path):
     for run, events in (("a", ["x", "y"]), ("b", ["z"]), ("a", ["x", "y"])):
         write_report(table([(run, e) for e in events], schema), str(tmp_path / "r"))
     assert spark.read.parquet(str(tmp_path / "r")).count() == 3
+
+
+def test_errors_of_a_run_leave_its_plan_rows(spark, table, tmp_path):
+    plan = table([("run", e) for e in ("start", "deleteBackupBlock", "complete")], "run_id string, event string")
+    failed = table([("p", i, 3, 1, False, "down") for i in (1, 2)], f"{BLOCK}, ok boolean, error string")
+    folder = str(tmp_path / "r")
+    write_report(plan, folder)
+    for event in ("deleteBackupBlockError", "backupRequestError", "deleteBackupBlockError"):
+        write_report(error_events(failed, event, "run", "2024-01-31").select("run_id", "event"), folder)
+    write_report(plan, folder)
+    write_report(plan.limit(1), folder, step="second pass")
+    counts = {r["step"]: r["count"] for r in spark.read.parquet(folder).groupBy("step").count().collect()}
+    assert counts == {"plan": 3, "deleteBackupBlockError": 2, "backupRequestError": 2, "second pass": 1}
