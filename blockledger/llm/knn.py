@@ -104,13 +104,14 @@ def blocks_of(rows: DataFrame, size: int) -> DataFrame:
 def qualified(queries: list, data: list, pivots: Pivots, k: int) -> list[tuple[int, int]]:
     """The pairs of a query cell and a data cell whose members may score among the k best, by the cells' summaries.
 
-    Summaries are cell, n, radius, and for data the distances of the k + 1 nearest: one of them may be the query itself.
+    Summaries are cell, n, radius, and for data the distances of the k + 1 nearest of different ids, with those ids (without
+    them all rows count as different). Of each id only the best row of all cells counts, so one at most is the query's own.
     """
     found = []
     for q in queries:
         p = pivots.point(q["cell"])
         norm = np.linalg.norm(p) + q["radius"]
-        upper, sure = [], []
+        upper, sure = [], {}
         for d in data:
             c = pivots.point(d["cell"])
             if len(c) != len(p):
@@ -118,8 +119,10 @@ def qualified(queries: list, data: list, pivots: Pivots, k: int) -> list[tuple[i
             middle, slip = float(p @ c), q["radius"] * float(np.linalg.norm(c))
             wide = SLACK * (1 + abs(middle) + slip + norm * d["radius"])
             upper.append((middle + slip + norm * d["radius"] + wide, d["cell"]))
-            sure += [middle - slip - norm * x - wide for x in d["near"]]
-        reached = sorted(sure, reverse=True)[k] if len(sure) > k else -np.inf
+            names = d["ids"] if "ids" in d else [(d["cell"], i) for i in range(len(d["near"]))]
+            for name, x in zip(names, d["near"], strict=True):
+                sure[name] = max(sure.get(name, -np.inf), middle - slip - norm * x - wide)
+        reached = sorted(sure.values(), reverse=True)[k] if len(sure) > k else -np.inf
         found += [(q["cell"], cell) for bound, cell in upper if bound >= reached]
     return found
 
@@ -196,8 +199,10 @@ def top_k(
     points = staged(assigned(points, near), "cells")
     asked = staged(assigned(vectors_of(queries, name, vector, scale), near), "query-cells")
     order = Window.partitionBy("cell").orderBy("off", "id")
-    nearest = points.withColumn("k", F.row_number().over(order)).where(F.col("k") <= k + 1)
-    nearest = nearest.groupBy("cell").agg(F.sort_array(F.collect_list("off")).alias("near"))
+    single = points.groupBy("cell", "id").agg(F.min("off").alias("off"))
+    nearest = single.withColumn("k", F.row_number().over(order)).where(F.col("k") <= k + 1)
+    nearest = nearest.groupBy("cell").agg(F.sort_array(F.collect_list(F.struct("off", "id"))).alias("near"))
+    nearest = nearest.select("cell", F.col("near.off").alias("near"), F.col("near.id").alias("ids"))
     summary = points.groupBy("cell").agg(F.max("off").alias("radius"), F.count("*").alias("n")).join(nearest, "cell")
     summary, wanted = summary.collect(), asked.groupBy("cell").agg(F.max("off").alias("radius")).collect()  # a row a cell
     pairs = spark.createDataFrame(qualified(wanted, summary, near, k) or [(0, 0)], "query_cell long, cell long")

@@ -106,6 +106,20 @@ def test_bounds_leave_far_cells_out():
     assert knn.qualified([{"cell": 0, "radius": 5.0}], [near, far], pivots, 2) == [(0, 0)]
 
 
+def test_nearest_of_an_id_with_many_vectors(spark):
+    own = [(0, [1000.0 + i, float(i)], 0) for i in range(10)]
+    spread = [(0, [-1000.0 - i, 1.0], 0) for i in range(10)]
+    others = [(i, [-10.0, 500.0 + i], 0) for i in range(1, 21)]
+    for rows in (own + others, own + spread + others):
+        table = spark.createDataFrame(rows, VECTORS)
+        x = {(i, tuple(v)): np.floor(256 * np.array(v)).astype(np.int64) for i, v, _ in rows}
+        for pivots in (2, 16):
+            found = knn.top_k(table.where("vec_id = 0").limit(1), table, "vec_id", "embedding", pivots=pivots).collect()
+            q = x[0, (1000.0, 0.0)]
+            want = sorted((-int(q @ v), i) for (i, _), v in x.items() if i)[:5]
+            assert sorted((-r["score"], r["vec_id"]) for r in found) == want
+
+
 def test_nearest_of_few(spark):
     none = spark.createDataFrame([], VECTORS)
     assert knn.top_k(none, none, "vec_id", "embedding").count() == 0
