@@ -79,27 +79,46 @@ def repeated_windows(docs: DataFrame, window: int) -> DataFrame:
     return found.where(~place.eqNullSafe(F.col("first"))).select(*KEY, F.col("start").alias("at"))
 
 
-def repeated_runs(docs: DataFrame, window: int) -> DataFrame:
+def repeated_long_lines(docs: DataFrame, words: int) -> DataFrame:
+    """`_doc`, `_sig`, `at`: every line of at least `words` words that also stands at an earlier place in the corpus."""
+    line = F.col("line")
+    n_words = F.size(F.regexp_extract_all(line, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
+    split = with_key(docs.where(F.col("text").isNotNull())).select(*KEY, F.posexplode(lines_of("text")).alias("k", "line"))
+    long = split.where((F.length(line) >= 2 * words - 1) & (n_words >= words))
+    long = long.select(*KEY, (F.col("k") + 1).alias("at"), F.xxhash64(line).alias("print"), F.xxhash64(F.lit(1), line).alias("content"))
+    long = staged(long.distinct(), "long-lines")
+    place = F.struct(*KEY, "at")
+    first = long.groupBy("print", "content").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
+    found = long.join(first.drop("n"), ["print", "content"])
+    return found.where(~place.eqNullSafe(F.col("first"))).select(*KEY, "at")
+
+
+def repeated_runs(docs: DataFrame, window: int, long_words: int | None = None) -> DataFrame:
     """`_doc`, `_sig`, `_runs`: sorted, disjoint `start` (from 1) and `stop` (exclusive) of the lines to delete."""
-    order = Window.partitionBy(*KEY).orderBy("at")
-    opens = (F.col("at") > F.lag("at").over(order) + window) | F.lag("at").over(order).isNull()
-    matched = repeated_windows(docs, window).withColumn("run", F.sum(opens.cast("int")).over(order))
-    runs = matched.groupBy(*KEY, "run").agg(F.min("at").alias("start"), (F.max("at") + window).alias("stop"))
+    order = Window.partitionBy(*KEY).orderBy("at", "stop")
+    matched = repeated_windows(docs, window).withColumn("stop", F.col("at") + window)
+    if long_words is not None:
+        matched = matched.unionByName(repeated_long_lines(docs, long_words).withColumn("stop", F.col("at") + 1))
+    before = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    opens = (F.col("at") > before) | before.isNull()
+    matched = matched.withColumn("run", F.sum(opens.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = matched.groupBy(*KEY, "run").agg(F.min("at").alias("start"), F.max("stop").alias("stop"))
     return runs.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("_runs"))
 
 
-def drop_repeated_lines(docs: DataFrame, window: int = 2) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, window: int = 2, long_words: int | None = None) -> DataFrame:
     """`docs` with the repeated lines cut out of `text`, and `n_lines`, `n_removed`, `n_runs`.
 
     Deleted is every run of at least `window` lines that also begins earlier: in a document with a smaller doc_id, or
-    further up in the same one. The first occurrence stays. Lines are compared byte for byte. Null texts stay null and
+    further up in the same one. With `long_words`, so is every single line of at least as many words (what stands between
+    blanks) that is there earlier; without it a repeated line alone stays. The first occurrence stays. Lines are compared byte for byte. Null texts stay null and
     have no lines; an empty text is one empty line. Rows with the same doc_id are ordered by a hash of their texts; rows
     that also have the same text are one document and treated alike. A null doc_id comes before all others. Other
     columns are kept, but for those called like the three or `_doc`, `_sig`, `_lines`, `_runs`. No rows give no rows.
     """
     docs = free_of(docs, "n_lines", "n_removed", "n_runs", "_doc", "_sig", "_lines", "_runs")
     keyed = with_key(docs)
-    runs = repeated_runs(docs.select("doc_id", "text"), window)
+    runs = repeated_runs(docs.select("doc_id", "text"), window, long_words)
     joined = keyed.join(runs, same_key(keyed, runs), "left").drop(runs["_doc"]).drop(runs["_sig"])
     parts = F.expr(
         "zip_with(concat(array(1), _runs.stop), concat(_runs.start, array(size(_lines) + 1)), (a, b) -> slice(_lines, a, b - a))"

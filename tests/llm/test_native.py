@@ -94,3 +94,22 @@ def test_no_python_on_the_main_path(frame, spark, odd_rows):
     some = spark.createDataFrame([(1, "plain words here and there")], ITEMS)
     for df in (lines.drop_repeated_lines(frame(odd_rows)), decontaminate.decontaminate(frame(odd_rows), some)):
         assert "Python" not in df._jdf.queryExecution().toString() and "Arrow" not in df._jdf.queryExecution().toString()
+
+
+def test_long_lines_are_runs_of_their_own(frame):
+    long, other = " ".join(f"w{i}" for i in range(8)), "\t".join(f"v{i}" for i in range(9))
+    short = "only seven words are in this one"
+    texts = [long, f"a\n{long}\nb", f"{short}\nc", f"{short}\n{other}", f"x\ny\n{other}\nz\n{long}\n{long}", f"x\ny\n{long}\ny\nz", None, ""]
+    rows = [(i, t, "en", "s", 1) for i, t in enumerate(texts)]
+    found = lines.drop_repeated_lines(frame(rows), long_words=8).collect()
+    got = {r["doc_id"]: (r["text"], r["n_removed"], r["n_runs"]) for r in found}
+    assert got == {
+        0: (long, 0, 0),
+        1: ("a\nb", 1, 1),
+        2: (f"{short}\nc", 0, 0),
+        3: (f"{short}\n{other}", 0, 0),
+        4: ("x\ny\nz", 3, 2),
+        5: ("y\nz", 3, 1),
+        6: (None, 0, 0),
+        7: ("", 0, 0),
+    }
