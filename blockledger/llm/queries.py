@@ -77,7 +77,7 @@ def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 def op10_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     """The component of near duplicates of every document."""
-    return jaccard.near_duplicates(table(spark, folder, "documents"))
+    return jaccard.near_duplicates(table(spark, folder, "documents"), width=4, share=85)
 
 
 QUERIES = {x.__name__: x for x in (op1_token_files, op2_top_k, op3_decontamination, op4_bpe, op5_lm_score, op6_toxicity, op7_line_dedup, op8_substring_dedup, op9_language, op10_jaccard_join)}

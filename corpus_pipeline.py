@@ -34,8 +34,8 @@ def dedupe_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def dedupe_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
-    return jaccard.drop_near_duplicates(docs.select(*COLUMNS))
+    """One document of each group of near duplicates stays: those that share 0.8 of their shingles of five words."""
+    return jaccard.drop_near_duplicates(docs.select(*COLUMNS), width=5, share=80)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

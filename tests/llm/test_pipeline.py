@@ -73,3 +73,16 @@ def test_stages_of_nothing(spark):
         assert docs.count() == 0
         if "text" not in docs.columns:
             break
+
+
+def test_near_copies_by_five_words_and_four_fifths(spark):
+    words = [f"w{i}" for i in range(60)]
+    near = words[:30] + ["other"] + words[31:]  # 51 of 61 shingles of five words, 53 of 61 of four
+    far = words[:20] + ["one"] + words[21:40] + ["two"] + words[41:]
+    end = words[:54] + [f"x{i}" for i in range(6)]  # 50 of 62 at five words, 51 of 63 at four: 0.806 and 0.81
+    rows = [(i, " ".join(w), "en", "s", 1) for i, w in enumerate((words, near, far, end), 1)]
+    before = [r[:2] for r in rows]
+    wanted = {c for _, c in jaccard_components(before, 5, 80)}
+    assert wanted != {c for _, c in jaccard_components(before)}
+    out = corpus_pipeline.dedupe_documents(spark, spark.createDataFrame(rows, DOCS), FOLDER)
+    assert {r["doc_id"] for r in out.collect()} == wanted
