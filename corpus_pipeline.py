@@ -14,16 +14,18 @@ from blockledger.llm import bpe, decontaminate, jaccard, langid, lines
 from blockledger.llm.staging import staged
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-LEAST_LIKENESS = 0.2  # of a text to the profile of its language; clean short texts have twice as much
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts that are null, have no letter or are like no language; a missing lang is filled in."""
+    """Rejects texts that are null or have no letter; a missing lang is filled in where the text is like a language.
+
+    The likeness itself rejects nothing: how low it is for clean text depends on the script and on the length.
+    """
     rows = docs.select(*COLUMNS)
     profiles = langid.train(rows.where(langid.fold("doc_id", 5) != 0))
     known = langid.predict(rows, profiles)
-    known = known.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_LIKENESS))
-    return known.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
+    known = known.where(F.col("lang_pred") != langid.UNKNOWN)
+    return known.withColumn("lang", F.coalesce("lang", F.when(F.col("score") > 0, F.col("lang_pred")))).select(*COLUMNS)
 
 
 def dedupe_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

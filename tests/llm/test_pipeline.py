@@ -86,3 +86,17 @@ def test_near_copies_by_five_words_and_four_fifths(spark):
     assert wanted != {c for _, c in jaccard_components(before)}
     out = corpus_pipeline.dedupe_documents(spark, spark.createDataFrame(rows, DOCS), FOLDER)
     assert {r["doc_id"] for r in out.collect()} == wanted
+
+
+def test_short_texts_of_large_scripts_stay(spark):
+    draw = np.random.default_rng(2)
+    share = 1 / np.arange(1, 3501)
+    text = lambda n: "".join(chr(0x4E00 + c) for c in draw.choice(3500, n, p=share / share.sum()))
+    rows = [(i, text(100 if i % 2 else 30), "zh", "s", 1) for i in range(300)]
+    rows += [(1000 + i, "plain words of a text with letters", "en", "s", 1) for i in range(20)]
+    rows += [(2000, "\u10d0\u10d1\u10d2\u10d3", None, "s", 4), (2001, "12 -- 3", "en", "s", 7), (2002, None, "zh", "s", 0)]
+    rows += [(2003, "more plain words", None, "s", 16)]
+    out = corpus_pipeline.identify_language(spark, spark.createDataFrame(rows, DOCS), FOLDER)
+    got = {r["doc_id"]: r["lang"] for r in out.collect()}
+    assert set(got) == {r[0] for r in rows} - {2001, 2002}
+    assert (got[2000], got[2003]) == (None, "en")
