@@ -112,3 +112,72 @@ select b.doc_id, b.n as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, co
        sha256(unhex(case when k.doc_id is null then h else pieces || substr(h, 2 * tail + 1) end)) as kept_sha256
 from b left join kept k on k.doc_id = b.doc_id
 """
+
+# Unsigned crc32 of the decimal digits of doc_id: eight shifts a byte, the byte going in before the first.
+CRC = """list_reduce(
+    flatten(list_transform(string_split(doc_id::varchar, ''), lambda c: [ord(c)::bigint, 0, 0, 0, 0, 0, 0, 0])),
+    lambda c, b: xor(xor(c, b) >> 1, 3988292384 * (xor(c, b) & 1)), 4294967295::bigint)"""
+DOC_CRC = f"xor({CRC}, 4294967295)"
+
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def merkle(levels: int = 7, arity: int = 8) -> str:
+    """Trees of up to arity^levels leaves, level by level, and from each leaf up again."""
+
+    def field(value):
+        return f"coalesce(octet_length(encode(({value})::varchar))::varchar || ':' || ({value})::varchar, '-')"
+
+    def leaf(text):
+        return "sha256(" + " || ".join(field(v) for v in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+    def climb(name):
+        parts = []
+        for k in range(levels):
+            parts.append(f"""{name}{k + 1} as (
+  select tree, i // {arity} as i, (n + {arity - 1}) // {arity} as n,
+         case when n > 1 then sha256(string_agg(digest, '' order by i)) else max(digest) end as digest
+  from {name}{k} group by tree, i // {arity}, n)""")
+            side = f"string_agg(digest, '') over (partition by tree, i // {arity} order by i rows between"
+            parts.append(f"""{name}_side{k} as (
+  select tree, i, n > 1 as inner_node, coalesce({side} unbounded preceding and 1 preceding), '') as a,
+         coalesce({side} 1 following and unbounded following), '') as b
+  from {name}{k})""")
+        return parts
+
+    def fold(name, start, tree, i):
+        """x is the digest so far, p the siblings so far."""
+        parts, before = [], start
+        for k in range(levels):
+            parts.append(f"""{name}_up{k} as (
+  select u.* exclude (x, p), case when inner_node then sha256(a || x || b) else x end as x, p || case when inner_node then a || b else '' end as p
+  from {before} u join {name}_side{k} s on s.tree = u.{tree} and s.i = u.{i} // {arity**k})""")
+            before = f"{name}_up{k}"
+        return parts, before
+
+    up, inside = fold("l", "start", "g", "i")
+    over, outside = fold("g", inside, "zero", "g")
+    parts = [
+        f"""rows as (
+  select doc_id, lang, {leaf('text')} as leaf,
+         {leaf(f"case when {DOC_CRC} % 3 = 0 then translate(text, '{UPPER}', '{LOWER}') else text end")} as claim
+  from documents)""",
+        "langs as (select lang, row_number() over (order by lang nulls first) - 1 as g, count(*) as n from rows group by lang)",
+        """ranked as (
+  select r.*, g, n, row_number() over (partition by g order by doc_id nulls first, leaf) - 1 as i
+  from rows r join langs on r.lang is not distinct from langs.lang)""",
+        "l0 as (select g as tree, i, n, leaf as digest from ranked)",
+        *climb("l"),
+        f"g0 as (select 0 as tree, tree as i, (select count(*) from langs) as n, digest from l{levels})",
+        *climb("g"),
+        "start as (select *, 0 as zero, claim as x, '' as p from ranked)",
+        *up,
+        *over,
+    ]
+    return f"""with {", ".join(parts)}
+select doc_id, leaf, l{levels}.digest as subroot, g{levels}.digest as root, sha256(p) as proof_sha256, x as folded_root,
+       x = g{levels}.digest as verified
+from {outside} u join l{levels} on l{levels}.tree = u.g cross join g{levels}"""
+
+
+ORACLE["op13_merkle_manifest"] = merkle()

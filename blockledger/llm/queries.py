@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import string
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockledger.llm import bpe, decontaminate, jaccard, knn, langid, lines, lm, substrings, tokens, toxicity
+from blockledger.llm import bpe, decontaminate, jaccard, knn, langid, lines, lm, merkle, substrings, tokens, toxicity
 from blockledger.llm.staging import shared_path
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -80,4 +82,14 @@ def op10_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, folder, "documents"), width=4, share=85)
 
 
-QUERIES = {x.__name__: x for x in (op1_token_files, op2_top_k, op3_decontamination, op4_bpe, op5_lm_score, op6_toxicity, op7_line_dedup, op8_substring_dedup, op9_language, op10_jaccard_join)}
+def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """The proof of every row, and whether its content, changed in a third of the rows, still leads to the root."""
+    docs = table(spark, folder, "documents")
+    tampered = merkle.leaf_digest(text=F.translate("text", string.ascii_uppercase, string.ascii_lowercase))
+    claim = F.when(langid.fold("doc_id", 3) == 0, tampered).otherwise(merkle.leaf_digest())
+    found = merkle.verify(docs, claim)
+    proof = merkle.proof_digest().alias("proof_sha256")
+    return found.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", proof, "folded_root", "verified")
+
+
+QUERIES = {x.__name__: x for x in (op1_token_files, op2_top_k, op3_decontamination, op4_bpe, op5_lm_score, op6_toxicity, op7_line_dedup, op8_substring_dedup, op9_language, op10_jaccard_join, op13_merkle_manifest)}
