@@ -20,10 +20,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from blockledger.llm.langid import quoted
-from blockledger.llm.staging import shared_path, shuffle_parts, staged
+from blockledger.llm.staging import repeated, shared_path, shuffle_parts, staged
 
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
-COPIES = 1 << 16  # of one row that a task writes out
 SEGMENT = "struct<before: string, after: string>"
 
 
@@ -80,15 +79,6 @@ def placed(rows: DataFrame, order: list[str], name: str) -> DataFrame:
     return kept.join(F.broadcast(starts), "_part").withColumn("pos", pos).drop("_at", "_part", "_start")
 
 
-def repeated(counted: DataFrame) -> DataFrame:
-    """`counted` with every row `copies` times, told apart by `copy`. Many copies of one row are written by many tasks."""
-    many = counted.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(copies - 1) div {COPIES}"))))
-    if not counted.where(F.col("copies") > COPIES).isEmpty():
-        many = many.repartition(shuffle_parts(counted.sparkSession), "leaf", "_block")
-    last = F.least(F.col("copies"), (F.col("_block") + 1) * COPIES) - 1
-    return many.withColumn("copy", F.explode(F.sequence(F.col("_block") * COPIES, last))).drop("_block", "copies")
-
-
 def _climb(rows: DataFrame, most: int, path: str, arity: int) -> tuple[DataFrame, int]:
     """Writes the nodes above `rows` (tree, rank, n, digest), n of a tree. Returns tree and digest of each top, and levels."""
     spark, level = rows.sparkSession, 0
@@ -124,7 +114,7 @@ def write_manifest(
         *[value.alias(name) for name, value in extra.items()],
     )
     counted = staged(read.groupBy(*read.columns).agg(F.count("*").alias("copies")), "manifest-leaves")
-    rows = placed(repeated(counted), ["group", "id", "leaf", *extra, "copy"], "manifest-order").drop("copy")
+    rows = placed(repeated(counted, "leaf"), ["group", "id", "leaf", *extra, "copy"], "manifest-order").drop("copy")
     spans = rows.groupBy("group").agg(F.min("pos").alias("_first"), F.count("*").alias("n"))
     names = placed(spans, ["group"], "manifest-groups").withColumnRenamed("pos", "place")
     leaves = rows.join(names.withColumnRenamed("group", "_group"), F.col("group").eqNullSafe(F.col("_group")))

@@ -181,3 +181,41 @@ from {outside} u join l{levels} on l{levels}.tree = u.g cross join g{levels}"""
 
 
 ORACLE["op13_merkle_manifest"] = merkle()
+
+
+def crc(text):
+    """Unsigned crc32 of a text's UTF-8 bytes, by the rule of CRC but over hex digits."""
+    return f"""xor(list_reduce(
+    flatten(list_transform(range(octet_length(encode({text}))), lambda i: [('0x' || substr(hex(encode({text})), 2 * i + 1, 2))::bigint, 0, 0, 0, 0, 0, 0, 0])),
+    lambda c, b: xor(xor(c, b) >> 1, 3988292384 * (xor(c, b) & 1)), 4294967295::bigint), 4294967295)"""
+
+
+def drawn(*parts):
+    return f"('0x' || substr(md5(concat_ws(':', {', '.join(parts)})), 1, 8))::bigint"
+
+
+def sharding(shards: int = 24, cell: int = 64) -> str:
+    """One shuffled order: cells by hash, Fisher-Yates swaps in each; shards are equal pieces of it."""
+    return f"""with sized as (
+  select doc_id, coalesce(octet_length(encode(text)), 0) + 8 as size,
+         case when coalesce(text, '') = '' then 0 else {crc("text")} end as text_crc32
+  from documents
+), total as (select count(*) as n from sized),
+hashed as (select s.*, n, ({drawn("0", "'cell'", "coalesce(doc_id::varchar, '-')", "text_crc32", "size", "0")} * ((n + {cell - 1}) // {cell})) >> 32 as cell from sized s, total),
+ranked as (select *, row_number() over (partition by cell order by doc_id nulls first, text_crc32, size) - 1 as r from hashed),
+cells as (select cell, count(*) as m, sum(count(*)) over (order by cell) - count(*) as before from ranked group by cell),
+draws as (
+  select cell, list([i, {drawn("0", "'swap'", "cell", "i")} % (i + 1)] order by i desc) as d
+  from (select cell, unnest(range(1, m)) as i from cells) group by cell
+), swapped as (
+  select c.cell, before, case when d is null then [0::bigint] else list_reduce(d, lambda o, p:
+    list_transform(o, lambda x, k: case when k - 1 = p[1] then o[p[2] + 1] when k - 1 = p[2] then o[p[1] + 1] else x end), range(m)) end as o
+  from cells c left join draws using (cell)
+), placed as (select r.*, before + o[r + 1] as pos from ranked r join swapped using (cell)),
+dealt as (select *, pos * {shards} // n as shard from placed)
+select doc_id, size, text_crc32, 'rows' as law, shard::int as shard, (pos - (shard * n + {shards - 1}) // {shards})::bigint as slot,
+       null::int as grown_shard
+from dealt"""
+
+
+ORACLE["op12_sharding"] = sharding()

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockledger.llm import bpe, decontaminate, jaccard, knn, langid, lines, lm, merkle, substrings, tokens, toxicity
+from blockledger.llm import bpe, decontaminate, jaccard, knn, langid, lines, lm, merkle, sharding, substrings, tokens, toxicity
 from blockledger.llm.staging import shared_path
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -82,6 +82,13 @@ def op10_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, folder, "documents"), width=4, share=85)
 
 
+def op12_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    """The corpus in 24 shuffled shards of equal counts, read back from their files."""
+    read = sharding.write_shards(table(spark, folder, "documents"), shared_path(spark, "shards"), shards=24, law="rows")
+    size, crc = sharding.size_of("text").alias("size"), sharding.crc_of("text").alias("text_crc32")
+    return read.select("doc_id", size, crc, F.lit("rows").alias("law"), "shard", "slot", "grown_shard")
+
+
 def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     """The proof of every row, and whether its content, changed in a third of the rows, still leads to the root."""
     docs = table(spark, folder, "documents")
@@ -92,4 +99,4 @@ def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", proof, "folded_root", "verified")
 
 
-QUERIES = {x.__name__: x for x in (op1_token_files, op2_top_k, op3_decontamination, op4_bpe, op5_lm_score, op6_toxicity, op7_line_dedup, op8_substring_dedup, op9_language, op10_jaccard_join, op13_merkle_manifest)}
+QUERIES = {x.__name__: x for x in (op1_token_files, op2_top_k, op3_decontamination, op4_bpe, op5_lm_score, op6_toxicity, op7_line_dedup, op8_substring_dedup, op9_language, op10_jaccard_join, op12_sharding, op13_merkle_manifest)}

@@ -81,3 +81,19 @@ def _dealt(df: DataFrame, column: str, name: str) -> DataFrame:
     writer = df.write.format("parquet").option("compression", "zstd").option("path", path)
     writer.bucketBy(shuffle_parts(spark), column).saveAsTable(table)
     return spark.table(table)
+
+
+COPIES = 1 << 16  # of one row that a task writes out
+
+
+def repeated(counted: DataFrame, *by: str) -> DataFrame:
+    """Every row of `counted` `copies` times, told apart by `copy`. Many copies of one row are written by many tasks.
+
+    `by` names columns by which blocks of copies are dealt out where there are more than a task should write.
+    """
+    blocks = F.sequence(F.lit(0).cast("long"), F.expr(f"(copies - 1) div {COPIES}"))
+    many = counted.withColumn("_block", F.explode(blocks))
+    if not counted.where(F.col("copies") > COPIES).isEmpty():
+        many = many.repartition(shuffle_parts(counted.sparkSession), *by, "_block")
+    last = F.least(F.col("copies"), (F.col("_block") + 1) * COPIES) - 1
+    return many.withColumn("copy", F.explode(F.sequence(F.col("_block") * COPIES, last))).drop("_block", "copies")
