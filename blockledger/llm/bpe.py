@@ -197,9 +197,9 @@ def encode_decode(docs: DataFrame, path: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SCHEMA)
 
 
-def slices(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Cut a batch whose column 1 is text into parts of about `most` bytes; one text may be larger."""
-    column = batch.column(1)
+def slices(batch: pa.RecordBatch, most: int = 4 << 20, at: int = 1) -> Iterator[pa.RecordBatch]:
+    """Cut a batch whose column `at` is text into parts of about `most` bytes; one text may be larger."""
+    column = batch.column(at)
     if not batch.num_rows:
         return
     if column.nbytes <= most:

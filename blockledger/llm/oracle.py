@@ -183,11 +183,11 @@ from {outside} u join l{levels} on l{levels}.tree = u.g cross join g{levels}"""
 ORACLE["op13_merkle_manifest"] = merkle()
 
 
-def crc(text):
-    """Unsigned crc32 of a text's UTF-8 bytes, by the rule of CRC but over hex digits."""
-    return f"""xor(list_reduce(
-    flatten(list_transform(range(octet_length(encode({text}))), lambda i: [('0x' || substr(hex(encode({text})), 2 * i + 1, 2))::bigint, 0, 0, 0, 0, 0, 0, 0])),
-    lambda c, b: xor(xor(c, b) >> 1, 3988292384 * (xor(c, b) & 1)), 4294967295::bigint), 4294967295)"""
+#: The 256 remainders of a byte, by eight shifts each; a text's crc32 takes one of them for each of its UTF-8 bytes.
+REMAINDERS = """select list(x order by i) as t from (
+    select i, list_reduce([0, 0, 0, 0, 0, 0, 0, 0]::bigint[], lambda c, b: xor(c >> 1, 3988292384 * (c & 1)), i::bigint) as x from range(256) r(i))"""
+TEXT_CRC = """xor(list_reduce(list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: ('0x' || x)::bigint),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295::bigint), 4294967295)"""
 
 
 def drawn(*parts):
@@ -196,10 +196,10 @@ def drawn(*parts):
 
 def sharding(shards: int = 24, cell: int = 64) -> str:
     """One shuffled order: cells by hash, Fisher-Yates swaps in each; shards are equal pieces of it."""
-    return f"""with sized as (
+    return f"""with remainders as ({REMAINDERS}), sized as (
   select doc_id, coalesce(octet_length(encode(text)), 0) + 8 as size,
-         case when coalesce(text, '') = '' then 0 else {crc("text")} end as text_crc32
-  from documents
+         case when coalesce(text, '') = '' then 0 else {TEXT_CRC} end as text_crc32
+  from documents, remainders
 ), total as (select count(*) as n from sized),
 hashed as (select s.*, n, ({drawn("0", "'cell'", "coalesce(doc_id::varchar, '-')", "text_crc32", "size", "0")} * ((n + {cell - 1}) // {cell})) >> 32 as cell from sized s, total),
 ranked as (select *, row_number() over (partition by cell order by doc_id nulls first, text_crc32, size) - 1 as r from hashed),
@@ -219,3 +219,29 @@ from dealt"""
 
 
 ORACLE["op12_sharding"] = sharding()
+
+#: Words as the contract has them; every tenth document gets a periodic tail. Pairs of one word q apart make stretches.
+ORACLE["op11_periodic_runs"] = f"""
+with h as (select doc_id, {DOC_CRC} as h, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w from documents),
+g as (select *, len(w) as n, h // 10 as g from h),
+s as (select *, case when h % 10 = 0 and n > 0 then g % n end as a, case when h % 10 = 0 and n > 0 then 1 + (n - g % n) // (3 + g % 8) end as p from g),
+d as (select doc_id, n, case when a is null then w else w[:a] || list_transform(range(n - a), lambda i: w[a + i % p + 1]) end as w from s),
+t as (select doc_id, i, w[i + 1] as word from (select doc_id, w, unnest(range(n)) as i from d)),
+pairs as (select x.doc_id, x.i, y.i - x.i as q from t x join t y on x.doc_id = y.doc_id and x.word = y.word and x.i < y.i),
+islands as (select doc_id, q, i - row_number() over (partition by doc_id, q order by i) as k, i from pairs),
+found as (select doc_id, q, min(i) as start, count(*) + q as length from islands group by doc_id, q, k having count(*) + q >= greatest(12, 2 * q)),
+runs as (
+  select * from found f where not exists (
+    select 1 from found s where s.doc_id = f.doc_id and s.q < f.q and s.start <= f.start and s.start + s.length >= f.start + f.length)
+), listed as (
+  select doc_id, count(*) as n_runs, string_agg(start || ',' || length || ',' || q || chr(10), '' order by start, q) as text,
+         arg_min([start, length, q, 1000 * length // q], [-length, start, q]) as longest
+  from runs group by doc_id
+), dropped as (select distinct doc_id, unnest(range(start + q, start + length)) as i from runs),
+kept as (
+  select t.doc_id, string_agg(word, ' ' order by t.i) as text from t anti join dropped using (doc_id, i) group by t.doc_id
+)
+select d.doc_id, coalesce(n_runs, 0) as n_runs, longest[1] as start, longest[2] as length, longest[3] as period, longest[4] as exponent_milli,
+       sha256(coalesce(l.text, '')) as runs_sha256, sha256(coalesce(k.text, '')) as collapsed_sha256
+from d left join listed l on l.doc_id = d.doc_id left join kept k on k.doc_id = d.doc_id
+"""

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockledger.llm import bpe, decontaminate, jaccard, knn, langid, lines, lm, merkle, sharding, substrings, tokens, toxicity
+from blockledger.llm import bpe, decontaminate, jaccard, knn, langid, lines, lm, merkle, periods, sharding, substrings, tokens, toxicity
 from blockledger.llm.staging import shared_path
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -82,6 +82,35 @@ def op10_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, folder, "documents"), width=4, share=85)
 
 
+def with_tails(docs: DataFrame) -> DataFrame:
+    """`docs` in which every tenth text, by the crc32 of doc_id, ends in a repeated stretch. A null doc_id changes nothing."""
+    docs = docs.select("doc_id", "text", F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("h"))
+    words = F.when(F.col("h") % 10 == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
+    docs = docs.withColumn("w", words).withColumns({"n": F.size("w").cast("long"), "g": F.expr("h div 10")})
+    docs = docs.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    docs = docs.withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    moved = F.expr("transform(sequence(0L, n - 1), i -> w[cast(if(i < a, i, a + (i - a) % p) as int)])")
+    return docs.select("doc_id", F.when(F.col("a").isNotNull(), F.array_join(moved, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """The periodic runs of every text, a tenth of them given a periodic tail, and the text with each run told once."""
+    found = periods.collapse(with_tails(table(spark, folder, "documents")))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("at"), (-r["period"]).alias("p"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    found = found.withColumn("longest", longest).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("longest.at")).alias("start"),
+        F.col("longest.length").alias("length"),
+        (-F.col("longest.p")).alias("period"),
+        F.expr("1000 * longest.length div -longest.p").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+    return found
+
+
 def op12_sharding(spark: SparkSession, folder: str) -> DataFrame:
     """The corpus in 24 shuffled shards of equal counts, read back from their files."""
     read = sharding.write_shards(table(spark, folder, "documents"), shared_path(spark, "shards"), shards=24, law="rows")
@@ -99,4 +128,4 @@ def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", proof, "folded_root", "verified")
 
 
-QUERIES = {x.__name__: x for x in (op1_token_files, op2_top_k, op3_decontamination, op4_bpe, op5_lm_score, op6_toxicity, op7_line_dedup, op8_substring_dedup, op9_language, op10_jaccard_join, op12_sharding, op13_merkle_manifest)}
+QUERIES = {x.__name__: x for x in (op1_token_files, op2_top_k, op3_decontamination, op4_bpe, op5_lm_score, op6_toxicity, op7_line_dedup, op8_substring_dedup, op9_language, op10_jaccard_join, op11_periodic_runs, op12_sharding, op13_merkle_manifest)}
