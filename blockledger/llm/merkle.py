@@ -131,7 +131,8 @@ def write_manifest(
     groups = spark.read.schema(groups.schema).parquet(f"{path}/groups")
     above = groups.select(F.lit(0).cast("long").alias("tree"), F.col("place").alias("rank"), F.lit(sizes[1]).alias("n"), F.col("subroot").alias("digest"))
     top, group_levels = _climb(above, sizes[1], f"{path}/nodes/groups", arity)
-    root = top.first()
+    top.coalesce(1).write.parquet(f"{path}/root")
+    root = spark.read.schema(top.schema).parquet(f"{path}/root").first()
     return Manifest(spark, path, root and root["digest"], group_levels, levels, arity)
 
 
@@ -181,8 +182,8 @@ def prove(manifest: Manifest, requests: DataFrame | None = None) -> DataFrame:
     asked = manifest.leaves() if requests is None else requests
     if manifest.root is None:
         return asked.withColumns({"subroot": F.lit(None).cast("string"), "root": F.lit(None).cast("string"), "path": F.array().cast(f"array<{SEGMENT}>")})
-    ways = spark.range(1).select(
-        F.col("id").alias("tree"), F.lit(0).cast("long").alias("at"), F.lit(manifest.root).alias("digest"), F.array().cast(f"array<{SEGMENT}>").alias("way")
+    ways = spark.read.parquet(f"{manifest.path}/root").select(
+        "tree", F.lit(0).cast("long").alias("at"), "digest", F.array().cast(f"array<{SEGMENT}>").alias("way")
     )
     for level in range(manifest.group_levels, 0, -1):
         ways = _down(ways, manifest.nodes("groups", level), arity, None, F.lit(True))

@@ -20,16 +20,24 @@ def pick_replica(plan: DataFrame, seed=0) -> DataFrame:
     return plan.withColumn("replica", F.when(held, F.get("replicas", index)))
 
 
+def number_nodes(nodes: DataFrame) -> tuple[DataFrame, int]:
+    """The nodes, numbered from 0 in `_no`, and how many there are."""
+    names = nodes.select("node").distinct()
+    return number_rows(names, [], ["node"], name="_no"), names.count()
+
+
+def pick_numbered(requests: DataFrame, numbered: DataFrame, total: int, seed=0) -> DataFrame:
+    wanted = requests.withColumn("_no", F.pmod(hash32(*KEY, F.lit(seed)), F.lit(max(total, 1))).cast("bigint"))
+    return wanted.join(numbered, "_no").drop("_no")
+
+
 def pick_node(requests: DataFrame, nodes: DataFrame, seed=0) -> DataFrame:
     """One node for each request, evenly spread over all nodes.
 
     Nodes are numbered and the request's hash picks a number, so this is an equi-join and no list of nodes is ever
-    gathered in one place.
+    gathered in one place. Without a node there is no request.
     """
-    numbered = number_rows(nodes.select("node").distinct(), [], ["node"], name="_no")
-    total = nodes.select("node").distinct().agg(F.count("*")).scalar()
-    wanted = requests.withColumn("_no", F.pmod(hash32(*KEY, F.lit(seed)), total).cast("bigint"))
-    return wanted.join(numbered, "_no").drop("_no")
+    return pick_numbered(requests, *number_nodes(nodes), seed)
 
 
 def rank_replicas(replicas: DataFrame) -> DataFrame:

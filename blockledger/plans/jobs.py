@@ -1,23 +1,24 @@
 """Whole runs, put together from the operators."""
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from blockledger.operators.admission import RestorePolls
 from blockledger.operators.aggregates import dedupe
-from blockledger.operators.assign import attach_replicas, pick_node, pick_replica
-from blockledger.operators.anchored import ttl_dedupe
+from blockledger.operators.assign import attach_replicas, pick_replica
 from blockledger.operators.filters import backup_eligible, drop_ignored, unbackable
 from blockledger.operators.joins import small_side
 from blockledger.operators.metrics import gc_totals
 from blockledger.operators.payload import apply_deletes, backup_payload, restore_payload
-from blockledger.operators.ranking import admit, assign_batches
+from blockledger.operators.ranking import assign_batches
 from blockledger.operators.reconcile import gc, pool_actions, reconcile
 from blockledger.operators.restore import restore_candidates
 from blockledger.operators.validate import mark_validated, to_validate
-from blockledger.schema import BACKUP_BATCH, DELETE_BATCH, KEY, RESTORE_CAPACITY, RESTORE_TTL
-from blockledger.session import materialize
+from blockledger.schema import BACKUP_BATCH, DELETE_BATCH, KEY, RESTORE_CAPACITY, RESTORE_POLL, RESTORE_TTL
+from blockledger.session import checkpoint_dir, materialize
 from blockledger.sources.inventory import live_blocks, with_snapshots
 from blockledger.sources.reports import action_events, framing_events, listing_events
 
@@ -71,26 +72,41 @@ def gc_run(store, live, *, match_on="key", batch_size=DELETE_BATCH, errors=None)
 
 @dataclass
 class RestoreRun:
-    requests: DataFrame  # accepted by TTL, with node and whether the node took them
+    requests: DataFrame  # what was asked for in each poll, of which node, and whether it took the request
     copied: DataFrame | None
 
 
 def restore_run(
-    observed, store, present, nodes, *, ttl=RESTORE_TTL, capacity=RESTORE_CAPACITY, force=None, payload=None, seed=0
+    observed,
+    store,
+    present,
+    nodes,
+    *,
+    ttl=RESTORE_TTL,
+    capacity=RESTORE_CAPACITY,
+    poll=RESTORE_POLL,
+    busy=None,
+    force=None,
+    payload=None,
+    seed=0,
 ) -> RestoreRun:
-    """Plan and copy. `observed` has one row per sighting of a corrupt block (key, ts); `force` skips the TTL."""
+    """Plan and copy, poll by poll. `observed` has one row per sighting of a corrupt block (key, ts).
+
+    A block that no node took is asked for again at its next sighting, one that was taken not before `ttl` has passed;
+    rows of `force` (key, ts) are asked for all the same. See `operators/admission.py` for what a poll is.
+    """
     nothing = observed.select(*KEY).limit(0)
     todo = restore_candidates(observed, store, present, nothing).filter(F.col("reason") == "restore")
-    accepted = ttl_dedupe(observed.join(todo.select(*KEY), KEY, "left_semi"), ttl)
-    asked = accepted.select(*KEY, F.col("ts").alias("requested_ts"))
+    seen = observed.join(todo.select(*KEY), KEY, "left_semi").select(*KEY, "ts", F.lit(False).alias("force"))
     if force is not None:
-        asked = asked.unionByName(force.select(*KEY, F.col("ts").alias("requested_ts")))
-    # Written once: the requests feed the quota twice, and the copy, and must be the same ones each time.
-    queued = admit(pick_node(materialize(asked), nodes, seed), capacity)
+        seen = seen.unionByName(force.select(*KEY, "ts", F.lit(True).alias("force")))
+    folder = f"{checkpoint_dir(observed.sparkSession).rstrip('/')}/polls-{uuid.uuid4().hex}"
+    polls = RestorePolls.over(nodes, folder, poll=poll, ttl=ttl, busy=busy, capacity=capacity, seed=seed)
+    requests = polls.run(seen)
     copied = None
     if payload is not None:
-        copied = restore_payload(queued.filter("accepted"), payload, present)
-    return RestoreRun(queued, copied)
+        copied = restore_payload(requests.filter("accepted"), payload, present)
+    return RestoreRun(requests, copied)
 
 
 @dataclass

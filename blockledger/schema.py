@@ -36,6 +36,7 @@ BACKUP_AGE = "5 seconds"
 RETRY_DELAY = "60 seconds"
 RESTORE_CAPACITY = 10
 RESTORE_TTL = "10 minutes"
+RESTORE_POLL = "10 seconds"
 VALIDATE_RETRIES = 3
 PAGE_SIZE = 10_000
 REPORT_KEEP = "7 days"

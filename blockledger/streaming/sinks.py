@@ -13,6 +13,7 @@ from blockledger.operators.ranking import assign_batches
 from blockledger.operators.reconcile import gc
 from blockledger.operators.validate import to_validate
 from blockledger.schema import BLOCK, KEY, PAGE_SIZE, RETRY_DELAY
+from blockledger.session import folder_exists
 
 
 def retry_step(results: DataFrame, now, delay=RETRY_DELAY, max_attempts=None) -> DataFrame:
@@ -59,8 +60,7 @@ def with_retries(attempt, path: str, clock, delay=RETRY_DELAY, max_attempts=None
 
 
 def read_states(spark: SparkSession, path: str, before=None):
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+    if not folder_exists(spark, path):
         return None
     rows = spark.read.option("basePath", path).parquet(path)
     return rows if before is None else rows.filter(F.col("batch_id") < before)

@@ -220,11 +220,6 @@ PARTS = {
                else 'delete_orphan' end from s anti join l using ({KEY})
         where pool_id in (select pool_id from l) or block_id not in (select block_id from l)""",
     "audit_batches": numbered("select * from audit_plan", ["pool_id", "action"], KEYS4, 100),
-    "restore_picked": f"""
-        with c as (select * from corrupt semi join store using ({KEY}) anti join present using ({KEY})),
-             asked as (select c.*, 1704067200000000 + m * 60000000 as requested_us from c, (values (0), (12)) as p(m)),
-             n as (select *, {key_hash('0')} % (select count(*) from node_numbers) as no from asked)
-        select n.* exclude (no), node from n join node_numbers on no = row_no""",
 }
 NOT_IGNORED = (
     "path not like '/wh/P/%' and path not like '/wh/F/1997/%'"
@@ -234,6 +229,33 @@ PARTS["audit_live"] = PARTS["audit_live"].format(kept=NOT_IGNORED)
 RECURSIVE = {"wins", "ttl_wins"}
 
 
+CORRUPT_STORED = f"select * from corrupt semi join store using ({KEY}) anti join present using ({KEY})"
+CORRUPT_DOCS = f"select {KEY} from docs where block_id % 3 <> 0 and block_id % 7 <> 0 and lang <> 'de'"
+NOT_FORCED = f"select {KEY}, 0 as asked_at from corrupt where false"
+FORCED = f"select {KEY}, 6 as asked_at from corrupt where block_id % 5 = 0"
+FORCED_DOCS = f"select {KEY}, 12 as asked_at from docs where block_id % 30 = 0"
+
+
+def restore_polls(seen, forced, busy, among="true"):
+    """Requests of the polls at minute 0, 6 and 12. `seen` and `forced` tell of the rows of a poll, m being its minute."""
+    start, minute, rounds = 1704067200000000, 60_000_000, []
+    for r, m in enumerate((0, 6, 12)):
+        before = [(q, n) for q, n in enumerate((0, 6, 12)) if n < m]
+        blocked = [f"(force or ({KEY}) not in (select ({KEY}) from r{q} where accepted))" for q, n in before if n + 10 > m]
+        full = [f"(select count(*) from r{q} x where x.accepted and x.node = p.node)" for q, n in before if n + busy > m]
+        number = start // (6 * minute) + m // 6
+        rounds.append(f"""
+            r{r} as (
+              select *, row_number() over (partition by node order by {KEY}) <= 10 - ({' + '.join(['0', *full])}) as accepted
+              from (select a.*, n.node from (select *, {key_hash("'0'", f"'{number}'")} % (select count(*) from nn) as no from (
+                      select {KEY}, bool_or(force) as force, {start + m * minute} as requested_us
+                      from (select *, false as force, {m} as m from ({seen}) union all
+                            select * exclude (asked_at), true as force, {m} as m from ({forced}) where asked_at = {m}) group by {KEY})
+                    where {' and '.join(['true', *blocked])}) a join nn n on a.no = n.row_no) p)""")
+    nodes = numbered(f"select distinct node from node_names where {among}", [], ["node"])
+    return f"with nn as ({nodes}), {','.join(rounds)} " + " union all ".join(f"select * from r{r}" for r in range(3))
+
+
 def with_parts(body: str) -> str:
     """Put the named parts a query uses, directly or not, in front of it."""
     order: list[str] = []
@@ -495,9 +517,15 @@ QUERIES = {
         select (select count(*) from store) as store_blocks, (select cast(sum(length) as bigint) from store) as store_bytes,
                (select count(*) from d) as deleted_blocks, (select cast(sum(length) as bigint) from d) as deleted_bytes,
                cast(0 as bigint) as errors""",
-    "restore_run": f"""
-        select {KEY}, requested_us, node,
-               row_number() over (partition by node order by requested_us, {KEY}) <= 10 as accepted from restore_picked""",
+    "restore_run": f"select {KEY}, requested_us, node, accepted from ({restore_polls(CORRUPT_STORED, NOT_FORCED, 6)})",
+    "restore_run_busy": f"select {KEY}, requested_us, force, node, accepted from ({restore_polls(CORRUPT_STORED, FORCED, 7)})",
+    "restore_run_copied": f"""
+        with a as (select distinct {KEY} from ({restore_polls(CORRUPT_DOCS, FORCED_DOCS, 6, "substr(node, -1) = '1'")}) where accepted)
+        select a.*, case when d.lang = 'de' then 'already_valid' else 'restored' end as status,
+               case when d.lang = 'de' then 0 else d.length end as bytes_copied,
+               case when d.lang <> 'de' then md5(d.text) end as data,
+               case when d.lang <> 'de' then md5(array_to_string({chunks('d.text')}, ',')) end as meta
+        from a join docs d using ({KEY})""",
     "node_validate": f"select * from checked anti join ledger using ({KEY})",
     "node_validate_ledger": f"""
         select {KEY} from ledger union

@@ -469,10 +469,33 @@ def _sightings(t):
 
 
 def restore_run(t):
-    run = jobs.restore_run(_sightings(t), t.store(), t.present(), t.nodes())
+    """Three polls: what a node refuses in one of them is asked for again in the next."""
+    run = jobs.restore_run(_sightings(t), t.store(), t.present(), t.nodes(), poll="6 minutes")
+    return us(run.requests, "requested_ts").drop("force")
+
+
+def restore_run_busy(t):
+    """Places stay taken over a poll, and every fifth corrupt block is asked for by force, stored or not."""
+    late = F.lit("2024-01-01 00:06:00").cast("timestamp")
+    force = t.corrupt().filter(F.col("block_id") % 5 == 0).select("*", late.alias("ts"))
+    run = jobs.restore_run(_sightings(t), t.store(), t.present(), t.nodes(), poll="6 minutes", busy="7 minutes", force=force)
     return us(run.requests, "requested_ts")
 
 
+def restore_run_copied(t):
+    """Documents that are corrupt come back with their contents; some are there already, some are not stored."""
+    docs = t.payload()
+    lang = t.read("documents").select(F.col("doc_id").alias("block_id"), "lang")
+    here = docs.join(lang.filter("lang = 'de'"), "block_id").select(*KEY)
+    stored = docs.withColumn("meta", payload.chunk_sums(F.col("data"), algorithm="md5"))
+    polls = F.explode(F.array(*[F.lit(f"2024-01-01 00:{m:02d}:00").cast("timestamp") for m in (0, 6, 12)]))
+    seen = docs.filter("block_id % 3 <> 0").select(*KEY, polls.alias("ts"))
+    force = docs.filter("block_id % 30 = 0").select(*KEY, F.lit("2024-01-01 00:12:00").cast("timestamp").alias("ts"))
+    nodes = t.nodes().filter("substring(node, -1) = '1'")
+    run = jobs.restore_run(seen, docs.filter("block_id % 7 <> 0"), here, nodes, poll="6 minutes", force=force, payload=stored)
+    return _digests(run.copied)
+
+
 def node_validate(t):
     return jobs.node_validate(t.local(), t.store(), t.ledger()).checked
 
@@ -734,6 +757,8 @@ QUERIES = {
     "gc_run_store": gc_run_store,
     "error_report": error_report,
     "restore_run": restore_run,
+    "restore_run_busy": restore_run_busy,
+    "restore_run_copied": restore_run_copied,
     "node_validate": node_validate,
     "node_validate_ledger": node_validate_ledger,
     "converge": converge,

@@ -157,3 +157,71 @@ def test_forced_restore_skips_the_ttl(blocks, table):
     once = jobs.restore_run(seen, store, store.limit(0), nodes).requests
     forced = jobs.restore_run(seen, store, store.limit(0), nodes, force=seen.filter(F.col("ts") > F.lit(t0))).requests
     assert (once.count(), forced.count()) == (1, 2)
+
+
+def sighted(table, rows):
+    t0 = dt.datetime(2024, 1, 1)
+    schema = "pool_id string, block_id bigint, length bigint, gen_stamp bigint, ts timestamp"
+    return table([("p", b, 1, 1, t0 + dt.timedelta(minutes=m)) for b, m in rows], schema)
+
+
+def polled(run):
+    base = dt.datetime(2024, 1, 1)
+    return sorted((int((r["requested_ts"] - base).total_seconds() // 60), r["block_id"], r["accepted"]) for r in run.requests.collect())
+
+
+def test_refused_blocks_are_asked_for_again(blocks, table):
+    """One place, two blocks, three polls: the second block is taken at its second sighting."""
+    seen = sighted(table, [(b, m) for b in (1, 2) for m in (0, 6, 12)])
+    store, nodes = blocks([("p", 1, 1, 1), ("p", 2, 1, 1)]), table([("n1",)], "node string")
+    run = lambda **kw: polled(jobs.restore_run(seen, store, store.limit(0), nodes, capacity=1, poll="6 minutes", **kw))
+    assert run(ttl="30 minutes") == [(0, 1, True), (0, 2, False), (6, 2, True)]
+    assert run(ttl="5 minutes") == [(m, b, b == 1) for m in (0, 6, 12) for b in (1, 2)]
+    assert run(ttl="30 minutes", busy="7 minutes") == [(0, 1, True), (0, 2, False), (6, 2, False), (12, 2, True)]
+
+
+def test_polls_as_one_state_machine(blocks, table):
+    """Many blocks, nodes and polls against the requests worked out one by one; lost polls, ties and repeats included."""
+    import hashlib
+    import random
+
+    draw = random.Random(4)
+    times = [0, 1, 2, 2.5, 4, 11, 12, 13, 14, 30]
+    rows = [(b, draw.choice(times)) for b in [draw.randint(0, 60) for _ in range(600)]]
+    forced = [(b, draw.choice(times)) for b in [draw.randint(0, 80) for _ in range(40)]]
+    store, present = blocks([("p", b, 1, 1) for b in range(50)]), blocks([("p", b, 1, 1) for b in range(5)])
+    nodes = table([(f"n{i}",) for i in range(3)], "node string")
+    t0 = dt.datetime(2024, 1, 1)
+    run = jobs.restore_run(
+        sighted(table, rows), store, present, nodes, ttl="10 minutes", capacity=4, poll="2 minutes", busy="3 minutes", force=sighted(table, forced)
+    )
+    got = sorted(((r["requested_ts"] - t0).total_seconds() / 60, r["block_id"], r["node"], r["accepted"], r["force"]) for r in run.requests.collect())
+
+    h32 = lambda text: int(hashlib.md5(text.encode()).hexdigest()[:8], 16)
+    numbered = sorted((f"n{i}" for i in range(3)), key=lambda n: (hashlib.md5(n.encode()).hexdigest()[:2], n))
+    base = 1704067200 // 120
+    want, taken = [], []
+    events = [(m, b, False) for b, m in rows if 5 <= b < 50] + [(m, b, True) for b, m in forced]
+    for poll in sorted({int(m // 2) for m, _, _ in events}):
+        asked = {}
+        for m, b, f in events:
+            if int(m // 2) == poll:
+                first, force = asked.get(b, (m, False))
+                asked[b] = (min(first, m), force or f)
+        free = {n: 4 - sum(x[2] == n and x[0] + 3 > poll * 2 for x in taken) for n in numbered}
+        for b, (m, f) in sorted(asked.items(), key=lambda x: (x[1][0], x[0])):
+            if f or all(x[1] != b or x[0] + 10 <= m for x in taken if x[0] < poll * 2):
+                node = numbered[h32(f"p:{b}:1:1:0:{base + poll}") % 3]
+                free[node] -= 1
+                want.append((m, b, node, free[node] >= 0, f))
+        taken += [x for x in want if x[3] and x[0] >= poll * 2]
+    assert got == sorted(want)
+    assert any(not x[3] for x in want) and len({x[1] for x in want if not x[3]} & {x[1] for x in want if x[3]}) > 3
+
+
+def test_polls_of_nothing(blocks, table):
+    seen, store = sighted(table, []), blocks([("p", 1, 1, 1)])
+    run = jobs.restore_run(seen, store, store.limit(0), table([("n1",)], "node string"))
+    assert run.requests.count() == 0
+    nobody = jobs.restore_run(sighted(table, [(1, 0)]), store, store.limit(0), table([], "node string"))
+    assert nobody.requests.count() == 0
