@@ -190,6 +190,16 @@ PARTS = {
                arg_max(length, (length, -ts)) as length, cast(1 as bigint) as gen_stamp,
                t0 as opened_us, t0 + {AGE_US} as due_us, count(*) as n_events
         from m group by pool_id, block_id, t0""",
+    "arrived": """
+        select *, (day(make_timestamp(ts)) - 1) // 8 + cast(event_id % 17 = 0 as integer) as file from finalized""",
+    "marks": f"select file, max(max(ts)) over (order by file rows between unbounded preceding and 1 preceding) // 1000 * 1000 - {48 * 3600000000} as mark from arrived group by file",
+    "timely": "select a.*, coalesce(ts <= mark, false) as late from arrived a join marks using (file)",
+    "kept_wins": f"""
+        select pool_id, block_id, min(ts) as t0 from timely where not late group by all
+        union all
+        select w.pool_id, w.block_id, (select min(ts) from timely f where not late and f.pool_id = w.pool_id
+               and f.block_id = w.block_id and f.ts > w.t0 + {AGE_US})
+        from kept_wins w where w.t0 is not null""",
     "ttl_wins": f"""
         select pool_id, block_id, min(ts) as t0 from finalized group by all
         union all
@@ -226,7 +236,7 @@ NOT_IGNORED = (
     " and path not like '/wh/O/19/%' and path not like '/wh/O/2000/12/%'"
 )
 PARTS["audit_live"] = PARTS["audit_live"].format(kept=NOT_IGNORED)
-RECURSIVE = {"wins", "ttl_wins"}
+RECURSIVE = {"wins", "ttl_wins", "kept_wins"}
 
 
 CORRUPT_STORED = f"select * from corrupt semi join store using ({KEY}) anti join present using ({KEY})"
@@ -256,6 +266,38 @@ def restore_polls(seen, forced, busy, among="true"):
     return f"with nn as ({nodes}), {','.join(rounds)} " + " union all ".join(f"select * from r{r}" for r in range(3))
 
 
+WITH_ONE = "substr(node, -1) = '1'"
+DAY = 24 * 3600 * 1_000_000
+
+
+def poll_rounds(asked, polls, width, ttl, busy, capacity, among):
+    """Requests of one poll after the other. `asked` has the blocks of each poll with time and force."""
+    rounds, same = [], " and ".join(f"x.{c} = a.{c}" for c in KEYS4)
+    for p in polls:
+        before = [q for q in polls if q < p and (q + 1) * width + max(ttl, busy) > p * width]
+        known = " union all ".join(["select * from nobody", *[f"select {KEY}, node, requested_us from p{q} where accepted" for q in before]])
+        rounds.append(f"""
+            k{p} as ({known}),
+            p{p} as (
+              select {KEY}, requested_us, force, node, row_number() over (partition by node order by requested_us, {KEY})
+                     <= {capacity} - (select count(*) from k{p} x where x.node = b.node and x.requested_us + {busy} > {p * width}) as accepted
+              from (select a.*, n.node from (select *, {key_hash("'0'", f"'{p}'")} % (select count(*) from nn) as no from ({asked})
+                    where poll = {p}) a join nn n on a.no = n.row_no
+                    where force or not exists (select 1 from k{p} x where {same} and x.requested_us + {ttl} > a.requested_us)) b)""")
+    nodes = numbered(f"select distinct node from node_names where {among}", [], ["node"])
+    nobody = f"select {KEY}, '' as node, cast(0 as bigint) as requested_us from store where false"
+    return f"with nn as ({nodes}), nobody as ({nobody}), {','.join(rounds)} " + " union all ".join(f"select * from p{p}" for p in polls)
+
+
+SEEN_POLLS = f"""
+    select 'BP-9' as pool_id, block_id, cast(500 as bigint) as length, cast(7 as bigint) as gen_stamp, ts // {3 * DAY} as poll,
+           min(ts) as requested_us, bool_or(force) as force
+    from (select *, event_type = 'error' and block_id % 7 = 0 as force from finalized)
+    where (force or block_id in (select c_custkey from customer))
+      and (ts // {3 * DAY} + 1) * {3 * DAY} <= (select max(ts) from finalized) // 1000 * 1000 - 3600000000
+    group by block_id, ts // {3 * DAY}"""
+
+
 def with_parts(body: str) -> str:
     """Put the named parts a query uses, directly or not, in front of it."""
     order: list[str] = []
@@ -520,7 +562,7 @@ QUERIES = {
     "restore_run": f"select {KEY}, requested_us, node, accepted from ({restore_polls(CORRUPT_STORED, NOT_FORCED, 6)})",
     "restore_run_busy": f"select {KEY}, requested_us, force, node, accepted from ({restore_polls(CORRUPT_STORED, FORCED, 7)})",
     "restore_run_copied": f"""
-        with a as (select distinct {KEY} from ({restore_polls(CORRUPT_DOCS, FORCED_DOCS, 6, "substr(node, -1) = '1'")}) where accepted)
+        with a as (select distinct {KEY} from ({restore_polls(CORRUPT_DOCS, FORCED_DOCS, 6, WITH_ONE)}) where accepted)
         select a.*, case when d.lang = 'de' then 'already_valid' else 'restored' end as status,
                case when d.lang = 'de' then 0 else d.length end as bytes_copied,
                case when d.lang <> 'de' then md5(d.text) end as data,
@@ -562,6 +604,16 @@ QUERIES = {
               from w where t0 is not null)
         select 'BP-9' as pool_id, block_id, cast(500 as bigint) as length, cast(7 as bigint) as gen_stamp, t0 as ts_us
         from w where t0 is not null and t0 <= (select max(ts) from finalized) // 1000 * 1000""",
+    "stream_backup_late": f"""
+        with w as (select pool_id, block_id, t0 from kept_wins where t0 is not null),
+             m as (select f.*, w.t0 from (select * from timely where not late) f asof join w
+                   on f.pool_id = w.pool_id and f.block_id = w.block_id and f.ts >= w.t0)
+        select pool_id, block_id, arg_max(length, (length, -ts)) as length, cast(1 as bigint) as gen_stamp,
+               t0 as opened_us, t0 + {AGE_US} as due_us, count(*) as n_events, false as late
+        from m group by pool_id, block_id, t0
+        having t0 + {AGE_US} < (select max(ts) from finalized) // 1000 * 1000 - {48 * 3600000000}
+        union all select {KEY}, ts, null, 1, true from timely where late""",
+    "stream_restore_polls": f"select * from ({poll_rounds(SEEN_POLLS, range(6574, 6585), 3 * DAY, 7 * DAY, 4 * DAY, 2, WITH_ONE)})",
     "stream_throughput": """
         select * from by_minute
         where minute_us + 60000000 <= (select max(ts_us) from transfers) // 1000 * 1000 - 60000000""",

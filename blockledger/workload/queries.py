@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from blockledger.functions.columns import local_name, micros, path_ancestors
 from blockledger.operators import aggregates, assign, filters, metrics, payload, ranking, reconcile, restore, validate
+from blockledger.operators.admission import RestorePolls
 from blockledger.operators.anchored import coalesce_requests, ttl_dedupe
 from blockledger.operators.callbacks import apply_deletes_with, send_requests_with
 from blockledger.plans import jobs
@@ -555,7 +556,7 @@ class StreamTables(Tables):
     """The same derivations with the events table read as a stream."""
 
     def read(self, name):
-        if name != "events":
+        if name != "events" or name in self._read:
             return super().read(name)
         return (
             self.spark.readStream.schema(EVENTS)
@@ -568,21 +569,19 @@ class StreamTables(Tables):
 def run_once(t, stream: DataFrame, name: str) -> DataFrame:
     """Drain the stream into a new folder and read it back."""
     folder = scratch(t, name)
+    drain(t, stream.writeStream.format("parquet").option("path", f"{folder}/out"), folder)
+    return t.spark.read.schema(stream.schema).parquet(f"{folder}/out")
+
+
+def drain(t, writer, folder: str) -> None:
+    """Run a stream over all there is. State has as many partitions as there are cores: each starts a Python worker."""
     setting, spark = "spark.sql.shuffle.partitions", t.spark
     before = spark.conf.get(setting)
-    spark.conf.set(setting, str(spark.sparkContext.defaultParallelism))  # each state partition starts a Python worker
+    spark.conf.set(setting, str(spark.sparkContext.defaultParallelism))
     try:
-        query = (
-            stream.writeStream.format("parquet")
-            .option("path", f"{folder}/out")
-            .option("checkpointLocation", f"{folder}/state")
-            .trigger(availableNow=True)
-            .start()
-        )
-        query.awaitTermination()
+        writer.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
     finally:
         spark.conf.set(setting, before)
-    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
 def _rocksdb(t):
@@ -597,6 +596,25 @@ def stream_backup_requests(t):
     return us(run_once(t, streams.stream_backup_requests(live.finalized(), AGE, delay="0 seconds"), "backup"), "opened_ts", "due_ts")
 
 
+def _arrivals(t, folder: str) -> DataFrame:
+    """The events as four files, week by week; every 17th comes with the file after that of its week."""
+    events = t.read("events").withColumn(
+        "_file", F.floor((F.dayofmonth("ts") - 1) / 8).cast("int") + (F.col("event_id") % 17 == 0).cast("int")
+    )
+    for k in range(5):
+        events.filter(F.col("_file") == k).drop("_file").coalesce(1).write.parquet(f"{folder}/{k}")
+    return t.spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(folder)
+
+
+def stream_backup_late(t):
+    """What comes more than two days behind the newest event is told of, and changes no window."""
+    _rocksdb(t)
+    live = StreamTables(t.spark, t.folder)
+    live._read["events"] = _arrivals(t, scratch(t, "arrivals"))
+    asked = streams.stream_backup_requests(live.finalized(), AGE, delay="2 days", late=True)
+    return us(run_once(t, asked, "late"), "opened_ts", "due_ts")
+
+
 def stream_restore_requests(t):
     """Sightings of customer blocks by the event stream; the store holds those customers whose pool was lost."""
     _rocksdb(t)
@@ -611,6 +629,26 @@ def stream_restore_requests(t):
     return us(run_once(t, streams.stream_restore_requests(seen, t.store(), AGE, delay="0 seconds"), "restore"), "ts")
 
 
+def stream_restore_polls(t):
+    """The same sightings poll by poll: a node has two places for four days, a restore is not repeated for seven."""
+    _rocksdb(t)
+    live = StreamTables(t.spark, t.folder)
+    seen = live.read("events").select(
+        F.lit("BP-9").alias("pool_id"),
+        F.col("user_id").cast("bigint").alias("block_id"),
+        F.lit(500).cast("bigint").alias("length"),
+        F.lit(7).cast("bigint").alias("gen_stamp"),
+        F.col("ts").cast("timestamp").alias("ts"),
+        ((F.col("event_type") == "error") & (F.col("user_id") % 7 == 0)).alias("force"),
+    )
+    folder = scratch(t, "polls")
+    nodes = t.nodes().filter("substring(node, -1) = '1'")
+    polls = RestorePolls.over(nodes, f"{folder}/requests", poll="3 days", ttl="7 days", busy="4 days", capacity=2)
+    closed = streams.closed_polls(seen, t.store(), delay="1 hour", poll="3 days")
+    drain(t, closed.writeStream.foreachBatch(streams.take_polls(polls)), folder)
+    return us(polls.requests(), "requested_ts")
+
+
 def stream_throughput(t):
     live = StreamTables(t.spark, t.folder)
     rows = run_once(t, sinks.stream_throughput(live.transfers()), "throughput")
@@ -766,7 +804,9 @@ QUERIES = {
     "apply_deletes_with": apply_deletes_callback,
     "send_requests_with": send_requests_callback,
     "stream_backup_requests": stream_backup_requests,
+    "stream_backup_late": stream_backup_late,
     "stream_restore_requests": stream_restore_requests,
+    "stream_restore_polls": stream_restore_polls,
     "stream_throughput": stream_throughput,
     "with_retries": with_retries,
     "retry_step": retry_step,

@@ -1,12 +1,16 @@
 import datetime as dt
+import random
 
+import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
 from blockledger.operators.anchored import coalesce_requests
 from blockledger.operators.ranking import assign_batches
-from blockledger.schema import FINALIZED
-from blockledger.streaming.requests import stream_backup_requests
+from blockledger.operators.admission import RestorePolls
+from blockledger.plans.jobs import restore_run
+from blockledger.schema import FINALIZED, KEY
+from blockledger.streaming.requests import closed_polls, stream_backup_requests, take_polls
 from blockledger.streaming.sinks import run_gc_pages, with_retries
 
 START = dt.datetime(2024, 1, 1)
@@ -80,3 +84,60 @@ def test_failed_page_does_not_stop_the_run(blocks):
     assert {r["block_id"] for r in got.filter("not ok").collect()} == bad
     again = run_gc_pages(lambda batch: None, pages, done=got)
     assert {r["block_id"] for r in again.filter("ok").collect()} == bad
+
+
+@pytest.mark.parametrize("per_batch", [1, 3])
+def test_polled_stream_equals_the_batch_job(spark, tmp_path, per_batch):
+    """However the sightings are cut into micro-batches: same requests, nodes and answers as one batch run."""
+    draw = random.Random(2)
+    batches = [[(draw.randint(1, 12), 1, 60 * i + draw.randint(0, 90)) for _ in range(15)] for i in range(3)] + [[(99, 1, 9_000)]]
+    write_batches(spark, tmp_path / "in", batches)
+    files = spark.read.schema(FINALIZED).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(FINALIZED).option("maxFilesPerTrigger", per_batch).option("recursiveFileLookup", "true").parquet(
+        str(tmp_path / "in")
+    )
+    store = files.select(*KEY).distinct()
+    nodes = spark.createDataFrame([("n1",), ("n2",)], "node string")
+    rules = dict(poll="40 seconds", ttl="2 minutes", busy="50 seconds", capacity=2)
+    polls = RestorePolls.over(nodes, str(tmp_path / "polls"), **rules)
+    handle = take_polls(polls)
+    query = (
+        closed_polls(stream, store, delay="2 minutes", poll="40 seconds")
+        .writeStream.foreachBatch(lambda batch, n: [handle(batch, n) for _ in range(per_batch)])  # also repeated
+        .option("checkpointLocation", str(tmp_path / "state"))
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    once = restore_run(files.filter("block_id <> 99"), store, store.limit(0), nodes, **rules).requests
+    assert rows(polls.requests()) == rows(once)
+    assert {r["accepted"] for r in once.collect()} == {True, False}
+
+
+def test_late_events_come_out_on_their_own(spark, tmp_path):
+    """An event behind the watermark changes no window and is told of; kept and late together are all."""
+    batches = [
+        [(1, 5, 3), (1, 9, 0), (2, 1, 1)],
+        [(1, 7, 4), (2, 3, 60), (3, 1, 61)],
+        [(1, 8, 2), (2, 2, 35), (2, 4, 62), (4, 1, 30), (4, 2, 30)],  # the watermark is at 41
+        [(9, 1, 200)],
+    ]
+    write_batches(spark, tmp_path / "in", batches)
+    stream = spark.readStream.schema(FINALIZED).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(
+        str(tmp_path / "in")
+    )
+    query = (
+        stream_backup_requests(stream, "5 seconds", delay="20 seconds", late=True)
+        .writeStream.format("parquet")
+        .option("path", str(tmp_path / "out"))
+        .option("checkpointLocation", str(tmp_path / "state"))
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out"))
+    seconds = lambda ts: int((ts - START).total_seconds())
+    late = sorted((r["block_id"], r["length"], seconds(r["opened_ts"]), r["n_events"]) for r in got.filter("late").collect())
+    assert late == [(1, 8, 2, 1), (2, 2, 35, 1), (4, 2, 30, 2)]
+    kept = sorted((r["block_id"], r["length"], seconds(r["opened_ts"]), r["n_events"]) for r in got.filter("not late").collect())
+    assert kept == [(1, 9, 0, 3), (2, 1, 1, 1), (2, 4, 60, 2), (3, 1, 61, 1)]
