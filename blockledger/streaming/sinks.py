@@ -12,8 +12,9 @@ from blockledger.operators.callbacks import apply_deletes_with
 from blockledger.operators.ranking import assign_batches
 from blockledger.operators.reconcile import gc
 from blockledger.operators.validate import to_validate
-from blockledger.schema import BLOCK, KEY, PAGE_SIZE, RETRY_DELAY
+from blockledger.schema import BLOCK, DELETE_BATCH, KEY, PAGE_SIZE, RETRY_DELAY
 from blockledger.session import folder_exists
+from blockledger.sources.inventory import store_from_keys
 
 
 def retry_step(results: DataFrame, now, delay=RETRY_DELAY, max_attempts=None) -> DataFrame:
@@ -106,3 +107,21 @@ def run_gc_pages(fn, pages: DataFrame, done: DataFrame | None = None) -> DataFra
     if done is not None:
         pages = pages.join(done.filter("ok").select(*KEY).distinct(), KEY, "left_anti")
     return apply_deletes_with(fn, pages, by=("pool_id", "page"))
+
+
+def collect_garbage(live: DataFrame, fn, path: str, match_on="key", prefix=None):
+    """A foreachBatch handler for a stream of listed keys: each page is compared with `live` and its garbage given to `fn`.
+
+    What was carried out is written below `path`, a folder for each page. A page that was done before a restart is not
+    done again; one that failed is told of and does not stop those after it.
+    """
+
+    def handle(page: DataFrame, batch_id: int) -> None:
+        folder = f"{path}/page={batch_id}"
+        if folder_exists(page.sparkSession, f"{folder}/_SUCCESS"):
+            return
+        deletes = gc(store_from_keys(page, prefix), live, match_on).withColumn("action", F.lit("delete"))
+        done = apply_deletes_with(fn, assign_batches(deletes, DELETE_BATCH))
+        done.write.mode("overwrite").parquet(folder)
+
+    return handle

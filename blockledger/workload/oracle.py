@@ -373,6 +373,9 @@ QUERIES = {
               from (select * from file_rows union all by name select * from snap_rows)) group by {KEY}""",
     "store_from_keys": f"select {KEY} from halves where half = 'meta'",
     "store_from_files": f"select {KEY} from store",
+    "list_store": f"select {KEY} from docs",
+    "store_from_real_files": f"select {KEY} from docs",
+    "gc_resumed": f"select {KEY}, cast(case when lang = 'en' then 0 else 1 end as bigint) as times from docs",
     "list_after": f"""
         select * from (select {object_key("'meta'")} as key, {KEY} from store)
         where key > 'meta/BP-2' order by key limit 10000""",

@@ -2,6 +2,7 @@
 
 import uuid
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,7 +15,7 @@ from blockledger.operators.callbacks import apply_deletes_with, send_requests_wi
 from blockledger.plans import jobs
 from blockledger.schema import KEY
 from blockledger.session import checkpoint_dir, materialize
-from blockledger.sources import inventory, manifest, reports
+from blockledger.sources import inventory, manifest, objects, reports
 from blockledger.streaming import requests as streams
 from blockledger.streaming import sinks
 from blockledger.workload.fixtures import Tables
@@ -68,6 +69,50 @@ def store_from_files(t):
     return inventory.store_from_files(file_listing(t))
 
 
+def _objects(t, **layout):
+    """A store of real objects, the documents with their checksums."""
+    folder = scratch(t, "objects")
+    stored = t.payload().withColumn("meta", payload.chunk_sums(F.col("data"), algorithm="md5"))
+    objects.put_objects(stored, folder, **layout).write.format("noop").mode("overwrite").save()
+    return folder
+
+
+def list_store(t):
+    """Objects that were written are listed in pages of 9 and read as an inventory."""
+    keys = objects.list_keys(t.spark, _objects(t, prefix="a/b"), prefix="a/b/meta/", page=9)
+    return inventory.store_from_keys(keys, "a/b")
+
+
+def store_from_real_files(t):
+    return inventory.store_from_files(inventory.list_files(t.spark, _objects(t, files=True)))
+
+
+def gc_resumed(t):
+    """A clean-up of the objects, page by page: broken off after some pages and started again on the same checkpoint."""
+    folder, log = _objects(t), scratch(t, "gc")
+    english = t.read("documents").filter("lang = 'en'").select(F.col("doc_id").alias("block_id"))
+    live = materialize(t.payload().join(english, "block_id").select(*KEY))
+    handle = sinks.collect_garbage(live, objects.remove_objects(folder), f"{log}/done")
+    pages = objects.stream_keys(t.spark, folder, "meta/", page=max(50, english.count() // 2))
+    for stop_after in (1, None):
+
+        def once(page, n, last=stop_after):
+            if last is not None and n > last:
+                raise InterruptedError("broken off")
+            handle(page, n)
+
+        query = pages.writeStream.foreachBatch(once).option("checkpointLocation", f"{log}/state").start()
+        try:
+            query.processAllAvailable()
+        except StreamingQueryException:
+            pass
+        finally:
+            query.stop()
+    done = t.spark.read.parquet(f"{log}/done").filter("ok").groupBy(*KEY).agg(F.count("*").alias("times"))
+    left = inventory.store_from_keys(objects.list_keys(t.spark, folder)).withColumn("times", F.lit(0).cast("bigint"))
+    return done.unionByName(left)
+
+
 def list_after(t):
     return inventory.list_after(t.store(), "meta/BP-2", 10_000)
 
@@ -727,6 +772,8 @@ QUERIES = {
     "with_snapshots": with_snapshots,
     "store_from_keys": store_from_keys,
     "store_from_files": store_from_files,
+    "list_store": list_store,
+    "store_from_real_files": store_from_real_files,
     "list_after": list_after,
     "ignore_list": ignore_list,
     "read_manifest": read_manifest,
@@ -812,4 +859,5 @@ QUERIES = {
     "retry_step": retry_step,
     "incremental_validate": incremental_validate,
     "gc_pages": gc_pages,
+    "gc_resumed": gc_resumed,
 }

@@ -7,6 +7,7 @@ from blockledger.operators.filters import halves, half_uploads, has_block
 from blockledger.operators.payload import backup_payload, delete_keys, restore_payload, verify_payload, write_payload
 from blockledger.schema import KEY
 from blockledger.sources.inventory import list_after, list_files, parse_keys, store_from_files, store_from_keys
+from blockledger.sources.objects import key_pages, keys_after, list_keys, open_store, put_objects, remove_objects
 from blockledger.sources.manifest import read_manifest, write_manifest
 
 
@@ -91,3 +92,34 @@ def test_has_block_after_write(blocks):
     assert rows(has_block(halves(df, data))) == rows(df)
     assert half_uploads(halves(df, data)).count() == 0
     assert half_uploads(halves(df, data.limit(0))).filter("fault = 'data_missing'").count() == 8
+
+
+def put(df, path, **kw):
+    rows = df.withColumn("data", F.encode(F.col("block_id").cast("string"), "UTF-8")).withColumn("meta", F.array(F.lit(1), F.lit(2)))
+    return put_objects(rows, path, **kw).collect()
+
+
+def test_listing_is_in_key_order_and_cut_anywhere(blocks, tmp_path):
+    """Names that sort before and after a slash, negative numbers, prefixes of one another."""
+    df = blocks([(p, b, n, n) for p in ("a", "a-b", "a.c", "ab", "a0") for b in (-5, -50, 5, 50, 500, 6) for n in (1, 10, 2)])
+    keys = sorted(r["key"] for r in put(df, str(tmp_path)))
+    store, root = open_store(str(tmp_path))
+    assert [k for k, _ in keys_after(store, root)] == keys and len(keys) == 180
+    for i in (0, 17, 90, 179):
+        assert [k for k, _ in keys_after(store, root, keys[i])] == keys[i + 1 :]
+        assert [k for k, _ in keys_after(store, root, keys[i] + "x", keys[-2])] == keys[i + 1 : -1]
+    for n in (1, 7, 1000):
+        assert [k for page in key_pages(str(tmp_path), "", "\U0010ffff", n) for k, _ in page] == keys
+
+
+def test_listing_as_a_source(spark, blocks, tmp_path):
+    df = blocks(some_blocks(100))
+    written = put(df, str(tmp_path), prefix="x/y")
+    assert rows(list_keys(spark, str(tmp_path), page=9)) == sorted((tuple(r) for r in written), key=repr)
+    listed = list_keys(spark, str(tmp_path), "x/y/meta/", page=9)
+    assert listed.count() == 100 and rows(store_from_keys(listed, "x/y")) == rows(df)
+    assert list_keys(spark, str(tmp_path / "none")).count() == 0 and list_keys(spark, str(tmp_path), "z").count() == 0
+    remove = remove_objects(str(tmp_path), "x/y")
+    for _ in range(2):
+        remove(df.limit(40).toPandas())
+    assert list_keys(spark, str(tmp_path)).count() == 120
