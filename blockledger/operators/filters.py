@@ -84,10 +84,10 @@ def backup_eligible(candidates: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def check_pool(df: DataFrame, pool: str) -> DataFrame:
-    """Mark rows of a foreign pool as errors."""
+    """Mark rows of a foreign pool, or of none, as errors."""
+    named = F.coalesce(F.col("pool_id"), F.lit("null"))
     fault = F.when(
-        F.col("pool_id") != pool,
-        F.concat(F.lit("Block pool id "), F.col("pool_id"), F.lit(f" does not match {pool}")),
+        ~F.col("pool_id").eqNullSafe(F.lit(pool)), F.concat(F.lit("Block pool id "), named, F.lit(f" does not match {pool}"))
     )
     return df.withColumn("error", fault)
 

@@ -136,7 +136,24 @@ def node_validate(node_blocks, stored, ledger, *, payload=None, ignore_previous=
     return NodeValidate(checked, mark_validated(ledger, done), copied)
 
 
-def converge(live, store) -> DataFrame:
-    """The store after the plan has been carried out: deletes gone, backups there, lost pools kept."""
-    plan = reconcile(live, store)
-    return plan.filter(F.col("action").isin("in_sync", "backup", "restore")).select(*KEY)
+@dataclass
+class Converged:
+    store: DataFrame  # after deletes and backups were carried out
+    audit: DataFrame  # what a second comparison says of it
+    copied: DataFrame | None
+
+
+def converge(live, store, *, payload=None) -> Converged:
+    """Carry the plan out and compare again: garbage is gone, backups are there, lost pools are kept.
+
+    With `payload` only blocks whose contents could be copied count as backed up; the audit names the others again.
+    The plan is decided once and written out before anything is done about it.
+    """
+    plan = materialize(reconcile(live, store).filter(F.col("action") != "in_sync"))
+    left = apply_deletes(store.select(*KEY), plan.filter(F.startswith("action", F.lit("delete"))))
+    backups, copied = plan.filter(F.col("action") == "backup").select(*KEY), None
+    if payload is not None:
+        copied = materialize(backup_payload(backups, payload))
+        backups = copied.filter(F.col("status") == "ok").select(*KEY)
+    after = materialize(left.unionByName(backups))
+    return Converged(after, reconcile(live, after), copied)

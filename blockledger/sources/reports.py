@@ -1,6 +1,6 @@
 """Run reports: the text form, the table form, and how long they are kept."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blockledger.functions.columns import BLOCK_PATTERN, block_text, micros
@@ -159,19 +159,50 @@ def listing_events(blocks: DataFrame, run_id: str, ts, event: str, debug: bool)
     return rows if debug else rows.limit(0)
 
 
-def write_report(events: DataFrame, path: str, step: str | None = None) -> None:
+def write_report(events: DataFrame, path: str, step: str | None = None, run_id: str | None = None) -> None:
     """Write report rows, a folder for each `step` in one per run, so that old runs can be dropped without a scan.
 
     A step that is written again replaces its own folder and leaves the run's other steps and other runs alone. Rows
-    without a given `step` belong to one named by their event if that is an `...Error`, and to `plan` otherwise. No rows
-    replace nothing.
+    without a given `step` belong to one named by their event if that is an `...Error`, and to `plan` otherwise. With
+    `run_id` the rows are that run's, and no rows are a result too: they empty the given `step`, or all steps that `events` could have written.
     """
-    of_event = F.when(F.endswith("event", F.lit("Error")), F.col("event")).otherwise(F.lit("plan"))
-    events = events.withColumn("step", of_event if step is None else F.lit(step))
+    if run_id is not None:
+        of_run = events.drop("run_id", "step")
+        for name in [step] if step is not None else ["plan", *ERRORS]:
+            own = F.lit(True) if step is not None else (_step() == name)
+            of_run.filter(own).write.mode("overwrite").parquet(f"{path}/run_id={run_id}/step={name}")
+        return
+    events = events.withColumn("step", _step() if step is None else F.lit(step))
     writer = events.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
     writer.partitionBy("run_id", "step").parquet(path)
 
 
+ERRORS = [e for e in EVENTS if e.endswith("Error")]
+
+
+def _step() -> Column:
+    return F.when(F.endswith("event", F.lit("Error")), F.col("event")).otherwise(F.lit("plan"))
+
+
+def report_runs(spark: SparkSession, path: str) -> DataFrame:
+    """The runs that have a report below `path`, as `name` (report.RUN) and `run_id`; one row for each folder."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [f.getPath().getName() for f in files.listStatus(folder)] if files.exists(folder) else []
+    runs = [n.removeprefix("run_id=") for n in found if n.startswith("run_id=")]
+    return spark.createDataFrame([(REPORT_PREFIX + r, r) for r in runs], "name string, run_id string")
+
+
+def drop_reports(spark: SparkSession, path: str, now, keep=REPORT_KEEP) -> list[str]:
+    """Remove the folders of runs older than `keep` and name them. No report is read; a run whose name is no time stays."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    old = sorted(r["run_id"] for r in prune_reports(report_runs(spark, path), now, keep).collect())
+    for run in old:
+        files.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/run_id={run}"), True)
+    return old
+
+
 def prune_reports(reports: DataFrame, now, keep=REPORT_KEEP) -> DataFrame:
     """Names of reports older than `keep`; a name that holds no time is left alone."""
     named = reports.filter(F.startswith("name", F.lit(REPORT_PREFIX)))

@@ -575,7 +575,37 @@ QUERIES = {
     "node_validate_ledger": f"""
         select {KEY} from ledger union
         select {KEY} from checked anti join ledger using ({KEY}) anti join requested using ({KEY}) where reason <> 'eligible'""",
-    "converge": f"select {KEY} from live union select {KEY} from store where pool_id not in (select pool_id from live)",
+    "converge": f"""
+        select {KEY}, 'in_sync' as action from live
+        union select {KEY}, 'restore' from store where pool_id not in (select pool_id from live)""",
+    "converge_store": f"""
+        select {KEY} from store where pool_id not in (select pool_id from live)
+        union all select {KEY} from store semi join live using ({KEY}) union all select {KEY} from live anti join store using ({KEY})""",
+    "converge_copied": f"""
+        select p.*, case when p.block_id % 3 = 0 or d.length = p.length then 'in_sync' else 'backup' end as action
+        from (select distinct {KEY} from docs_plan) p left join docs d using (pool_id, block_id, gen_stamp)""",
+    "node_validate_copied": f"""
+        with l as (select {KEY} from docs_plan where pool_id <> 'pages'), t as (select * from l where block_id % 4 <> 0),
+             c as (select *, case when block_id % 3 = 0 then 'already_stored' when block_id % 5 = 0 then 'not_valid'
+                   when block_id % 11 = 0 then 'symbolic_link' else 'eligible' end as reason from t),
+             p as (select c.*, case when d.length = c.length then 'ok' else 'length_mismatch' end as status
+                   from c join docs d using (pool_id, block_id, gen_stamp) where reason = 'eligible')
+        select {KEY}, 'marked' as status from l where block_id % 4 = 0
+        union all select {KEY}, 'marked' from c where reason <> 'eligible'
+        union all select {KEY}, 'marked' from p where status = 'ok'
+        union all select {KEY}, status from p""",
+    "merge_payload": f"select {KEY}, md5(case when lang = 'en' then '2:' || text else text end) as data from docs",
+    "write_report_clean": PLAN_EVENTS,
+    "report_debug": f"""
+        select case when action = 'restore' then 'restoreBlock' else 'deleteBackupBlock' end as event, pool_id, row_no as seq,
+               cast(1 as bigint) as n_blocks, md5({BLOCK_TEXT}) as detail
+        from ({PLAN_BATCHES}) where action <> 'backup'
+        union all
+        select 'backupRequestBatch', pool_id, batch_no, count(*), md5(string_agg({BLOCK_TEXT}, ' ' order by {BLOCK_TEXT}))
+        from ({PLAN_BATCHES}) where action = 'backup' group by pool_id, batch_no""",
+    "drop_reports": """
+        select run_id || '000000' as run_id, case when event like '%Error' then event else 'plan' end as step, count(*) as n
+        from report_rows where run_id >= '20240124' group by all""",
     "prune_reports": """
         select 'report.' || strftime(ts, '%Y%m%d%H%M%S') as name from events
         where event_type not in ('error', 'signup')

@@ -186,6 +186,18 @@ def upsert_payload(t):
     return payload.upsert_payload(docs, new).select(*KEY, F.md5("data").alias("data"))
 
 
+def merge_payload(t):
+    """A stored table, some of whose blocks are written again, twice over."""
+    folder = scratch(t, "merged")
+    docs = t.payload().withColumn("meta", payload.chunk_sums(F.col("data"), algorithm="md5"))
+    english = t.read("documents").filter("lang = 'en'").select(F.col("doc_id").alias("block_id"))
+    payload.merge_payload(docs, folder, buckets=4)
+    for _ in range(2):
+        again = docs.join(english, "block_id").withColumn("data", F.encode(F.concat(F.lit("2:"), F.decode("data", "UTF-8")), "UTF-8"))
+        payload.merge_payload(again.select(*docs.columns), folder, buckets=4)
+    return payload.read_payload(t.spark, folder, docs.schema).select(*KEY, F.md5("data").alias("data"))
+
+
 def restore_payload(t):
     docs = t.payload()
     stored = docs.withColumn("meta", payload.chunk_sums(F.col("data"), algorithm="md5"))
@@ -216,6 +228,35 @@ def write_report(t):
     return us(t.spark.read.parquet(folder), "ts").drop("run_id", "step")
 
 
+def write_report_clean(t):
+    """A run with errors is reported, then run again without: of the errors nothing is left."""
+    folder = scratch(t, "report")
+    plan = reconcile.reconcile(t.live(), t.store()).filter(F.col("action") != "in_sync")
+    events = materialize(reports.action_events(ranking.assign_batches(plan, 100), "run1", NOW, debug=False))
+    failed = reconcile.gc(t.store(), t.live()).select("*", F.lit(False).alias("ok"), F.lit("down").alias("error"))
+    errors = reports.error_events(failed, "deleteBackupBlockError", "run1", NOW)
+    for found in (errors, errors.limit(0)):
+        reports.write_report(events.unionByName(found), folder, run_id="run1")
+    return us(t.spark.read.parquet(folder), "ts").drop("run_id", "step")
+
+
+def report_debug(t):
+    """The report of a run that names every block: one row a batch, with all of its blocks."""
+    plan = reconcile.reconcile(t.live(), t.store()).filter(F.col("action") != "in_sync")
+    events = reports.action_events(ranking.assign_batches(plan, 100), "run1", NOW, debug=True)
+    return events.select("event", "pool_id", "seq", "n_blocks", F.md5("detail").alias("detail"))
+
+
+def drop_reports(t):
+    """Reports of every day are written, those of more than a week ago dropped, and the rest read."""
+    folder = scratch(t, "reports")
+    rows = t.report_rows().withColumn("run_id", F.concat("run_id", F.lit("000000"))).withColumn("pool_id", F.lit(None).cast("string"))
+    reports.write_report(rows, folder)
+    reports.drop_reports(t.spark, folder, NOW)
+    left = t.spark.read.schema("event string, run_id string, step string").parquet(folder)
+    return left.groupBy("run_id", "step").agg(F.count("*").alias("n"))
+
+
 def checksum_meta(t):
     rows = payload.checksum_meta(t.payload(), 512, "md5")
     return rows.select(*KEY, F.size("meta").cast("bigint").alias("chunks"), F.md5(F.array_join("meta", ",")).alias("meta"))
@@ -550,8 +591,30 @@ def node_validate_ledger(t):
     return jobs.node_validate(t.local(), t.store(), t.ledger(), failed=t.requested()).ledger
 
 
+def node_validate_copied(t):
+    """Documents on the nodes: what is eligible is copied, and what came out right is marked."""
+    declared = t.payload_plan().filter("pool_id <> 'pages'")
+    local = declared.select("*", (F.col("block_id") % 5 != 0).alias("is_valid"), (F.col("block_id") % 11 == 0).alias("is_symlink"))
+    stored, ledger = declared.filter("block_id % 3 = 0"), declared.filter("block_id % 4 = 0")
+    run = jobs.node_validate(local, stored.select(*KEY), ledger.select(*KEY), payload=t.payload())
+    marked = run.ledger.select(*KEY, F.lit("marked").alias("status"))
+    return marked.unionByName(run.copied.select(*KEY, "status"))
+
+
 def converge(t):
-    return jobs.converge(t.live(), t.store())
+    """What the comparison says of the store once its own plan was carried out."""
+    return jobs.converge(t.live(), t.store()).audit
+
+
+def converge_store(t):
+    return jobs.converge(t.live(), t.store()).store
+
+
+def converge_copied(t):
+    """Documents, of which some can not be copied as declared: those are still to be backed up afterwards."""
+    declared = t.payload_plan()
+    store = declared.filter("block_id % 3 = 0").unionByName(declared.filter("block_id % 5 = 0").withColumn("gen_stamp", F.lit(0).cast("bigint")))
+    return jobs.converge(declared.select(*KEY), store.select(*KEY), payload=t.payload()).audit
 
 
 def prune_reports(t):
@@ -783,11 +846,14 @@ QUERIES = {
     "backup_payload": backup_payload,
     "write_payload": write_payload,
     "upsert_payload": upsert_payload,
+    "merge_payload": merge_payload,
     "restore_payload": restore_payload,
     "apply_deletes": apply_deletes,
     "delete_keys": delete_keys,
     "purge": purge,
     "write_report": write_report,
+    "write_report_clean": write_report_clean,
+    "report_debug": report_debug,
     "checksum_meta": checksum_meta,
     "verify_payload": verify_payload,
     "render_keys": render_keys,
@@ -846,8 +912,12 @@ QUERIES = {
     "restore_run_copied": restore_run_copied,
     "node_validate": node_validate,
     "node_validate_ledger": node_validate_ledger,
+    "node_validate_copied": node_validate_copied,
     "converge": converge,
+    "converge_store": converge_store,
+    "converge_copied": converge_copied,
     "prune_reports": prune_reports,
+    "drop_reports": drop_reports,
     "apply_deletes_with": apply_deletes_callback,
     "send_requests_with": send_requests_callback,
     "stream_backup_requests": stream_backup_requests,

@@ -14,7 +14,8 @@ from blockledger.operators.payload import backup_payload, upsert_payload
 from blockledger.operators.ranking import admit
 from blockledger.operators.reconcile import reconcile, restore_unknown, unnamed
 from blockledger.plans.jobs import node_validate
-from blockledger.sources.reports import error_events, write_report
+from blockledger.operators.filters import check_pool
+from blockledger.sources.reports import drop_reports, error_events, write_report
 from blockledger.streaming.sinks import gc_pages, run_gc_pages
 
 BLOCK = "pool_id string, block_id bigint, length bigint, gen_stamp bigint"
@@ -115,3 +116,31 @@ def test_errors_of_a_run_leave_its_plan_rows(spark, table, tmp_path):
     write_report(plan.limit(1), folder, step="second pass")
     counts = {r["step"]: r["count"] for r in spark.read.parquet(folder).groupBy("step").count().collect()}
     assert counts == {"plan": 3, "deleteBackupBlockError": 2, "backupRequestError": 2, "second pass": 1}
+
+
+def test_a_run_without_errors_empties_those_of_before(spark, table, tmp_path):
+    path, schema = str(tmp_path / "r"), "run_id string, event string"
+    plan, error = ("a", "deleteBackupBlock"), ("a", "deleteBackupBlockError")
+    read = lambda: sorted((r["run_id"], r["event"]) for r in spark.read.parquet(path).collect())
+    write_report(table([plan, error], schema), path, run_id="a")
+    write_report(table([("b", "start")], schema), path, run_id="b")
+    assert read() == [plan, error, ("b", "start")]
+    write_report(table([plan], schema), path, run_id="a")
+    assert read() == [plan, ("b", "start")]
+    write_report(table([error], schema), path, step="deleteBackupBlockError", run_id="a")
+    write_report(table([], schema), path, step="deleteBackupBlockError", run_id="a")
+    assert read() == [plan, ("b", "start")]
+
+
+def test_old_reports_are_removed(spark, table, tmp_path):
+    path = str(tmp_path / "r")
+    runs = ["20240101000000", "20240123235959", "20240124000000", "20240130000000", "by hand"]
+    write_report(table([(r, "start") for r in runs], "run_id string, event string"), path)
+    assert drop_reports(spark, path, "2024-01-31 00:00:00") == runs[:2]
+    assert sorted(os.listdir(path))[-3:] == ["run_id=20240124000000", "run_id=20240130000000", "run_id=by hand"]
+    assert drop_reports(spark, path, "2024-01-31 00:00:00") == [] == drop_reports(spark, str(tmp_path / "none"), "2024-01-31 00:00:00")
+
+
+def test_a_block_of_no_pool_is_foreign(table):
+    found = check_pool(table([("p", 1, 1, 1), ("q", 2, 1, 1), (None, 3, 1, 1)], BLOCK), "p").collect()
+    assert [r["error"] is None for r in sorted(found, key=lambda r: r["block_id"])] == [True, False, False]

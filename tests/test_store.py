@@ -1,10 +1,14 @@
+import glob
+import os
 import random
 
 from conftest import rows
 from pyspark.sql import functions as F
 
 from blockledger.operators.filters import halves, half_uploads, has_block
-from blockledger.operators.payload import backup_payload, delete_keys, restore_payload, verify_payload, write_payload
+from blockledger.operators.payload import (
+    backup_payload, chunk_sums, delete_keys, merge_payload, restore_payload, verify_payload, write_payload,
+)
 from blockledger.schema import KEY
 from blockledger.sources.inventory import list_after, list_files, parse_keys, store_from_files, store_from_keys
 from blockledger.sources.objects import key_pages, keys_after, list_keys, open_store, put_objects, remove_objects
@@ -123,3 +127,50 @@ def test_listing_as_a_source(spark, blocks, tmp_path):
     for _ in range(2):
         remove(df.limit(40).toPandas())
     assert list_keys(spark, str(tmp_path)).count() == 120
+
+
+HELD = "pool_id string, block_id bigint, length bigint, gen_stamp bigint, data binary"
+
+
+def held(table, rows):
+    df = table(rows, HELD)
+    return df.withColumn("meta", chunk_sums(df["data"], algorithm="md5"))
+
+
+def test_contents_stay_where_they_are_read(table, blocks):
+    """Above the join with a small plan nothing with contents is shuffled, sorted or grouped."""
+    payload = table([("p", i, 3, 1, b"abc") for i in range(50)], HELD)
+    plan = backup_payload(blocks([("p", i, 3, 1) for i in range(5)]), payload)._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line or "SortAggregate" in line]
+    assert "BroadcastHashJoin" in plan and not any("data" in line for line in moved)
+
+
+def test_one_of_several_contents(table, blocks):
+    rows_ = [("p", 1, 3, 1, x) for x in (b"zz", b"abc", b"abc", b"xyz", b"long")] + [("p", 2, 9, 1, b"b"), ("p", 2, 9, 1, b"a"), ("p", 3, 1, 1, b"c")]
+    plan = blocks([("p", 1, 3, 1), ("p", 2, 9, 1), ("p", 3, 1, 1)])
+    import hashlib
+
+    least = lambda *xs: min(xs, key=lambda x: hashlib.md5(x).hexdigest())
+    for order in (rows_, rows_[::-1]):
+        got = {r["block_id"]: (r["status"], r["data"] and bytes(r["data"])) for r in backup_payload(plan, held(table, order)).collect()}
+        assert got == {1: ("ok", least(b"abc", b"xyz")), 2: ("length_mismatch", None), 3: ("ok", b"c")}
+        back = restore_payload(plan, held(table, order), blocks([])).collect()
+        assert sorted((r["block_id"], bytes(r["data"])) for r in back) == [(1, least(b"abc", b"xyz")), (2, least(b"a", b"b")), (3, b"c")]
+
+
+def test_only_touched_buckets_are_written_anew(spark, table, tmp_path):
+    path = str(tmp_path / "t")
+    names = lambda: {f: os.stat(f).st_mtime_ns for f in glob.glob(f"{path}/*/*/*.parquet")}
+    state = lambda: sorted((r["pool_id"], r["block_id"], bytes(r["data"])) for r in spark.read.parquet(path).collect())
+    rows_ = [(p, i, 1, 1, b"a") for p in ("p", "7") for i in range(60)]
+    merge_payload(held(table, rows_), path, buckets=8)
+    first, before = names(), state()
+    assert len(first) == 16 and before == sorted((r[0], r[1], b"a") for r in rows_)
+    new = held(table, [("p", 3, 1, 1, b"b"), ("p", 3, 1, 1, b"b"), ("7", 100, 1, 1, b"c")])
+    merge_payload(new, path, buckets=8)
+    second, after = names(), state()
+    assert len(set(first) & set(second)) == 14 and all(first[f] == second[f] for f in set(first) & set(second))
+    want = sorted([x for x in before if x[:2] != ("p", 3)] + [("p", 3, b"b"), ("7", 100, b"c")])
+    assert after == want
+    merge_payload(new, path, buckets=8)
+    assert state() == want
