@@ -11,6 +11,7 @@ from operator import or_
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from blockledger.functions.checksums import combined_crc, crc_chunks
 from blockledger.functions.columns import hash32, object_key
 from blockledger.operators.joins import small_side
 from blockledger.schema import KEY
@@ -21,7 +22,9 @@ BYTES_PER_CHECKSUM = 512
 
 
 def chunk_sums(data, bytes_per_checksum=BYTES_PER_CHECKSUM, algorithm="crc32"):
-    """Checksums of the consecutive chunks of a binary column."""
+    """Checksums of the consecutive chunks of a binary column: crc32, crc32c or md5."""
+    if algorithm == "crc32c":
+        return crc_chunks(data, bytes_per_checksum, algorithm)
     size = F.octet_length(data)
     digest = {"crc32": F.crc32, "md5": F.md5}[algorithm]
     last = F.ceil(size / F.lit(bytes_per_checksum)).cast("int") - 1
@@ -43,6 +46,12 @@ def checksum_meta(payload: DataFrame, bytes_per_checksum=BYTES_PER_CHECKSUM, alg
     )
 
 
+def whole_sums(stored: DataFrame, bytes_per_checksum=BYTES_PER_CHECKSUM, algorithm="crc32") -> DataFrame:
+    """The checksum of each block from its side file alone: `meta` and the declared length, no contents are read."""
+    whole = combined_crc(F.col("meta"), F.col("length"), bytes_per_checksum, algorithm)
+    return stored.select(*KEY, whole.alias("checksum"))
+
+
 def one_of_each(contents: DataFrame, on: list[str], *rank) -> DataFrame:
     """`contents` with one row for each key `on`: of several the first by `rank`, then that of the least MD5 of `data`.
 

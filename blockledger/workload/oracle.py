@@ -365,7 +365,23 @@ def member(table):
     return f"exists (select 1 from {table} x where {same})"
 
 
+def crc(polynomial):
+    """Sums of chunks and of the whole, byte by byte, with the remainders worked out by shifting."""
+    step = "lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])"
+    of = lambda part: f"xor(list_reduce({part}, {step}, 4294967295::bigint), 4294967295)"
+    return f"""
+        with r as (select list(x order by i) as t from (
+               select i, list_reduce([0, 0, 0, 0, 0, 0, 0, 0]::bigint[], lambda c, b: xor(c >> 1, {polynomial} * (c & 1)), i::bigint) as x
+               from range(256) n(i))),
+             b as (select {KEY}, t, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: ('0x' || x)::bigint) as b
+                   from docs, r),
+             m as (select {KEY}, list_transform(range((len(b) + 511) // 512), lambda i: {of("b[i * 512 + 1:i * 512 + 512]")}) as m, {of("b")} as whole from b)
+        select {KEY}, cast(len(m) as bigint) as chunks, md5(array_to_string(m, ',')) as meta, whole as checksum from m"""
+
+
 QUERIES = {
+    "checksum_crc32": crc(0xEDB88320),
+    "checksum_crc32c": crc(0x82F63B78),
     "live_blocks": f"select path, {KEY}, array_to_string(replicas, ',') as replicas from file_rows",
     "with_snapshots": f"""
         select {KEY}, array_to_string({HOSTS}, ',') as replicas

@@ -262,6 +262,23 @@ def checksum_meta(t):
     return rows.select(*KEY, F.size("meta").cast("bigint").alias("chunks"), F.md5(F.array_join("meta", ",")).alias("meta"))
 
 
+def _crc(t, kind):
+    """Sums of the chunks, and of the whole as it follows from them."""
+    rows = payload.checksum_meta(t.payload(), 512, kind)
+    whole = payload.whole_sums(rows, 512, kind)
+    return rows.join(whole, KEY).select(
+        *KEY, F.size("meta").cast("bigint").alias("chunks"), F.md5(F.array_join(F.transform("meta", lambda x: x.cast("string")), ",")).alias("meta"), "checksum"
+    )
+
+
+def checksum_crc32(t):
+    return _crc(t, "crc32")
+
+
+def checksum_crc32c(t):
+    return _crc(t, "crc32c")
+
+
 def verify_payload(t):
     docs = t.read("documents").select(
         F.col("doc_id").alias("block_id"),
@@ -855,6 +872,8 @@ QUERIES = {
     "write_report_clean": write_report_clean,
     "report_debug": report_debug,
     "checksum_meta": checksum_meta,
+    "checksum_crc32": checksum_crc32,
+    "checksum_crc32c": checksum_crc32c,
     "verify_payload": verify_payload,
     "render_keys": render_keys,
     "parse_keys": parse_keys,
