@@ -18,7 +18,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from blockledger.llm.bpe import slices
@@ -192,6 +193,22 @@ def fits(a: str, b: str, share: int) -> str:
     return f"{share} * greatest({a}, {b}) <= 100 * least({a}, {b})"
 
 
+def _bounds(smallest: str, largest: str, share: int) -> tuple[str, str]:
+    return f"greatest({smallest}, {share} / 100 * size)", f"least({largest}, 100 / {share} * size)"
+
+
+def _near(smallest: str, largest: str, share: int) -> Column:
+    """May a set of `size` be linked with one of these sizes?"""
+    low, high = _bounds(smallest, largest, share)
+    return F.expr(f"{low} <= {high} + 1e-6")
+
+
+def _enough(smallest: str, largest: str, share: int) -> Column:
+    """Are there as many common tokens in `common` as any such link needs? The need is least at one of the ends."""
+    low, high = _bounds(smallest, largest, share)
+    return F.expr(f"common >= least({least_common('size', low, share)}, {least_common('size', high, share)})")
+
+
 def sets_of(kept: DataFrame, named: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """`node`, `tokens` (packed) of the nodes in `wanted`, once each, from a text that has them."""
     chosen = named.join(wanted.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("_key").alias("_key"))
@@ -207,7 +224,7 @@ def sets_of(kept: DataFrame, named: DataFrame, wanted: DataFrame, width: int) ->
 
 
 def groups(postings: DataFrame) -> DataFrame:
-    """`gid`, `node`, `size`, `rank`, `root` of every node: groups of about `GROUP` nodes of similar size.
+    """`gid`, `band`, `node`, `size`, `rank`, `root` of every node: groups of about `GROUP` nodes of one band of sizes.
 
     Nodes are put together that share most tokens with the same other node. `rank` is how many nodes are in a component.
     """
@@ -218,7 +235,7 @@ def groups(postings: DataFrame) -> DataFrame:
     ranks = nodes.groupBy("root").agg(F.count("*").alias("rank"))
     dealt = nodes.join(counts, ["like", "band"]).join(ranks, "root")
     gid = F.xxhash64("like", "band", F.pmod(F.xxhash64("node"), F.col("parts")))
-    return dealt.select(gid.alias("gid"), "node", "size", "rank", "root")
+    return dealt.select(gid.alias("gid"), "band", "node", "size", "rank", "root")
 
 
 def opened(members: DataFrame, queries: DataFrame, sets: DataFrame, share: int) -> DataFrame:
@@ -227,15 +244,15 @@ def opened(members: DataFrame, queries: DataFrame, sets: DataFrame, share: int)
     Pairs that links found in the same call connect already are not compared. Queries of a group are cut into parts of
     about `LOAD` tokens, each beside a copy of the members.
     """
-    sets = staged(sets, "sets")
-    asked = queries.join(sets, "node")
     loads = queries.groupBy("gid").agg((F.sum("size") / LOAD + 1).cast("int").alias("parts"))
-    asked = asked.join(loads, "gid").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    held = members.join(sets, "node").join(loads, "gid").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    columns = ["gid", "part", "node", "rank", "root", "tokens"]
-    held = held.select(*[F.col(c).alias(c) for c in columns])  # columns of its own
-
-    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part")
+    columns = ["node", "rank", "root"]
+    asked = queries.join(loads, "gid").select("gid", part, *columns, F.lit(True).alias("asks"))
+    copies = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
+    held = members.join(loads, "gid").select("gid", copies, *columns, F.lit(False).alias("asks"))
+
+    def compare(table: pa.Table) -> pa.Table:
+        left, right = table.filter(pc.invert(table["asks"])), table.filter(table["asks"])
         found: list[tuple[int, int]] = []
         own = list(zip(*(left[c].to_pylist() for c in ("node", "rank", "root")), strict=True))
         inside = [np.frombuffer(x, np.uint64) for x in left["tokens"].to_pylist()]
@@ -261,8 +278,9 @@ def opened(members: DataFrame, queries: DataFrame, sets: DataFrame, share: int)
                     into[top(row["root"])] = top(root)
         return pa.table({"a": pa.array([x[0] for x in found], pa.int64()), "b": pa.array([x[1] for x in found], pa.int64())})
 
-    right = asked.select(*columns).groupBy("gid", "part")
-    return held.groupBy("gid", "part").cogroup(right).applyInArrow(compare, "a long, b long")
+    # Where a node goes is known before its tokens are: they move to it, and then to the groups, and no further.
+    rows = asked.unionByName(held).join(sets, "node")
+    return rows.groupBy("gid", "part").applyInArrow(compare, "a long, b long")
 
 
 def common(a: np.ndarray, b: np.ndarray) -> int:
@@ -307,16 +325,18 @@ def near_components(docs: DataFrame, width: int, share: int) -> tuple[DataFrame,
     cross = placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
     open_postings = staged(placed.join(cross.select("token"), "token", "left_semi"), "open-postings")
     grouped = staged(groups(open_postings), "groups")
-    matrix = open_postings.select("token", "node").join(grouped.select("node", "gid"), "node").select("token", "gid").distinct()
+    matrix = open_postings.select("token", "node").join(grouped.select("node", "gid", "band"), "node").select("token", "gid", "band").distinct()
     facts = grouped.groupBy("gid").agg(
         F.min("size").alias("smallest"), F.max("size").alias("largest"), F.max(F.struct("rank", "root")).alias("above")
     )
-    asking = open_postings.select("token", "node").join(matrix, "token").groupBy("gid", "node").agg(F.count("*").alias("common"))
-    asking = asking.join(grouped.drop("gid"), "node").join(facts, "gid").where(F.struct("rank", "root") < F.col("above"))
-    asking = asking.withColumn("low", F.expr(f"greatest(smallest, {share} / 100 * size)"))
-    asking = asking.withColumn("high", F.expr(f"least(largest, 100 / {share} * size)"))
-    enough = f"least({least_common('size', 'low', share)}, {least_common('size', 'high', share)})"
-    asking = asking.where(f"low <= high + 1e-6 and common >= {enough}").select("gid", "node", "size", "rank", "root")
+    # Sizes and tokens rule most groups out by the band alone, before anything is sent on; the rest by the group's own facts.
+    asking = open_postings.select("token", "node", "size").join(matrix, "token")
+    asking = asking.where(_near(f"pow({BAND}, band) * (1 - 1e-9)", f"pow({BAND}, band + 1) * (1 + 1e-9)", share))
+    asking = asking.groupBy("gid", "band", "node", "size").agg(F.count("*").alias("common"))
+    asking = asking.where(_enough(f"pow({BAND}, band) * (1 - 1e-9)", f"pow({BAND}, band + 1) * (1 + 1e-9)", share)).drop("band", "size")
+    asking = asking.join(grouped.drop("gid", "band"), "node").join(facts, "gid").where(F.struct("rank", "root") < F.col("above"))
+    asking = asking.where(_near("smallest", "largest", share)).where(_enough("smallest", "largest", share))
+    asking = asking.select("gid", "node", "size", "rank", "root")
     asking = staged(asking, "asking")
     members = grouped.join(asking.select("gid").distinct(), "gid", "left_semi").select("gid", "node", "rank", "root")
     sets = sets_of(kept, some, members.select("node").unionByName(asking.select("node")), width)
