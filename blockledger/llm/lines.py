@@ -14,6 +14,7 @@ from blockledger.llm.langid import quoted
 from blockledger.llm.staging import free_of, staged
 
 KEY = ["_doc", "_sig"]
+LONG_WORDS = 20  # a line of so many words is deleted on its own where it is repeated
 
 
 def with_key(docs: DataFrame) -> DataFrame:
@@ -106,12 +107,12 @@ def repeated_runs(docs: DataFrame, window: int, long_words: int | None = None) -
     return runs.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("_runs"))
 
 
-def drop_repeated_lines(docs: DataFrame, window: int = 2, long_words: int | None = None) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, window: int = 2, long_words: int | None = LONG_WORDS) -> DataFrame:
     """`docs` with the repeated lines cut out of `text`, and `n_lines`, `n_removed`, `n_runs`.
 
     Deleted is every run of at least `window` lines that also begins earlier: in a document with a smaller doc_id, or
-    further up in the same one. With `long_words`, so is every single line of at least as many words (what stands between
-    blanks) that is there earlier; without it a repeated line alone stays. The first occurrence stays. Lines are compared byte for byte. Null texts stay null and
+    further up in the same one. So is every single line of at least `long_words` words (what stands between blanks) that is
+    there earlier; a shorter one alone stays, and with None any. The first occurrence stays. Lines are compared byte for byte. Null texts stay null and
     have no lines; an empty text is one empty line. Rows with the same doc_id are ordered by a hash of their texts; rows
     that also have the same text are one document and treated alike. A null doc_id comes before all others. Other
     columns are kept, but for those called like the three or `_doc`, `_sig`, `_lines`, `_runs`. No rows give no rows.

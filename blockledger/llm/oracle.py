@@ -2,7 +2,7 @@
 
 ORACLE: dict[str, str] = {}
 
-ORACLE["op7_line_dedup"] = """
+ORACLE["op7_line_dedup"] = r"""
 with lines as (
   select doc_id, unnest(string_split(text, chr(10))) as line,
          generate_subscripts(string_split(text, chr(10)), 1) as pos
@@ -14,8 +14,13 @@ with lines as (
     select doc_id, pos, line, line2, row_number() over (partition by line, line2 order by doc_id, pos) as k
     from pairs where line2 is not null
   ) where k > 1 and (line <> '' or line2 <> '')
+), alone as (
+  select doc_id, pos from (
+    select doc_id, pos, row_number() over (partition by line order by doc_id, pos) as k
+    from lines where len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) >= 20
+  ) where k > 1
 ), gone as (
-  select doc_id, pos from again union select doc_id, pos + 1 from again
+  select doc_id, pos from again union select doc_id, pos + 1 from again union select doc_id, pos from alone
 ), marked as (
   select l.doc_id, l.pos, l.line, g.pos is not null as gone
   from lines l left join gone g on g.doc_id = l.doc_id and g.pos = l.pos

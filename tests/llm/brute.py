@@ -49,9 +49,9 @@ def contamination(text, items, size=10):
     return len(w), len(hit), sorted(str(x) for x in found if x is not None)
 
 
-def line_dedup(docs, window=2):
+def line_dedup(docs, window=2, long_words=20):
     """docs: (doc_id, text) in order of doc_id, all different. Gives the texts left."""
-    seen, left = set(), []
+    seen, left, alone = set(), [], set()
     gone = []
     for _, text in docs:
         ls = [] if text is None else text.split("\n")
@@ -61,6 +61,11 @@ def line_dedup(docs, window=2):
             if w in seen and any(w):
                 out.update(range(i, i + window))
             seen.add(w)
+        for i, line in enumerate(ls):
+            if long_words is not None and len(re.findall(r"[^\x20\x09-\x0D]+", line)) >= long_words:
+                if line in alone:
+                    out.add(i)
+                alone.add(line)
         gone.append((ls, out))
     for (_, text), (ls, out) in zip(docs, gone, strict=True):
         left.append(None if text is None else "\n".join(x for i, x in enumerate(ls) if i not in out))
