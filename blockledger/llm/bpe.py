@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockledger.llm.words import WORD_END, PieceEncoder, vocabulary
+from blockledger.llm.words import WORD_END, PieceEncoder, splitter, tokenizer, vocabulary
 
 END = "\x01"  # stands for the word end; no byte character has this code
 NEVER = 1 << 60
@@ -169,7 +169,7 @@ def loaded(path: str) -> tuple[Vocabulary, PieceEncoder]:
     """The tables of a vocabulary file, built once in each Python worker."""
     if path not in _LOADED:
         table = Vocabulary(path)
-        _LOADED[path] = table, PieceEncoder(table.encode, table.added)
+        _LOADED[path] = table, PieceEncoder(table.encode, splitter(tokenizer(path)), table.added)
     return _LOADED[path]
 
 

@@ -12,18 +12,18 @@ A folder holds, for part p in ascending order of doc_id:
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow.fs import FileType
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from blockledger.llm.bpe import slices
 from blockledger.llm.staging import open_store, shuffle_parts, staged
-from blockledger.llm.words import PieceEncoder
+from blockledger.llm.words import PieceEncoder, splitter, tokenizer
 
 _ENCODERS: dict[str, PieceEncoder] = {}
 
@@ -31,13 +31,10 @@ _ENCODERS: dict[str, PieceEncoder] = {}
 def encoder(path: str) -> PieceEncoder:
     """The tokenizer's model behind a memory of pieces, built once in each Python worker."""
     if path not in _ENCODERS:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(path)
-        tokenize = tokenizer.model.tokenize
-        added = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
-        _ENCODERS[path] = PieceEncoder(lambda word: [t.id for t in tokenize(word)], added)
+        library = tokenizer(path)
+        tokenize = library.model.tokenize
+        added = {t.content: i for i, t in library.get_added_tokens_decoder().items()}
+        _ENCODERS[path] = PieceEncoder(lambda word: [t.id for t in tokenize(word)], splitter(library), added)
     return _ENCODERS[path]
 
 
@@ -46,18 +43,27 @@ def _name(folder: str, part: int, kind: str) -> str:
 
 
 def _replace(store, path: str, write) -> None:
-    """Write under a name of this attempt's own, then move: a repeated task leaves the same file."""
+    """Write under a name of this attempt's own, then move: a repeated task leaves the same file.
+
+    Stores that refuse to move over an existing file have the older one removed first; both hold the same bytes.
+    """
     own = f"{path}.{TaskContext.get().taskAttemptId()}"
     with store.open_output_stream(own) as out:
         write(out)
-    store.move(own, path)
+    try:
+        store.move(own, path)
+    except OSError:
+        if store.get_file_info(path).type == FileType.NotFound:
+            raise
+        store.delete_file(path)
+        store.move(own, path)
 
 
 def write_tokens(docs: DataFrame, vocabulary: str, folder: str, end_id: int, width: int = 16) -> None:
     """Encode every whole text and write the ids, each document closed by `end_id`, in ascending order of doc_id.
 
-    Null and empty texts are the end id alone. Null doc_ids come first. Equal doc_ids are ordered by text; equal rows
-    are all written. Other columns are not read. An empty table gives a manifest without parts. `width` is 16 or 32 bits;
+    Null and empty texts are the end id alone. Null doc_ids come first. Equal doc_ids are ordered by a hash of their texts;
+    equal rows are all written. Other columns are not read. An empty table gives a manifest without parts. `width` is 16 or 32 bits;
     ids that do not fit raise an error.
     """
     spark = docs.sparkSession
@@ -107,10 +113,11 @@ def write_tokens(docs: DataFrame, vocabulary: str, folder: str, end_id: int, wid
 
     store, place = open_store(folder)
     store.create_dir(place)
+    digest = F.xxhash64("text")  # a long text is no bound of a range; the same keys deal and sort
     ordered = (
         docs.select(F.col("doc_id").cast("long"), "text")
-        .repartitionByRange(shuffle_parts(spark), "doc_id", F.xxhash64("text"))
-        .sortWithinPartitions("doc_id", "text")
+        .repartitionByRange(shuffle_parts(spark), "doc_id", digest)
+        .sortWithinPartitions("doc_id", digest, "text")
     )
     sizes = staged(ordered.mapInArrow(write, "part long, n_docs long, n_null long, n_tokens long"), "token-parts")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

@@ -1,46 +1,32 @@
-"""Normalisation and pre-tokens of the word-end BPE vocabulary, as Python helpers for code that runs inside tasks.
+"""Pieces and pre-tokens of texts for the word-end BPE vocabulary, as Python helpers for code that runs inside tasks.
 
 A text is cut at white space first. No pre-token crosses white space and normalisation never joins two pieces, so the ids
-of a text are those of its pieces in a row, and pieces that occur again are looked up.
+of a text are those of its pieces in a row, and pieces that occur again are looked up. Pieces of Latin characters
+alone (below U+0180, where no version of Unicode differs and nothing is composed) are split here; all others go through
+the normaliser and the splitter of the tokenizer itself, whose Unicode tables count.
 """
 
 from __future__ import annotations
 
 import json
+import os
 import re
-import unicodedata
+from collections.abc import Callable
 
 import numpy as np
 
 # Fixed values of the vocabulary file: its normaliser and splitter.
 ADDED = re.compile(r"(<\|startoftext\|>|<\|endoftext\|>)")
-ASCII_PRE_TOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")  # the same for ASCII alone
+# The splitter as it is for lowered characters below U+0180: letters, numbers, all others.
+LATIN = re.compile("[\0-\u017f]*")
+LETTERS, NUMBERS = "a-zªµºß-öø-\u017f", "0-9²³¹¼-¾"
+PRE_TOKEN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^\\t-\\r \x85\xa0{LETTERS}{NUMBERS}]+")
 # White space for str.split() only, not for the splitter; and characters it sees but str.split() cuts at.
 SEPARATORS = re.compile("[\x1c-\x1f]")
 WHITE = "\\t-\\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-# Letters and numbers of Unicode 16, which the splitter knows, that Unicode 15.1 does not have.
-LETTERS_16 = """1c89-1c8a a7cb-a7cd a7da-a7dc 105c0-105f3 10d4a-10d65 10d6f-10d85 10ec2-10ec4 11380-11389 1138b-1138b
-1138e-1138e 11390-113b5 113b7-113b7 113d1-113d1 113d3-113d3 11bc0-11be0 13460-143fa 16100-1611d 16d40-16d6c 18cff-18cff
-1e5d0-1e5ed 1e5f0-1e5f0"""
-NUMBERS_16 = "10d40-10d49 116d0-116e3 11bf0-11bf9 16130-16139 16d70-16d79 1ccf0-1ccf9 1e5f1-1e5fa"
 WORD_END = "</w>"
 
 
-def ranges(kind: str, newer: str) -> str:
-    """The characters whose category begins with `kind`, and the newer ones, as the inside of a character class."""
-    there = np.zeros(0x110001, bool)
-    there[:-1] = [unicodedata.category(chr(c))[0] == kind for c in range(0x110000)]
-    for pair in newer.split():
-        low, high = (int(x, 16) for x in pair.split("-"))
-        there[low : high + 1] = True
-    edges = np.flatnonzero(np.diff(there.astype(np.int8), prepend=0)).reshape(-1, 2)
-    return "".join(f"{chr(a)}-{chr(b - 1)}" for a, b in edges.tolist())
-
-
-LETTERS, NUMBERS = ranges("L", LETTERS_16), ranges("N", NUMBERS_16)
-PRE_TOKEN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^{WHITE}{LETTERS}{NUMBERS}]+")
-
-
 def byte_characters() -> list[str]:
     """The visible character that stands for each byte in a byte-level vocabulary: itself if printable, else from 256 up."""
     shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -51,14 +37,6 @@ def byte_characters() -> list[str]:
 BYTE_CHARACTERS = byte_characters()
 
 
-def pre_tokens(piece: str) -> list[str]:
-    """Normalise a piece of a text and split it. The lower case of each character does not depend on its neighbours."""
-    if piece.isascii():
-        return ASCII_PRE_TOKEN.findall(piece.lower())
-    lowered = unicodedata.normalize("NFC", piece).replace("Σ", "σ").lower()
-    return PRE_TOKEN.findall(lowered)
-
-
 def as_byte_characters(word: str) -> str:
     return word if word.isascii() and word.isprintable() else "".join(BYTE_CHARACTERS[b] for b in word.encode("utf-8"))
 
@@ -89,19 +67,43 @@ class Kept(dict):
         return got
 
 
+def tokenizer(path: str):
+    """The tokenizer of a vocabulary file, without threads of its own: Spark's tasks fill the cores."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
+def splitter(library) -> Callable[[str], list[str]]:
+    """The pre-tokens of a piece in byte characters, as the tokenizer's own normaliser and splitter give them."""
+    normalise, split = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
+    return lambda piece: [word for word, _ in split(normalise(piece))]
+
+
 class PieceEncoder:
-    """Ids of a text as unsigned 32-bit little-endian bytes. `encode_word` gives those of a pre-token in byte characters."""
+    """Ids of a text as unsigned 32-bit little-endian bytes.
+
+    `encode_word` gives those of a pre-token in byte characters, `split` the pre-tokens of a piece that is not Latin.
+    """
 
-    def __init__(self, encode_word, added: dict[str, int], most: int = 250_000):
-        self.encode_word, self.added = encode_word, added
-        self.words, self.pieces = Kept(self._word, most // 2), Kept(self._piece, most)
+    def __init__(self, encode_word, split, added: dict[str, int], most: int = 250_000):
+        self.encode_word, self.split, self.added = encode_word, split, added
+        self.words, self.shown = Kept(self._word, most // 2), Kept(self._shown, most // 4)
+        self.pieces = Kept(self._piece, most)
 
     def _word(self, word: str) -> bytes:
-        return np.array(self.encode_word(as_byte_characters(word)), "<u4").tobytes()
+        return self._shown(as_byte_characters(word))
+
+    def _shown(self, word: str) -> bytes:
+        return np.array(self.encode_word(word), "<u4").tobytes()
 
     def _plain(self, piece: str) -> bytes:
         words = self.words
-        return b"".join([words[x] for x in pre_tokens(piece)])
+        if LATIN.fullmatch(piece):
+            return b"".join([words[x] for x in PRE_TOKEN.findall(piece.lower())])
+        shown = self.shown
+        return b"".join([shown[x] for x in self.split(piece)])
 
     def _piece(self, piece: str) -> bytes:
         if "<|" not in piece:
