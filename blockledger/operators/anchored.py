@@ -6,6 +6,10 @@ not a session: an event never prolongs the window it falls into.
 Most blocks have few events. Those are folded in one aggregation inside the JVM. A block with more than `limit` events
 is cut along time instead, so that none of its tasks sees more than `span` window lengths of it: each piece first tells
 how any window reaching into it would leave it, the pieces are chained, and each piece is then resolved on its own.
+
+The chain is a tree. What `FAN` pieces in a row do to a window that reaches into the first is again such a passage, so
+passages are composed level by level until a block has few left; the entries then come down the same way. No task sees
+more than `FAN` passages, and a passage has no more steps than a window has instants.
 """
 
 import numpy as np
@@ -17,14 +21,16 @@ from pyspark.sql import types as T
 from blockledger.functions.columns import interval_micros, micros, time_slot
 from blockledger.operators.joins import split_heavy
 from blockledger.schema import BACKUP_AGE, ID, KEY, RESTORE_TTL
+from blockledger.session import materialize
 
 LIGHT_EVENTS = 2_000
 SPAN = 8
+FAN = 64
 NEVER = np.iinfo(np.int64).min // 2
 
 
 def anchored_windows(
-    events: DataFrame, age: str, on=tuple(ID), inclusive=True, limit=LIGHT_EVENTS, span=SPAN
+    events: DataFrame, age: str, on=tuple(ID), inclusive=True, limit=LIGHT_EVENTS, span=SPAN, fan=FAN
 ) -> DataFrame:
     """One row per window: block, opening time, longest version, number of events.
 
@@ -41,7 +47,7 @@ def anchored_windows(
     width = interval_micros(age)
     windows = _fold(light, on, rest, width, inclusive)
     if heavy is not None:
-        windows = windows.unionByName(_pieces(heavy, on, rest, width, inclusive, span))
+        windows = windows.unionByName(_pieces(heavy, on, rest, width, inclusive, span, fan))
     opened = F.timestamp_micros("_t0")
     return windows.select(
         *[F.col(c if c in on else "_len" if c == "length" else f"_{c}").alias(c) for c in KEY],
@@ -101,7 +107,81 @@ def _next_start(ts, width, side):
     return np.searchsorted(ts, ts + width, side=side)
 
 
-def _pieces(rows, on, rest, width, inclusive, span):
+def _passed(upto, leave, busy, side):
+    """When a window that is open until `busy` on entering, or its followers, will have closed on leaving."""
+    if not len(upto):
+        return busy
+    at = np.searchsorted(upto, busy, side=side)
+    return np.where(at < len(upto), leave[np.minimum(at, len(upto) - 1)], busy)
+
+
+def _composed(first, then, reach, side):
+    """The passage through two stretches in a row, for entries up to `reach`: steps of (last entry, leaving time)."""
+    (upto, leave), (later, later_leave) = first, then
+    leave = _passed(later, later_leave, leave, side)
+    if not len(upto) or np.searchsorted(upto, reach, side=side) == len(upto):
+        upto, leave = np.concatenate([upto, later]), np.concatenate([leave, later_leave])
+        end = np.searchsorted(upto, reach, side=side) + 1
+        upto, leave = upto[:end], leave[:end]
+    last = np.append(np.flatnonzero(np.diff(leave)), len(leave) - 1)
+    return upto[last], leave[last]
+
+
+def _steps(pdf: pd.DataFrame):
+    """The passages of a frame in order of time."""
+    longs = [pdf[c].map(lambda x: np.asarray(x, dtype="int64")) for c in ("_upto", "_leave")]
+    return list(zip(*longs, strict=True))
+
+
+def _entries(passages: DataFrame, on, side, fan) -> DataFrame:
+    """For each piece, until when the windows that begin before it are open."""
+    spot = [passages.schema[c] for c in on] + [T.StructField("_cut", T.LongType())]
+    row = T.StructType(passages.schema.fields)
+    above = F.expr(f"(_cut - pmod(_cut, {fan}L)) div {fan}L")
+
+    def compose(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_cut")
+        steps, out = _steps(pdf), pdf.iloc[:1].copy()
+        reach, made = int(out["_reach"].iloc[0]), steps[0]
+        for step in steps[1:]:
+            made = _composed(made, step, reach, side)
+        out["_cut"], out["_upto"], out["_leave"] = out["_above"], [made[0].tolist()], [made[1].tolist()]
+        return out[row.names]
+
+    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_cut")
+        busy, entries = int(pdf["_from"].iloc[0]), []
+        for upto, leave in _steps(pdf):
+            entries.append(busy)
+            busy = int(_passed(upto, leave, np.int64(busy), side))
+        return pdf[[*on, "_cut"]].assign(_entry=np.asarray(entries, dtype="int64"))
+
+    chained = T.StructType(spot + [T.StructField("_entry", T.LongType())])
+    levels = [materialize(passages)]
+    low, high = levels[0].agg(F.min("_cut"), F.max("_cut")).first()
+    while high // fan > low // fan:
+        below = levels[-1].withColumn("_above", above)
+        levels.append(materialize(below.groupBy(*on, "_above").applyInPandas(compose, row)))
+        low, high = low // fan, high // fan
+    top = levels.pop().withColumn("_from", F.lit(NEVER).cast("long"))
+    entries = top.groupBy(*on).applyInPandas(chain, chained)
+    while levels:
+        given = levels.pop().withColumn("_above", above)
+        with_entry = _at_piece(given, entries, on, "_above").withColumnRenamed("_entry", "_from")
+        entries = with_entry.groupBy(*on, "_above").applyInPandas(chain, chained)
+    return entries
+
+
+def _at_piece(rows: DataFrame, entries: DataFrame, on, cut) -> DataFrame:
+    """`rows` with the `_entry` of their piece, whose number is in the column `cut`; nulls are a block like others."""
+    entries = entries.select(*[F.col(c).alias(f"_of_{c}") for c in on], F.col("_cut").alias("_of_cut"), "_entry")
+    met = F.col(cut) == F.col("_of_cut")
+    for c in on:
+        met = met & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    return rows.join(entries, met).select(*rows.columns, "_entry")
+
+
+def _pieces(rows, on, rest, width, inclusive, span, fan):
     side = "right" if inclusive else "left"
     key_fields = [rows.schema[c] for c in on]
     cut = time_slot("_ts", width * span)
@@ -127,19 +207,9 @@ def _pieces(rows, on, rest, width, inclusive, span):
         leave = ts[last[:reach]] + width
         change = np.append(np.flatnonzero(np.diff(leave)), reach - 1)
         out = pdf[[*on, "_cut"]].iloc[:1].copy()
-        out["_upto"], out["_leave"] = [ts[change].tolist()], [leave[change].tolist()]
+        out["_upto"], out["_leave"], out["_reach"] = [ts[change].tolist()], [leave[change].tolist()], begin + width
         return out
 
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_cut")
-        busy, entries = NEVER, []
-        for upto, leave in zip(pdf["_upto"], pdf["_leave"]):
-            entries.append(busy)
-            i = int(np.searchsorted(np.asarray(upto), busy, side=side))
-            if i < len(upto):
-                busy = int(leave[i])
-        return pdf[[*on, "_cut"]].assign(_entry=np.asarray(entries, dtype="int64"))
-
     def resolve(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_ts")
         ts, entry = pdf["_ts"].to_numpy(), int(pdf["_entry"].iloc[0])
@@ -158,16 +228,15 @@ def _pieces(rows, on, rest, width, inclusive, span):
     longs = T.ArrayType(T.LongType())
     spot = key_fields + [T.StructField("_cut", T.LongType())]
     passages = points.groupBy(*on, "_cut").applyInPandas(
-        passage, T.StructType(spot + [T.StructField("_upto", longs), T.StructField("_leave", longs)])
+        passage,
+        T.StructType(
+            spot
+            + [T.StructField("_upto", longs), T.StructField("_leave", longs), T.StructField("_reach", T.LongType())]
+        ),
     )
-    entries = passages.groupBy(*on).applyInPandas(chain, T.StructType(spot + [T.StructField("_entry", T.LongType())]))
-    entries = entries.select(*[F.col(c).alias(f"_of_{c}") for c in on], F.col("_cut").alias("_of_cut"), "_entry")
-    met = F.col("_cut") == F.col("_of_cut")
-    for c in on:
-        met = met & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    entries = _entries(passages, on, side, fan)
     parts = (
-        points.join(entries, met)
-        .select(*points.columns, "_entry")
+        _at_piece(points, entries, on, "_cut")
         .groupBy(*on, "_cut")
         .applyInPandas(
             resolve,
