@@ -82,6 +82,41 @@ def retry_drop_metrics(events: DataFrame) -> DataFrame:
     )
 
 
+SKETCH_K = 800  # items a sketch keeps on its lowest level
+RANK_ERROR = 0.01  # of a quantile, as a share of all amounts: about three times what a sketch of this size has
+
+
+def amount_sketches(events: DataFrame, by=("node", "run"), amount="amount") -> DataFrame:
+    """A quantile sketch of the amounts of each group, some kilobytes however many there are, with count and ends.
+
+    Sketches are made on the map side and merged after the shuffle, so a hot node is no large group. Up to SKETCH_K
+    amounts are kept as they are. Null amounts do not count; a group without others has no row.
+    """
+    value = F.col(amount).cast("bigint")
+    return events.filter(F.col(amount).isNotNull()).groupBy(*by).agg(
+        F.kll_sketch_agg_bigint(value, SKETCH_K).alias("sketch"),
+        F.count("*").alias("n_amounts"),
+        F.min(value).alias("min_amount"),
+        F.max(value).alias("max_amount"),
+    )
+
+
+def merge_sketches(sketches: DataFrame, by=("node",)) -> DataFrame:
+    """The sketches of several runs as one for each group. What was measured is not read again."""
+    return sketches.groupBy(*by).agg(
+        F.kll_merge_agg_bigint("sketch", SKETCH_K).alias("sketch"),
+        F.sum("n_amounts").alias("n_amounts"),
+        F.min("min_amount").alias("min_amount"),
+        F.max("max_amount").alias("max_amount"),
+    )
+
+
+def sketch_quantiles(sketches: DataFrame, percents=(50, 95, 99)) -> DataFrame:
+    """`p50` and so on, each an amount that was seen, whose rank is off by at most RANK_ERROR of all amounts."""
+    found = [F.kll_sketch_get_quantile_bigint("sketch", F.lit(p / 100)).alias(f"p{p}") for p in percents]
+    return sketches.select(*[c for c in sketches.columns if c != "sketch"], *found)
+
+
 def queue_depth(events: DataFrame, slot="1 hour") -> DataFrame:
     """Depth of each node's queue after each event (`delta` is +1 for an offer, -1 for a take).
 

@@ -51,7 +51,26 @@ def reconcile(live: DataFrame, store: DataFrame, unknown_only=False) -> DataFram
 
     With `unknown_only`, a restore is left out when the bare block id is live in any pool.
     """
-    blocks = presence(live=live, store=store)
+    return _actions(presence(live=live, store=store), live, unknown_only)
+
+
+def reconcile_kept(live: DataFrame, store: DataFrame, unknown_only=False) -> DataFrame:
+    """`reconcile` of two inventories kept by `keep_inventory` with equally many buckets: neither crosses the network.
+
+    Each bucket of one side meets that of the other on the executor that reads them. Only rows found on the stored
+    side alone are then looked up elsewhere. Kept inventories hold a block once and none without a name.
+    """
+    return _actions(presence_kept(live, store), live, unknown_only)
+
+
+def presence_kept(live: DataFrame, store: DataFrame) -> DataFrame:
+    here = live.select(*KEY, F.lit(LIVE).alias("_live"))
+    there = store.select(*KEY, F.lit(STORE).alias("_store"))
+    sides = F.coalesce("_live", F.lit(0)) + F.coalesce("_store", F.lit(0))
+    return here.join(there, KEY, "full").select(*KEY, sides.alias("sides"))
+
+
+def _actions(blocks: DataFrame, live: DataFrame, unknown_only: bool) -> DataFrame:
     current = blocks.filter(has(LIVE)).select(
         *KEY, F.when(has(STORE), F.lit("in_sync")).otherwise(F.lit("backup")).alias("action")
     )

@@ -135,6 +135,20 @@ def store_from_files(listing: DataFrame) -> DataFrame:
     return inventory_of(parse_files(listing.filter(F.endswith("path", F.lit(".data"))))).select(*KEY)
 
 
+def keep_inventory(df: DataFrame, table: str, buckets: int | None = None) -> DataFrame:
+    """Write the distinct blocks of an inventory as a table bucketed and sorted by block key, and read it.
+
+    Two inventories with equally many buckets are compared without moving either. There are as many buckets as shuffle
+    partitions unless told otherwise; then a bucket is one file, since the exchange that finds the distinct blocks has
+    dealt them out. Blocks without a pool or an id, which match nothing, are left out. An older table of that name goes.
+    """
+    spark = df.sparkSession
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks = df.filter(F.col("pool_id").isNotNull() & F.col("block_id").isNotNull()).select(*KEY).distinct()
+    blocks.write.mode("overwrite").format("parquet").bucketBy(buckets, *KEY).sortBy(*KEY).saveAsTable(table)
+    return spark.table(table)
+
+
 def list_after(store: DataFrame, after_key=None, n=PAGE_SIZE, prefix=None) -> DataFrame:
     """The next `n` entries in key order after `after_key` (from the start when null)."""
     keyed = store.select(object_key("meta", prefix).alias("key"), *KEY)

@@ -251,6 +251,7 @@ class Tables:
             F.concat(F.lit("dn-"), (F.col("user_id") % 10).cast("string")).alias("node"),
             F.when(F.col("event_type") == "error", "drop").otherwise("retry").alias("kind"),
             F.floor("value").cast("bigint").alias("amount"),
+            F.date_format(F.col("ts").cast("timestamp"), "yyyyMMdd").alias("run"),
         )
 
     def transfers(self) -> DataFrame:

