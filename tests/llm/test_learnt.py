@@ -98,6 +98,47 @@ def test_toxic_documents_and_their_sentences(spark, frame, odd_rows):
     assert [r["score"] for r in empty] == [0.0, 0.0]
 
 
+def test_toxicity_against_plain_python(spark, frame):
+    """The slope against differences of the loss, document by document; scores against the noisy-or of their sentences."""
+    draw = random.Random(6)
+    rows = []
+    for i in range(40):
+        n = draw.randint(0, 5)
+        marks = sorted((draw.randrange(n), draw.randrange(4)) for _ in range(draw.randint(1, 9))) if n else []
+        rows.append((i % 3 == 0, draw.randint(0, 3), [f for _, f in marks], [s for s, _ in marks]))
+    clean, toxic = sum(not r[0] for r in rows), sum(r[0] for r in rows)
+    weights, bias = [0.7, -0.4, 1.3, 0.2], -1.1
+
+    def loss(weights, bias):
+        total = 0.0
+        for label, bare, features, sentences in rows:
+            z = {s: bias for s in sentences}
+            for f, s in zip(features, sentences, strict=True):
+                z[s] += weights[f]
+            clear = math.prod(1 - 1 / (1 + math.exp(-x)) for x in [*z.values(), *[bias] * bare])
+            if label and clear < 1:
+                total -= math.log(1 - clear) / toxic / 2
+            elif not label:
+                total -= math.log(clear) / clean / 2
+        return total
+
+    schema = "toxic int, bare long, features array<long>, sentences array<long>"
+    bags = spark.createDataFrame([(int(r[0]), *r[1:]) for r in rows], schema).repartition(3)
+    got = toxicity.gradient(bags, np.array(weights), bias, clean, toxic)
+    h = 1e-5
+    for i in range(5):
+        up, down = [*weights, bias], [*weights, bias]
+        up[i], down[i] = up[i] + h, down[i] - h
+        want = (loss(up[:-1], up[-1]) - loss(down[:-1], down[-1])) / (2 * h)
+        assert math.isclose(got[i], want, rel_tol=1e-4, abs_tol=1e-7)
+
+    texts, labels = toxic_rows(240)
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = toxicity.train(frame(texts), known, most=240, steps=10)
+    for r in toxicity.predict(frame(texts), model, offends=0.0).collect():
+        assert math.isclose(r["score"], 1 - math.prod(1 - s["score"] for s in r["offending"]), abs_tol=1e-9)
+
+
 def test_nothing_to_learn_toxicity_from(spark, frame, odd_rows):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     model = toxicity.train(frame(odd_rows), none)
