@@ -35,10 +35,12 @@ def block_check(
 ) -> BlockCheck:
     """Full audit: list, filter, compare, batch, choose replicas, report.
 
-    The actions are written out once. They are few against the inventories, several steps read them, and a delete
-    must not be decided a second time when a task is run again.
+    The namespace is read, filtered and flattened once, into a table of its blocks of which each later step reads the
+    columns it needs. The actions are written out once as well. They are few against the inventories, several steps
+    read them, and a delete must not be decided a second time when a task is run again.
     """
-    live = with_snapshots(live_blocks(drop_ignored(files, ignore)), drop_ignored(snapshots, ignore))
+    listed = with_snapshots(live_blocks(drop_ignored(files, ignore)), drop_ignored(snapshots, ignore))
+    live = materialize(listed.select(*KEY, "replicas"))
     compared = reconcile(live, store, unknown_only=True)
     actions = materialize(compared.filter(F.col("action") != "in_sync"))
     batches = assign_batches(actions, batch_size)

@@ -6,6 +6,7 @@ executor or a restart repeats work without doubling results.
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from blockledger.functions.columns import interval_micros, micros
 from blockledger.operators.callbacks import apply_deletes_with
@@ -39,9 +40,10 @@ def with_retries(attempt, path: str, clock, delay=RETRY_DELAY, max_attempts=None
 
     A request is tried until it succeeds, unless `max_attempts` says after how many it is given up.
 
-    `clock(batch_id)` gives the time of a batch: the same one when the batch is repeated, and never an earlier one for
-    a later batch. A retry is due in exactly one batch, the first whose time has reached it, so each batch reads only
-    the retries that fell due since the one before.
+    `clock(batch_id)` gives the time of a batch as a datetime: the same one when the batch is repeated, and never an
+    earlier one for a later batch. All retries of a batch are due `delay` after its time, in exactly one later batch, the
+    first whose time has reached it. So each batch opens only the folders of the batches whose retries fell due since
+    the one before, however many there have been.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
@@ -49,17 +51,49 @@ def with_retries(attempt, path: str, clock, delay=RETRY_DELAY, max_attempts=None
         fresh = batch.select(
             *KEY, F.lit(0).alias("attempt"), F.col("force") if "force" in batch.columns else F.lit(False).alias("force")
         )
-        earlier = read_states(spark, path, before=batch_id) if batch_id else None
-        if earlier is not None:
-            reached, before = F.lit(now).cast("timestamp"), F.lit(clock(batch_id - 1)).cast("timestamp")
-            due = (F.col("state") == "retry") & (F.col("due_ts") > before) & (F.col("due_ts") <= reached)
-            fresh = fresh.unionByName(earlier.filter(due).select(*fresh.columns))
+        folders = [f"{path}/batch_id={b}" for b in due_batches(batch_id, clock, delay)]
+        folders = [f for f in folders if folder_exists(spark, f)]
+        if folders:
+            earlier = spark.read.schema(RETRY_STATE).parquet(*folders)
+            fresh = fresh.unionByName(earlier.filter(F.col("state") == "retry").select(*fresh.columns))
         states = retry_step(attempt(fresh), now, delay, max_attempts)
         states.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
     return handle
 
 
+RETRY_STATE = T.StructType(
+    [
+        *BLOCK.fields,
+        T.StructField("state", T.StringType()),
+        T.StructField("attempt", T.IntegerType()),
+        T.StructField("due_ts", T.TimestampType()),
+        T.StructField("force", T.BooleanType()),
+    ]
+)
+
+
+def due_batches(batch_id: int, clock, delay=RETRY_DELAY) -> list[int]:
+    """The earlier batches whose retries are due in this one: by its time, and not yet by that of the batch before it.
+
+    What the batch before left is due here with no delay at all, too. Times never fall, so the search ends at the first
+    batch whose retries were due before.
+    """
+    due = lambda b: instant(clock(b)) + interval_micros(delay)
+    found, last = [], batch_id - 1
+    for b in range(last, -1, -1):
+        if b < last and due(b) <= instant(clock(last)):
+            break
+        if due(b) <= instant(clock(batch_id)):
+            found.append(b)
+    return found
+
+
+def instant(ts) -> int:
+    """Microseconds of a datetime, as a column made of it has them."""
+    return round(ts.timestamp() * 1_000_000)
+
+
 def read_states(spark: SparkSession, path: str, before=None):
     if not folder_exists(spark, path):
         return None

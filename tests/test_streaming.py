@@ -11,7 +11,7 @@ from blockledger.operators.admission import RestorePolls
 from blockledger.plans.jobs import restore_run
 from blockledger.schema import FINALIZED, KEY
 from blockledger.streaming.requests import closed_polls, stream_backup_requests, take_polls
-from blockledger.streaming.sinks import run_gc_pages, with_retries
+from blockledger.streaming.sinks import due_batches, run_gc_pages, with_retries
 
 START = dt.datetime(2024, 1, 1)
 
@@ -141,3 +141,30 @@ def test_late_events_come_out_on_their_own(spark, tmp_path):
     assert late == [(1, 8, 2, 1), (2, 2, 35, 1), (4, 2, 30, 2)]
     kept = sorted((r["block_id"], r["length"], seconds(r["opened_ts"]), r["n_events"]) for r in got.filter("not late").collect())
     assert kept == [(1, 9, 0, 3), (2, 1, 1, 1), (2, 4, 60, 2), (3, 1, 61, 1)]
+
+
+def test_a_retry_is_due_in_one_batch():
+    """Against a look at every earlier batch, with batches closer than the delay, further apart, and at one time."""
+    draw = random.Random(5)
+    for wait in [0, 120] * 100:
+        times = [START]
+        for _ in range(30):
+            times.append(times[-1] + dt.timedelta(seconds=draw.choice([0, 10, 60, 119, 120, 121, 900])))
+        due = [next((n for n in range(b + 1, 31) if times[n] >= times[b] + dt.timedelta(seconds=wait)), None) for b in range(31)]
+        for n in range(31):
+            assert sorted(due_batches(n, times.__getitem__, f"{wait} seconds")) == [b for b in range(n) if due[b] == n]
+
+
+def test_retries_open_only_the_folders_that_are_due(spark, blocks, tmp_path):
+    """A batch whose retries were due long ago is not opened again: its folder may be anything by then."""
+    handle = with_retries(
+        lambda df: df.withColumn("ok", F.col("attempt") == 1), str(tmp_path / "s"), lambda i: START + dt.timedelta(minutes=2 * i)
+    )
+    first = blocks([("p", 0, 1, 1)])
+    handle(first, 0)
+    handle(first.limit(0), 1)
+    for name in (tmp_path / "s" / "batch_id=0").glob("*.parquet"):
+        name.write_bytes(b"not parquet")
+    handle(first.limit(0), 2)
+    got = spark.read.parquet(str(tmp_path / "s" / "batch_id=1"), str(tmp_path / "s" / "batch_id=2"))
+    assert rows(got.select("block_id", "state", "attempt")) == [(0, "done", 1)]
