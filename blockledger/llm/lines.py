@@ -34,6 +34,22 @@ def lines_of(text: str | Column) -> Column:
     return F.split(text, "\n")
 
 
+HOT = 1_000  # a key with more than one in HOT of all rows is hot; there are fewer than HOT of them
+
+
+def spread_join(rows: DataFrame, found: DataFrame, on: list[str], how: str) -> DataFrame:
+    """`rows` joined with `found`, which has one row for each key and in `n` how many of `rows` have that key.
+
+    Hot keys are broadcast, and their rows stay where they are read. There are always fewer than HOT of them, and no other
+    key has more than one in HOT of the rows, so no task of the shuffled join gathers more of one key than that.
+    """
+    total = F.lit(rows.count())
+    hot = F.broadcast(found.where(F.col("n") * HOT > total).drop("n"))
+    rest = found.where(F.col("n") * HOT <= total).drop("n")
+    cold = rows.join(hot, on, "left_anti").join(rest, on, how)
+    return rows.join(hot, on, how).unionByName(cold)
+
+
 def repeated_windows(docs: DataFrame, window: int) -> DataFrame:
     """`_doc`, `_sig`, `at`: every `window` lines in a row that also begin at an earlier place in the corpus.
 
@@ -57,8 +73,8 @@ def repeated_windows(docs: DataFrame, window: int) -> DataFrame:
         )
     )
     positions = staged(positions, "line-prints")
-    again = positions.groupBy("print").count().where("count > 1").select("print")
-    shared = positions.join(again, "print", "left_semi")
+    again = positions.groupBy("print").agg(F.count("*").alias("n")).where("n > 1")
+    shared = spread_join(positions, again, ["print"], "left_semi")
     empty = F.array_repeat(F.xxhash64(F.lit("")), window)
     windows = (
         shared.select(
@@ -76,7 +92,7 @@ def repeated_windows(docs: DataFrame, window: int) -> DataFrame:
     windows = staged(windows.distinct(), "line-windows")
     place = F.struct(*KEY, "start")
     first = windows.groupBy("print", "content").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
-    found = windows.join(first.drop("n"), ["print", "content"])
+    found = spread_join(windows, first, ["print", "content"], "inner")
     return found.where(~place.eqNullSafe(F.col("first"))).select(*KEY, F.col("start").alias("at"))
 
 
@@ -90,7 +106,7 @@ def repeated_long_lines(docs: DataFrame, words: int) -> DataFrame:
     long = staged(long.distinct(), "long-lines")
     place = F.struct(*KEY, "at")
     first = long.groupBy("print", "content").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
-    found = long.join(first.drop("n"), ["print", "content"])
+    found = spread_join(long, first, ["print", "content"], "inner")
     return found.where(~place.eqNullSafe(F.col("first"))).select(*KEY, "at")
 
 

@@ -113,3 +113,16 @@ def test_long_lines_are_runs_of_their_own(frame):
         6: (None, 0, 0),
         7: ("", 0, 0),
     }
+
+
+def test_hot_keys_of_lines_are_joined_whole(spark):
+    """Keys with more than one in a thousand of all rows and others: the same rows as a plain join."""
+    rows = spark.range(30_000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 7_000).alias("print"), "id")
+    found = rows.groupBy("print").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    for how in ("inner", "left_semi"):
+        got = lines.spread_join(rows, found, ["print"], how)
+        want = rows.join(found.drop("n"), ["print"], how)
+        assert got.columns == want.columns and got.count() == want.count()
+        assert got.exceptAll(want).isEmpty()
+    assert 0 < found.where(F.col("n") * lines.HOT > 30_000).count() < found.count()
+    assert lines.spread_join(rows.limit(0), found, ["print"], "inner").isEmpty()
