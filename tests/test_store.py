@@ -10,8 +10,8 @@ from blockledger.operators.payload import (
     backup_payload, chunk_sums, delete_keys, merge_payload, restore_payload, verify_payload, write_payload,
 )
 from blockledger.schema import KEY
-from blockledger.sources.inventory import list_after, list_files, parse_keys, store_from_files, store_from_keys
-from blockledger.sources.objects import key_pages, keys_after, list_keys, open_store, put_objects, remove_objects
+from blockledger.sources.inventory import list_after, list_files, parse_files, parse_keys, store_from_files, store_from_keys
+from blockledger.sources.objects import KeyReader, key_pages, keys_after, list_keys, open_store, put_objects, remove_objects
 from blockledger.sources.manifest import read_manifest, write_manifest
 
 
@@ -56,6 +56,27 @@ def test_files_on_disk(spark, blocks, tmp_path):
     assert rows(store_from_files(list_files(spark, str(tmp_path)))) == rows(blocks(wanted))
 
 
+def test_files_are_listed_by_tasks(spark, tmp_path, monkeypatch):
+    """Below folders in folders, without Spark's listing in the driver; an empty file counts if its side file does not lack."""
+    files = {"p/1_1.data": 2, "a b/c%20/2_1.data": 3, "p/3_1.data": 0, "p/3_1.meta": 1, "p/4_1.data": 0, "p/5_1.data": 0, "p/5_1.meta": 0,
+             "_p/6_1.data": 1, "p/.7_1.data": 1, "p/_8_1.data": 1, "_a=1/9_1.data": 1, "p/other": 4}
+    for name, size in files.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"x" * size)
+    monkeypatch.setattr("pyspark.sql.readwriter.DataFrameReader.format", None)
+    for root in (str(tmp_path), f"file:{tmp_path}/"):
+        want = {f"file:{tmp_path}/{n}": files[n] for n in ("p/1_1.data", "a b/c%20/2_1.data", "p/3_1.data", "_a=1/9_1.data")}
+        assert {r["path"]: r["length"] for r in list_files(spark, root).collect()} == want
+
+
+def test_odd_file_names(table):
+    names = ["a/p/1_2.data", "/p/1_2.data", "p/1_2.data", "1_2.data", "/1_2.data", "a//1_2.data", "a/p/", "a/p/1_2.d/", "p/\n", "p/1_2.x\n", "", None, "é/ü/3_4.data"]
+    got = {r["path"]: (r["pool_id"], r["error"]) for r in parse_files(table([(n, 1) for n in names], "path string, length bigint")).collect()}
+    ok = {"a/p/1_2.data": "p", "/p/1_2.data": "p", "p/1_2.data": "p", "p/1_2.x\n": "p", "é/ü/3_4.data": "ü"}
+    bad = {"1_2.data": "pool", "/1_2.data": "pool", "a//1_2.data": "pool", "a/p/": "pool", "a/p/1_2.d/": "pool", "p/\n": "name", "": "pool", None: "number"}
+    assert got == {n: (ok.get(n), bad.get(n)) for n in names}
+
+
 def test_manifest_sizes(blocks):
     df = blocks(some_blocks(95))
     lists = write_manifest(df, 10)
@@ -129,6 +150,33 @@ def test_listing_as_a_source(spark, blocks, tmp_path):
     assert list_keys(spark, str(tmp_path)).count() == 120
 
 
+def test_a_folder_is_opened_once_for_all_its_pages(blocks, tmp_path, monkeypatch):
+    """And ranges cut the pools below a prefix, not only those at the top."""
+    df = blocks([(p, b, 1, 1) for p in ("p", "q") for b in range(40)])
+    put(df, str(tmp_path), prefix="a/b")
+    opened = []
+
+    class Counted:
+        def __init__(self, store):
+            self.store = store
+
+        def get_file_info(self, selector):
+            opened.append(selector.base_dir)
+            return self.store.get_file_info(selector)
+
+    store, root = open_store(str(tmp_path))
+    monkeypatch.setattr("blockledger.sources.objects.open_store", lambda uri: (Counted(store), root))
+    pages = list(key_pages(str(tmp_path), "a/b/meta/", "a/b/meta/\U0010ffff", 3))
+    assert [len(page) for page in pages] == [3] * 26 + [2] and len(opened) == len(set(opened)) <= 90
+    for prefix in ("", "a", "a/b/", "a/b/meta", "a/b/meta/", "a/b/meta/p", "a/b/meta/p/", "a/b/meta/p/3", "a/b/meta/p/3/1/"):
+        reader = KeyReader(str(tmp_path), prefix, 7)
+        parts = reader.partitions()
+        found = [key for part in parts for key, _ in reader.read(part)]
+        assert len(found) == len(set(found)) == {"": 160, "a": 160, "a/b/": 160, "a/b/meta": 80, "a/b/meta/": 80, "a/b/meta/p": 40,
+                                                 "a/b/meta/p/": 40, "a/b/meta/p/3": 11, "a/b/meta/p/3/1/": 1}[prefix]
+        assert len(parts) >= 10 or prefix in ("", "a", "a/b/meta/p/3", "a/b/meta/p/3/1/")
+
+
 HELD = "pool_id string, block_id bigint, length bigint, gen_stamp bigint, data binary"
 
 
