@@ -42,9 +42,10 @@ def _call_each(rows: DataFrame, by: list[str], call) -> DataFrame:
     def run(frames):
         for frame in _whole_units(frames, by):
             errors = np.full(len(frame), None, dtype=object)
-            keys, cuts = frame[KEY], _bounds(frame, by)
+            keys, cuts = frame[KEY], _bounds(frame, by).tolist()
+            addresses = frame["address"].to_numpy() if "address" in by else None
             for a, b in zip(cuts[:-1], cuts[1:]):
-                address = frame["address"].iat[a] if "address" in by else None
+                address = None if addresses is None else addresses[a]
                 try:
                     answer = call(address, keys.iloc[a:b])
                     errors[a:b] = answer if isinstance(answer, str) else None
