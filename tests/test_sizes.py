@@ -34,3 +34,11 @@ def test_settings_for_smaller_tasks_stay(spark, settings, tmp_path):
     size_tasks(spark, [str(tmp_path / "none"), "/root/testdata/sf0.001/lineitem.parquet"])
     assert [settings.get(n) for n in (ADVISED, FILES, PARTITIONS)] == ["1m", "2m", "7"]
     assert folder_bytes(spark, str(tmp_path / "none")) == 0
+
+
+def test_addresses_do_not_cross_the_network(spark):
+    """Lines of a path are brought together before their replicas are written out; nothing is gathered below that."""
+    t = Tables(spark, "/root/testdata/sf0.001")
+    plan = t._files(t._placed(t.lines()))._jdf.queryExecution().sparkPlan().toString().splitlines()
+    plan = [line for line in plan if "Exchange" in line or "Aggregate" in line or "10.0." in line]
+    assert "Exchange" in plan[-1] and sum("Exchange" in line for line in plan) == 1 and any("10.0." in line for line in plan)
