@@ -5,7 +5,8 @@ share of the token). The weight w depends on how often the context was seen, by
 expectation-maximisation: counts of one part of the training texts are mixed to predict the other, held-out part. Scores
 then use the counts of all training texts.
 
-1. Every chunk of documents sends its distinct words and pairs, with their training counts, to buckets.
+1. Every chunk of documents sends its distinct words and pairs, with their training counts, to buckets, which are ranges
+   of their hashes: in order, so that the gaps between them are sent, in as few bytes as hold them.
 2. The buckets add them up and send each chunk the totals of what it has.
 3. With those the chunks tell how often which choice came up in the held-out part, and, weights learnt, score their texts.
 """
@@ -25,6 +26,8 @@ from blockledger.llm.langid import fold
 from blockledger.llm.staging import chunked, shuffle_parts, staged
 
 LEVELS = 24  # context frequencies 1, 2-3, 4-7, ... have a weight each
+CHUNK = 8 << 20  # bytes of text that send a word or pair once
+READ = 2 << 20  # bytes of text hashed at once: hashing takes some thirty bytes for each
 FINE = 64  # steps of a power of two in which EM tells the ratio of the two shares apart
 START, END = np.uint64(0x51ED270B2D4F1A63), np.uint64(0x7C15D4E3B9A60F29)  # the border of a text, as context and as token
 TURN = np.uint64(0x9FB21C651E98DF25)
@@ -40,11 +43,23 @@ class Totals:
     kept_distinct: int
 
 
+def words_of(table: pa.Table):
+    """Hashes of the words of all texts in a row, and where each text's begin and end; read a stretch of texts at a time."""
+    data, cuts = text_bytes(table["text"].combine_chunks())
+    turns = np.flatnonzero(np.diff(cuts[:-1] // READ, prepend=0))  # the texts with which a stretch begins
+    hashes, ends, last = [], [np.zeros(1, np.int64)], 0
+    for i, k in zip([0, *turns], [*turns, len(cuts) - 1], strict=True):
+        some, at, _, _ = word_hashes(data[cuts[i] : cuts[k]], cuts[i : k + 1] - cuts[i], BLANKS)
+        hashes.append(some)
+        ends.append(at[1:] + last)
+        last += len(some)
+    return np.concatenate(hashes), np.concatenate(ends)
+
+
 def of_texts(table: pa.Table):
     """For a chunk: tokens and contexts of all texts in a row, the pairs' hashes, and where each text begins and ends."""
     table = table.combine_chunks()
-    data, cuts = text_bytes(table["text"].combine_chunks())
-    words, ends, _, _ = word_hashes(data, cuts, BLANKS)
+    words, ends = words_of(table)
     n = table.num_rows
     at = np.arange(len(words)) + np.repeat(np.arange(n), np.diff(ends))
     tokens = np.full(len(words) + n, END)
@@ -71,7 +86,13 @@ def vocabulary(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     weight = np.repeat(ADDS[part], np.diff(ends), axis=0)
     words, counts = counted(tokens, weight)
     border = ADDS[part].sum(0, keepdims=True)
-    return np.append(words, START), np.concatenate([counts, border]), *counted(pairs, weight)
+    return *counted(np.append(words, START), np.concatenate([counts, border])), *counted(pairs, weight)
+
+
+def edges(keys: np.ndarray, parts: int) -> np.ndarray:
+    """Where each of `parts` even ranges of hashes begins and ends in sorted keys."""
+    first = np.array([-(-(i << 64) // parts) for i in range(parts)], np.uint64)
+    return np.append(np.searchsorted(keys, first), len(keys))
 
 
 def totals_of(kept: DataFrame, parts: int) -> tuple[DataFrame, Totals]:
@@ -82,13 +103,11 @@ def totals_of(kept: DataFrame, parts: int) -> tuple[DataFrame, Totals]:
         chunk = table["chunk"][0].as_py()
         rows: dict[str, list] = {"bucket": [], "chunk": [], "pairs": [], "keys": [], "counts": []}
         for kind, keys, counts in ((False, words, word_counts), (True, pairs, pair_counts)):
-            bucket = (keys % np.uint64(parts)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            ends = np.searchsorted(bucket[order], np.arange(parts + 1))
+            ends = edges(keys, parts)
             for i in range(parts):
                 if ends[i] < ends[i + 1]:
-                    some = order[ends[i] : ends[i + 1]]
-                    for name, value in zip(rows, (i, chunk, kind, keys[some].tobytes(), counts[some].astype(np.uint32).tobytes()), strict=True):
+                    some = slice(ends[i], ends[i + 1])
+                    for name, value in zip(rows, (i, chunk, kind, gaps(keys[some]), narrow(counts[some])), strict=True):
                         rows[name].append(value)
         return pa.table(rows, schema=pa.schema(SENT))
 
@@ -99,8 +118,8 @@ def totals_of(kept: DataFrame, parts: int) -> tuple[DataFrame, Totals]:
             mine = table.filter(pc.equal(table["pairs"], kind))
             if not mine.num_rows:
                 continue
-            lists = [np.frombuffer(x, np.uint64) for x in mine["keys"].to_pylist()]
-            weight = np.frombuffer(b"".join(mine["counts"].to_pylist()), np.uint32).reshape(-1, 2)
+            lists = [from_gaps(x) for x in mine["keys"].to_pylist()]
+            weight = np.concatenate([wide(x) for x in mine["counts"].to_pylist()])
             keys, at = np.unique(np.concatenate(lists), return_inverse=True)
             total = np.stack([np.bincount(at, weight[:, i], len(keys)).astype(np.int64) for i in (0, 1)], axis=1)
             if not kind:
@@ -119,7 +138,7 @@ def totals_of(kept: DataFrame, parts: int) -> tuple[DataFrame, Totals]:
 
     sent = kept.groupBy("chunk").applyInArrow(send, "bucket long, chunk long, pairs boolean, keys binary, counts binary")
     schema = "chunk long, bucket long, pairs boolean, counts binary, tokens long, distinct long, kept_tokens long, kept_distinct long"
-    added = staged(sent.groupBy("bucket").applyInArrow(add, schema), "totals")
+    added = staged(sent.groupBy("bucket").applyInArrow(add, schema), "totals", drop_shuffles=True)
     names = ["tokens", "distinct", "kept_tokens", "kept_distinct"]
     row = added.agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in names]).first()
     return added.drop(*names), Totals(*(row[x] for x in names))
@@ -132,32 +151,54 @@ ADDED = [
 ]
 
 
+def planes(values: np.ndarray) -> bytes:
+    """Whole numbers in as few bytes as hold them all; first that many, then all lowest bytes, all second ones and so on.
+
+    High bytes are mostly zeros; side by side they are compressed away.
+    """
+    size = (int(values.max(initial=0)).bit_length() + 7) // 8
+    return bytes([size]) + values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size].T.tobytes()
+
+
+def from_planes(packed: bytes, n: int) -> np.ndarray:
+    values = np.zeros((n, 8), np.uint8)
+    values[:, : packed[0]] = np.frombuffer(packed, np.uint8, n * packed[0], 1).reshape(packed[0], n).T
+    return values.reshape(-1).view("<u8")
+
+
+def gaps(keys: np.ndarray) -> bytes:
+    """Sorted hashes as how many they are, the first one, and the steps from each to the next."""
+    return np.array([len(keys), keys[0]], "<u8").tobytes() + planes(np.diff(keys))
+
+
+def from_gaps(packed: bytes) -> np.ndarray:
+    n, first = np.frombuffer(packed, "<u8", 2)
+    return np.cumsum(np.append(first, from_planes(packed[16:], int(n) - 1)), dtype=np.uint64)
+
+
 def narrow(counts: np.ndarray) -> bytes:
-    """Pairs of counts in 16, 32 or 64 bits, as few as hold them all; the first byte tells how many bytes."""
-    most = int(counts.max(initial=0))
-    size = 2 if most < 1 << 16 else 4 if most < 1 << 32 else 8
-    return bytes([size]) + counts.astype(f"<u{size}").tobytes()
+    """Pairs of counts, of which the second is at most the first: their number, the first ones, and what the others lack."""
+    return len(counts).to_bytes(8, "little") + planes(counts[:, 0]) + planes(counts[:, 0] - counts[:, 1])
 
 
 def wide(packed: bytes) -> np.ndarray:
-    return np.frombuffer(packed, f"<u{packed[0]}", offset=1).reshape(-1, 2).astype(np.int64)
+    n = int.from_bytes(packed[:8], "little")
+    second = 9 + packed[8] * n
+    both = from_planes(packed[8:second], n), from_planes(packed[second:], n)
+    return np.stack([both[0], both[0] - both[1]], axis=1).astype(np.int64)
 
 
 def looked_up(table: pa.Table, answers: pa.Table, parts: int):
     """Both totals of every token, context and pair in a chunk, in the order of of_texts, and where its texts begin and end."""
     tokens, context, pairs, ends = of_texts(table)
-    words = np.append(np.unique(tokens), START)
     found = []
-    for kind, keys in ((False, words), (True, np.unique(pairs))):
+    for kind, keys in ((False, np.unique(np.append(tokens, START))), (True, np.unique(pairs))):
         total = np.zeros((len(keys), 2), np.int64)
-        bucket = (keys % np.uint64(parts)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        starts = np.searchsorted(bucket[order], np.arange(parts + 1))
+        starts = edges(keys, parts)
         mine = answers.filter(pc.equal(answers["pairs"], kind))
         for i, packed in zip(mine["bucket"].to_pylist(), mine["counts"].to_pylist(), strict=True):
-            total[order[starts[i] : starts[i + 1]]] = wide(packed)
-        order = np.argsort(keys)
-        found.append((keys[order], total[order]))
+            total[starts[i] : starts[i + 1]] = wide(packed)
+        found.append((keys, total))
     (words, word_totals), (distinct, pair_totals) = found
     of_word = lambda x: word_totals[np.searchsorted(words, x)]
     return of_word(tokens), of_word(context), pair_totals[np.searchsorted(distinct, pairs)], ends
@@ -227,7 +268,7 @@ def score(docs: DataFrame, held_out: int = 2, folds: int = 7, held_share: int =
     out = fold("doc_id", folds) == held_out
     part = F.when(out, 2).when(F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit("part")), F.lit(held_share)) == 0, 1).otherwise(0)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), part.cast("int").alias("part"), "text")
-    kept = chunked(rows, "chunks", 2 << 20)
+    kept = chunked(rows, "chunks", CHUNK)
     totals, sums = totals_of(kept, parts)
     # at most LEVELS * 128 * FINE rows: ratios lie between 2^-64 and 2^64
     weights = learn(choices(kept, totals, sums, parts).collect(), steps)

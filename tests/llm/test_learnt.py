@@ -211,3 +211,54 @@ def test_scores_without_texts(frame):
     row = lm.score(frame([(held, "a b", None, None, None)])).first()
     assert row["held_out"] and row["n_tokens"] == 3 and row["train_tokens"] == 0 and row["base_score"] == 0.0
     assert len(words("a b")) == 2
+
+
+def test_hashes_and_counts_are_packed():
+    """Sorted hashes cross the network in the bytes of their steps, counts in as few as hold them; nothing is lost."""
+    rng = np.random.default_rng(5)
+    keys = np.unique(rng.integers(0, 1 << 64, 200_000, np.uint64))
+    assert (lm.from_gaps(lm.gaps(keys)) == keys).all()
+    ends = lm.edges(keys, 40)
+    assert sum(len(lm.gaps(keys[i:k])) for i, k in zip(ends, ends[1:])) < 7.1 * len(keys)
+    for some in (keys[:1], np.array([0, (1 << 64) - 1], np.uint64)):
+        assert (lm.from_gaps(lm.gaps(some)) == some).all()
+    for most in (1, 2, 300, 1 << 33):
+        first = rng.integers(0, most, 1000)
+        counts = np.stack([first, rng.integers(0, first + 1)], axis=1)
+        assert (lm.wide(lm.narrow(counts)) == counts).all()
+    assert len(lm.narrow(np.ones((1000, 2), np.int64))) < 1100
+
+
+def test_texts_are_hashed_a_stretch_at_a_time(monkeypatch):
+    import pyarrow as pa
+
+    texts = ["a b", None, "", " c\n", "d" * 50, "e é", "", "f"]
+    table = pa.table({"text": pa.array(texts, pa.string())})
+    whole = lm.words_of(table)
+    for size in (1, 2, 7, 60):
+        monkeypatch.setattr(lm, "READ", size)
+        assert all((x == y).all() for x, y in zip(lm.words_of(table), whole, strict=True))
+    assert len(lm.words_of(table.slice(0, 0))[0]) == 0 and list(whole[1]) == [0, 2, 2, 2, 3, 4, 6, 6, 7]
+
+
+def test_shuffle_files_of_a_staged_table_go_at_once(spark):
+    """What is staged between two shuffles need not wait for the driver's garbage: its files count against the disk."""
+    import gc
+    import time
+
+    from blockledger.llm.staging import FILE_CLEANUP, staged
+
+    blocks = lambda: spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
+    rows = spark.range(0, 5000, 1, 4).groupBy((F.col("id") % 99).alias("k")).count()
+    gc.disable()
+    try:
+        before = blocks()
+        kept = staged(rows, "given", drop_shuffles=True)
+        for _ in range(50):
+            if blocks() <= before:
+                break
+            time.sleep(0.1)
+        assert blocks() <= before and kept.count() == 99
+    finally:
+        gc.enable()
+    assert spark.conf.get(FILE_CLEANUP, "false") == "false"
