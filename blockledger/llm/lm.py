@@ -188,20 +188,25 @@ def wide(packed: bytes) -> np.ndarray:
     return np.stack([both[0], both[0] - both[1]], axis=1).astype(np.int64)
 
 
-def looked_up(table: pa.Table, answers: pa.Table, parts: int):
-    """Both totals of every token, context and pair in a chunk, in the order of of_texts, and where its texts begin and end."""
-    tokens, context, pairs, ends = of_texts(table)
+def looked_up(table: pa.Table, answers: pa.Table, parts: int, which: int):
+    """A total of every token, context and pair in a chunk, in the order of of_texts, and where its texts begin and end.
+
+    `which` is 0 for that over all training texts, 1 for that over the kept ones.
+    """
+    tokens, _, pairs, ends = of_texts(table)
+    words, at = np.unique(np.append(tokens, START), return_inverse=True)
+    before = np.append(at[-1], at[:-2])  # a context is the token before, or the border
+    before[ends[:-1]] = at[-1]
+    distinct, pair_at = np.unique(pairs, return_inverse=True)
     found = []
-    for kind, keys in ((False, np.unique(np.append(tokens, START))), (True, np.unique(pairs))):
-        total = np.zeros((len(keys), 2), np.int64)
+    for kind, keys in ((False, words), (True, distinct)):
+        total = np.zeros(len(keys), np.int64)
         starts = edges(keys, parts)
         mine = answers.filter(pc.equal(answers["pairs"], kind))
         for i, packed in zip(mine["bucket"].to_pylist(), mine["counts"].to_pylist(), strict=True):
-            total[starts[i] : starts[i + 1]] = wide(packed)
-        found.append((keys, total))
-    (words, word_totals), (distinct, pair_totals) = found
-    of_word = lambda x: word_totals[np.searchsorted(words, x)]
-    return of_word(tokens), of_word(context), pair_totals[np.searchsorted(distinct, pairs)], ends
+            total[starts[i] : starts[i + 1]] = wide(packed)[:, which]
+        found.append(total)
+    return found[0][at[:-1]], found[0][before], found[1][pair_at], ends
 
 
 def level(count: np.ndarray) -> np.ndarray:
@@ -219,9 +224,9 @@ def choices(kept: DataFrame, totals: DataFrame, sums: Totals, parts: int) -> Dat
         names = ["level", "ratio", "n"]
         if not table.num_rows or not (table["part"].to_numpy() == 1).any():
             return pa.table({x: pa.array([], pa.int64()) for x in names})
-        token, context, pair, ends = looked_up(table, answers, parts)
+        token, context, pair, ends = looked_up(table, answers, parts, 1)
         held = np.repeat(table["part"].to_numpy() == 1, np.diff(ends))
-        token, context, pair = (x[held, 1] for x in (token, context, pair))
+        token, context, pair = (x[held] for x in (token, context, pair))
         seen = context > 0
         token, context, pair = token[seen], context[seen], pair[seen]
         base = (token + 1) / (sums.kept_tokens + sums.kept_distinct + 1)
@@ -276,8 +281,7 @@ def score(docs: DataFrame, held_out: int = 2, folds: int = 7, held_share: int =
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
             return pa.table({n: pa.array([], t) for n, t in RESULT})
-        token, context, pair, ends = looked_up(table, answers, parts)
-        token, context, pair = token[:, 0], context[:, 0], pair[:, 0]
+        token, context, pair, ends = looked_up(table, answers, parts, 0)
         base = (token + 1) / (sums.tokens + sums.distinct + 1)
         w = np.where(context > 0, weights[level(context)], 0.0)
         p = w * pair / np.maximum(context, 1) + (1 - w) * base
