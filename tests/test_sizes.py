@@ -3,7 +3,7 @@
 import pytest
 
 from blockledger.session import SCANNED, SHUFFLED, folder_bytes, size_tasks
-from blockledger.workload.fixtures import Tables
+from blockledger.workload.fixtures import Tables, is_written
 
 ADVISED, FILES, PARTITIONS = "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.files.maxPartitionBytes", "spark.sql.shuffle.partitions"
 
@@ -42,3 +42,15 @@ def test_addresses_do_not_cross_the_network(spark):
     plan = t._files(t._placed(t.lines()))._jdf.queryExecution().sparkPlan().toString().splitlines()
     plan = [line for line in plan if "Exchange" in line or "Aggregate" in line or "10.0." in line]
     assert "Exchange" in plan[-1] and sum("Exchange" in line for line in plan) == 1 and any("10.0." in line for line in plan)
+
+
+def test_blocks_do_not_carry_what_else_lines_have(spark, tmp_path):
+    """Without written lines the latest versions are made of the columns they need, with the same rows."""
+    import os
+
+    os.symlink("/root/testdata/sf0.001", tmp_path / "given")
+    first, second = Tables(spark, "/root/testdata/sf0.001"), Tables(spark, str(tmp_path / "given"))
+    first.lines()
+    got = second.live_flags()
+    assert not is_written(second, "lines") and is_written(first, "lines")
+    assert sorted(got.collect()) == sorted(first.live_flags().collect())

@@ -168,3 +168,29 @@ def test_retries_open_only_the_folders_that_are_due(spark, blocks, tmp_path):
     handle(first.limit(0), 2)
     got = spark.read.parquet(str(tmp_path / "s" / "batch_id=1"), str(tmp_path / "s" / "batch_id=2"))
     assert rows(got.select("block_id", "state", "attempt")) == [(0, "done", 1)]
+
+
+def test_polls_do_not_move_the_store_in_each_micro_batch(spark, tmp_path):
+    """The store is made distinct once; what a micro-batch brings together by key is its sightings. Rows are as before."""
+    key = ("p", 1, 1), ("p", 2, 1), ("p", 3, 1), (None, 4, 1)
+    seen = [(*k, 1, START + dt.timedelta(seconds=s), f) for k in key for s, f in ((1, False), (9, None), (61, True))]
+    seen += [("p", 9, 1, 1, START + dt.timedelta(seconds=s), f) for s, f in ((2, False), (3, True), (70, None))]
+    seen += [("p", 1, 1, 1, START + dt.timedelta(seconds=9_000), False)]
+    schema = "pool_id string, block_id bigint, length bigint, gen_stamp bigint, ts timestamp, force boolean"
+    spark.createDataFrame(seen, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stored = [(*key[0], 1)] * 3 + [(*key[2], 1), (*key[3], 1), ("p", 77, 1, 1)]
+    store = spark.createDataFrame(stored, "pool_id string, block_id bigint, length bigint, gen_stamp bigint")
+    store.write.parquet(str(tmp_path / "store"))
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    closed = closed_polls(stream, spark.read.parquet(str(tmp_path / "store")), delay="1 minute", poll="1 minute")
+    got = []
+    query = closed.writeStream.foreachBatch(lambda batch, n: got.extend(map(tuple, batch.collect())))
+    query = query.option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    plan = query._jsq.explainInternal(False)
+    assert plan.count("Exchange hashpartitioning") == 1
+    at = lambda s: START + dt.timedelta(seconds=s)
+    poll = int(START.replace(tzinfo=dt.timezone.utc).timestamp()) // 60
+    want = [(poll, *k, 1, at(1), False) for k in key if k[1] != 2] + [(poll, "p", 9, 1, 1, at(3), True)]
+    want += [(poll + 1, *k, 1, at(61), True) for k in key]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
