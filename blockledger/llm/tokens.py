@@ -23,18 +23,18 @@ from pyspark.sql import functions as F
 
 from blockledger.llm.bpe import slices
 from blockledger.llm.staging import open_store, shuffle_parts, staged
-from blockledger.llm.words import PieceEncoder, splitter, tokenizer
+from blockledger.llm.words import WordEncoder, splitter, tokenizer
 
-_ENCODERS: dict[str, PieceEncoder] = {}
+_ENCODERS: dict[str, WordEncoder] = {}
 
 
-def encoder(path: str) -> PieceEncoder:
-    """The tokenizer's model behind a memory of pieces, built once in each Python worker."""
+def encoder(path: str) -> WordEncoder:
+    """The tokenizer's model behind a memory of pre-tokens, built once in each Python worker."""
     if path not in _ENCODERS:
         library = tokenizer(path)
         tokenize = library.model.tokenize
         added = {t.content: i for i, t in library.get_added_tokens_decoder().items()}
-        _ENCODERS[path] = PieceEncoder(lambda word: [t.id for t in tokenize(word)], splitter(library), added)
+        _ENCODERS[path] = WordEncoder(lambda word: [t.id for t in tokenize(word)], splitter(library), added)
     return _ENCODERS[path]
 
 

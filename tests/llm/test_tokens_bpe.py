@@ -45,6 +45,20 @@ def test_every_character_encodes_as_in_the_library():
         assert [encode(t) for t in texts] == want
 
 
+def test_latin_texts_are_looked_up_by_pre_token_alone():
+    stock = ["don't", "STRASSE", "größe", "\u0130x", "x2y", "'ll", "a--b"]
+    texts = [f"{a}{i}{m}{b}" for i, m in enumerate(",.;\x1c\x85\xa0\n|'") for a in stock for b in stock]
+    texts += [" ".join(texts), "one <|endoftext|>two<|startoftext|> <| three", " \t\n", ""]
+    encoder = tokens.encoder(PATH)
+    encoder.pieces.clear()
+    got = [encoder.encode(t) for t in texts]
+    assert got == [np.array(expected(t), "<u4").tobytes() for t in texts]
+    assert not encoder.pieces
+    mixed = "größe, don't — 中文字 naïve <|endoftext|>İ"
+    assert encoder.encode(mixed) == np.array(expected(mixed), "<u4").tobytes()
+    assert encoder.pieces
+
+
 def test_one_doc_id_over_several_parts_keeps_one_order(spark, frame):
     rows = [(7, f"text {i} " * (i % 5 + 1), None, None, None) for i in range(400)]
     rows = [tuple(r[: len(DOCS)]) for r in rows]
