@@ -15,14 +15,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockledger.llm.words import WORD_END, PieceEncoder, splitter, tokenizer, vocabulary
+from blockledger.llm.words import WORD_END, WordEncoder, rules, splitter, vocabulary
 
 END = "\x01"  # stands for the word end; no byte character has this code
 NEVER = 1 << 60
+# A worker stays for the steps that follow and holds on to what it remembers: two of them must fit beside the executor.
+KEPT, PAIRS, EDGES = 100_000, 200_000, 8_000  # pre-tokens (or pieces) remembered, up to twice; pairs; edges of tokens
 
 
 class Vocabulary:
-    def __init__(self, path: str, pairs_kept: int = 400_000):
+    def __init__(self, path: str, pairs_kept: int = PAIRS):
         data = vocabulary(path)
         text_of = {i: t for t, i in data["model"]["vocab"].items()}
         self.added = {x["content"]: x["id"] for x in data["added_tokens"]}
@@ -60,6 +62,8 @@ class Vocabulary:
                 until = self.made[at]
                 at = self.parts[at][side]
                 got.append((at, until))
+            if len(kept) >= EDGES:
+                kept.clear()
             kept[token] = got
         return got
 
@@ -162,14 +166,14 @@ class Vocabulary:
         return self.buffer[at].tobytes()[:-1]
 
 
-_LOADED: dict[str, tuple[Vocabulary, PieceEncoder]] = {}
+_LOADED: dict[str, tuple[Vocabulary, WordEncoder]] = {}
 
 
-def loaded(path: str) -> tuple[Vocabulary, PieceEncoder]:
+def loaded(path: str) -> tuple[Vocabulary, WordEncoder]:
     """The tables of a vocabulary file, built once in each Python worker."""
     if path not in _LOADED:
         table = Vocabulary(path)
-        _LOADED[path] = table, PieceEncoder(table.encode, splitter(tokenizer(path)), table.added)
+        _LOADED[path] = table, WordEncoder(table.encode, splitter(rules(path)), table.added, KEPT)
     return _LOADED[path]
 
 

@@ -59,6 +59,18 @@ def test_latin_texts_are_looked_up_by_pre_token_alone():
     assert encoder.pieces
 
 
+def test_a_worker_remembers_few_words_whatever_it_has_read(monkeypatch):
+    monkeypatch.setattr(bpe, "_LOADED", {})
+    table, encoder = bpe.loaded(PATH)
+    words = ["".join(chr(97 + i // 26**k % 26) for k in range(4)) for i in range(260_000)]
+    texts = [" ".join(words[i : i + 1_000]) for i in range(0, len(words), 1_000)]
+    got = [encoder.encode(t) for t in texts]
+    kept = [encoder.words, encoder.shown, encoder.pieces]
+    assert sum(len(x) + len(x.older) for x in kept) <= 200_000
+    assert len(table.pairs) <= 200_000 and max(len(table.first), len(table.last)) <= 8_000
+    assert [np.frombuffer(x, "<u4").tolist() for x in got[::50]] == [expected(t) for t in texts[::50]]
+
+
 def test_one_doc_id_over_several_parts_keeps_one_order(spark, frame):
     rows = [(7, f"text {i} " * (i % 5 + 1), None, None, None) for i in range(400)]
     rows = [tuple(r[: len(DOCS)]) for r in rows]
